@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +34,8 @@ KMER = 40
 PIECE_BYTES = 1 << 20
 BLOCK_BYTES = 1 << 20
 BIG_GROUP = 5000
+MOST_WINDOWS = 128
+PACK_BYTES = 8 << 20
 
 _U = np.uint64
 
@@ -55,6 +58,11 @@ def pieces_of(text: bytes, length: int = LENGTH, kmer: int = KMER, seed: int = 0
             low = np.minimum(low[: len(low) - (span - w)], low[span - w :])
         start = np.flatnonzero(np.concatenate(([True], low[1:] != low[:-1])))
         runs = np.diff(np.append(start, len(low)))
+        if runs.max() > MOST_WINDOWS:  # periodic text: bounded pieces
+            parts = -(-runs // MOST_WINDOWS)
+            at_part = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+            start = np.repeat(start, parts) + at_part * MOST_WINDOWS
+            runs = np.minimum(np.repeat(runs, parts) - at_part * MOST_WINDOWS, MOST_WINDOWS)
         end = start + runs - 1 + length
         own = mix((total[end] - total[start]) * inverse[start] + runs.astype(_U) * _U(0x9FB21C651E98DF25))
         # a piece can only repeat its own windows if its minimiser stands in it more than once
@@ -76,24 +84,27 @@ def suffix_order(symbols: np.ndarray, last: np.ndarray, text_no: np.ndarray) ->
     key = np.zeros(n, _U)
     for j in range(7):
         key = (key << _U(9)) | np.where(left > j, symbols[np.minimum(pos + j, n - 1)].astype(_U) + _U(1), _U(0))
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     ordered = key[order]
     new = np.concatenate(([True], ordered[1:] != ordered[:-1]))
     base = int(text_no[-1]) + 1 if n else 0
     rank = np.empty(n, np.int64)
-    rank[order] = np.cumsum(new) - 1
+    rank[order] = np.maximum.accumulate(np.where(new, pos, 0))  # the first place of equal keys
     h = 7
-    while True:
-        beyond = pos + h
-        second = np.where(left > h, rank[np.minimum(beyond, n - 1)] + base, text_no)
-        both = rank * (n + base + 1) + second
-        order = np.argsort(both, kind="stable")
-        ordered = both[order]
-        new = np.concatenate(([True], ordered[1:] != ordered[:-1]))
-        rank[order] = np.cumsum(new) - 1
-        if new.all() or h > n:
-            return order
+    while not new.all():
+        # only positions whose rank is shared are sorted again; shared ranks are runs of order
+        shared = np.flatnonzero(~(new & np.append(new[1:], True)))
+        p = order[shared]
+        second = np.where(left[p] > h, rank[np.minimum(p + h, n - 1)] + base, text_no[p])
+        both = rank[p] * (n + base + 1) + second
+        again = np.argsort(both)
+        order[shared] = p = p[again]
+        ordered = both[again]
+        split = np.concatenate(([True], ordered[1:] != ordered[:-1]))
+        new[shared] |= split
+        rank[p] = shared[np.maximum.accumulate(np.where(split, np.arange(len(p)), 0))]
         h *= 2
+    return order
 
 
 class RunIndex:
@@ -114,12 +125,14 @@ class RunIndex:
         symbol = joined.astype(np.int16) + 1
         symbol[self.ends - 1] = 0
         before = np.where(order > 0, symbol[order - 1], 0)
-        first_of_text = np.isin(order, self.ends - sizes)
-        before[first_of_text] = 0
+        begins = np.zeros(n, bool)
+        begins[self.ends - sizes] = True
+        before[begins[order]] = 0
         heads = np.flatnonzero(np.concatenate(([True], before[1:] != before[:-1])))
         self.n = n
         self.run_start, self.run_char = heads, before[heads]
         run_size = np.diff(np.append(heads, n))
+        self.run_of = np.repeat(np.arange(len(heads), dtype=np.int32), run_size)  # rank support of a bounded block
         # LF of a run's first row: rows of smaller symbols, then this symbol's earlier runs
         by_char = np.argsort(self.run_char, kind="stable")
         self.run_to = np.empty(len(heads), np.int64)
@@ -138,6 +151,7 @@ class RunIndex:
         new = np.concatenate(([True], (window[1:] != window[:-1]) | ~long[1:] | ~long[:-1]))
         self.class_start = np.flatnonzero(new)
         self.class_first = np.minimum.reduceat(key[order], self.class_start)
+        self.class_of = np.repeat(np.arange(len(self.class_start), dtype=np.int32), np.diff(np.append(self.class_start, n)))
 
     def _agree(self, p: np.ndarray, q: np.ndarray) -> np.ndarray:
         """Bytes on which the suffixes at p and q agree, up to length, by halving on hashes."""
@@ -166,7 +180,7 @@ class RunIndex:
             live = np.flatnonzero(sizes >= step)
             c = flat[ends[live] - step]
             r, p, g = row[live], pos[live], got[live]
-            run = np.searchsorted(self.run_start, r, "right") - 1
+            run = self.run_of[r]
             miss = np.flatnonzero(self.run_char[run] != c)
             if len(miss):
                 cm = c[miss]
@@ -187,7 +201,7 @@ class RunIndex:
                 r[miss] = np.where(none, 0, np.where(use, up_row, down_row))
                 p[miss] = np.where(none, self.ends[0], np.where(use, up_pos, down_pos))
                 g[miss] = np.where(none, -1, np.minimum(g[miss], np.maximum(a, b)))
-                run = np.searchsorted(self.run_start, r, "right") - 1
+                run = self.run_of[r]
             r = np.where(g < 0, 0, self.run_to[run] + r - self.run_start[run])
             p = p - 1
             g = np.minimum(g + 1, self.length)
@@ -195,7 +209,7 @@ class RunIndex:
             yield live, sizes[live] - step, g, r
 
     def earliest(self, rows: np.ndarray) -> np.ndarray:
-        return self.class_first[np.searchsorted(self.class_start, rows, "right") - 1]
+        return self.class_first[self.class_of[rows]]
 
 
 def later_windows(texts: list[bytes], keys: list[int], length: int = LENGTH) -> list[np.ndarray]:
@@ -237,6 +251,17 @@ def _ordered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return materialise(src.orderBy(F.col("id").asc_nulls_last(), "text").select(F.monotonically_increasing_id().alias("key"), "id", "text"))
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that their texts (column 1) hold about PACK_BYTES, or one text, at most."""
+    for b in batches:
+        size = np.cumsum(pc.binary_length(b.column(1)).fill_null(0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < b.num_rows:
+            end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + PACK_BYTES, "right")))
+            yield b.slice(at, end - at)
+            at = end
+
+
 def _deal(src: DataFrame, length: int, n_parts: int) -> DataFrame:
     """(key, start, windows, grp): runs of repeated windows (grp null) and pieces to be compared (with a group)."""
     n_packs = 2 * n_parts
@@ -250,7 +275,7 @@ def _deal(src: DataFrame, length: int, n_parts: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(np.full(len(full), kind), pa.int32()), pa.array(data, pa.binary())], names=["part", "kind", "data"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches):
             keys, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             low, own, start, runs, multi, key = [], [], [], [], [], []
             for k, t in zip(keys, texts, strict=True):
@@ -400,7 +425,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches):
             spans, kept, n = [], [], []
             runs = b.column(2).to_pylist() if b.num_columns > 2 else [None] * b.num_rows
             for text, found in zip(b.column(1).to_pylist(), runs, strict=True):
