@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import math
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -70,6 +72,20 @@ def redact_text(text: str, spans: list[tuple[str, int, int]]) -> str:
 FILTER_BITS = 23
 
 
+def tidy(task: Callable) -> Callable:
+    """A task function that hands its freed memory back when its partition ends; workers outlive their tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from task(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 def id_filter(ids: DataFrame, col: str) -> np.ndarray:
     """A bit set of 2 ** FILTER_BITS bits over the hashes of ids: its size does not grow with them."""
     h = F.pmod(F.xxhash64(col), F.lit(1 << FILTER_BITS))
@@ -80,18 +96,26 @@ def id_filter(ids: DataFrame, col: str) -> np.ndarray:
     return out
 
 
+def filter_place(col: str):
+    """A value's bit in an id_filter, -1 for null."""
+    return F.when(F.col(col).isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64(col), F.lit(1 << FILTER_BITS))).alias("__h")
+
+
+def in_filter(bits: np.ndarray, places: pa.Array) -> np.ndarray:
+    h = np.asarray(places).astype(np.int64)
+    return (h >= 0) & ((bits[np.maximum(h, 0) >> 5] >> (h & 31)) & 1 == 1)
+
+
 def sift(df: DataFrame, bits, col: str, inside: bool) -> DataFrame:
     """Rows of df whose value in col a broadcast id_filter has, or has not (as nulls). It may have others as well."""
     schema, names = df.schema, df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            h = np.asarray(b.column(b.num_columns - 1)).astype(np.int64)
-            hit = (h >= 0) & ((bits.value[np.maximum(h, 0) >> 5] >> (h & 31)) & 1 == 1)
+            hit = in_filter(bits.value, b.column(b.num_columns - 1))
             yield b.filter(pa.array(hit if inside else ~hit)).select(list(range(len(names))))
 
-    h = F.when(F.col(col).isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64(col), F.lit(1 << FILTER_BITS)))
-    return df.select(*[F.col(f"`{c}`") for c in names], h.alias("__h")).mapInArrow(run, schema)
+    return df.select(*[F.col(f"`{c}`") for c in names], filter_place(col)).mapInArrow(run, schema)
 
 
 def drop_ids(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -26,16 +26,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafspan.llm.common import id_filter, materialise, partitions, sift, table
+from leafspan.llm.common import filter_place, id_filter, in_filter, materialise, partitions, sift, table, tidy
 from leafspan.llm.texthash import _VALUE, _power, mix
 
 LENGTH = 100
 KMER = 40
-PIECE_BYTES = 1 << 20
-BLOCK_BYTES = 1 << 20
+PIECE_BYTES = 1 << 18
+BLOCK_BYTES = 1 << 18
 BIG_GROUP = 5000
 MOST_WINDOWS = 128
-PACK_BYTES = 8 << 20
+PACK_BYTES = 4 << 20
 
 _U = np.uint64
 
@@ -335,8 +335,8 @@ def _deal(src: DataFrame, length: int, n_parts: int) -> DataFrame:
         name = grp[chosen]
         yield from rows(key[one][chosen], start[one][chosen], runs[one][chosen] >> 1, np.where(big[chosen], -1 - name, name))
 
-    packs = src.select("key", "text").mapInArrow(pack, "part int, kind int, data binary").repartition(n_parts, "part")
-    return packs.mapInArrow(unpack, "key long, start long, windows int, grp long")
+    packs = src.select("key", "text").mapInArrow(tidy(pack), "part int, kind int, data binary").repartition(n_parts, "part")
+    return packs.mapInArrow(tidy(unpack), "key long, start long, windows int, grp long")
 
 
 def _compare(src: DataFrame, asked: DataFrame, bits, length: int, n_parts: int) -> DataFrame:
@@ -383,8 +383,8 @@ def _compare(src: DataFrame, asked: DataFrame, bits, length: int, n_parts: int)
 
     per_doc = asked.groupBy("key").agg(F.collect_list(F.struct("start", "windows", "grp")).alias("asks"))
     texts = sift(src, bits, "key", True).select("key", "text").join(per_doc, "key").select("key", "text", "asks")
-    cuts = texts.mapInArrow(cut, "grp long, key long, start long, piece binary")
-    return cuts.repartition(n_parts, "grp").sortWithinPartitions("grp").mapInArrow(index, "key long, start long, windows int")
+    cuts = texts.mapInArrow(tidy(cut), "grp long, key long, start long, piece binary")
+    return cuts.repartition(n_parts, "grp").sortWithinPartitions("grp").mapInArrow(tidy(index), "key long, start long, windows int")
 
 
 def _spread(block: list[tuple[int, int, bytes]]) -> list[int]:
@@ -412,7 +412,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     spark = docs.sparkSession
     src = _ordered(docs, id_col, text_col)
     size = src.agg(F.sum(F.length("text"))).first()[0] or 0
-    n_parts = partitions(spark, size, 32e6)
+    n_parts = partitions(spark, size, 8e6)
     dealt = materialise(_deal(src, length, n_parts))
     asked = dealt.filter("grp is not null")
     bits = spark.sparkContext.broadcast(id_filter(asked, "key"))
@@ -441,8 +441,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
                 kept.append(b"".join(text[x:y] for x, y in zip(cuts[::2], cuts[1::2], strict=True)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary())], names=[id_col, "n_bytes", "spans", "kept"])
 
-    hit = sift(src, late, "key", True).join(per_doc, "key", "left").select("id", "text", "runs").mapInArrow(finish, schema)
-    clear = sift(src, late, "key", False).select("id", "text").mapInArrow(finish, schema)
+    def finish_clear(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return finish(b.filter(pa.array(~in_filter(late.value, b.column(2)))).select([0, 1]) for b in batches)
+
+    hit = sift(src, late, "key", True).join(per_doc, "key", "left").select("id", "text", "runs").mapInArrow(tidy(finish), schema)
+    clear = src.select("id", "text", filter_place("key")).mapInArrow(tidy(finish_clear), schema)
     return hit.unionByName(clear)
 
 
