@@ -28,10 +28,22 @@ def scratch(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/leafspan-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write df below the checkpoint folder and read it back: cuts lineage and survives lost executors."""
-    path = scratch(df.sparkSession)
-    df.write.parquet(path)
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def materialise(df: DataFrame, batch_rows: int | None = None) -> DataFrame:
+    """Write df below the checkpoint folder and read it back: cuts lineage and survives lost executors.
+
+    With batch_rows, Python receives at most so many rows at once meanwhile (for rows that hold large arrays).
+    """
+    path, conf = scratch(df.sparkSession), df.sparkSession.conf
+    before = conf.get(ARROW_ROWS)
+    if batch_rows:
+        conf.set(ARROW_ROWS, batch_rows)
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(ARROW_ROWS, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -25,17 +25,18 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafspan.llm.common import components, id_filter, materialise, partitions, sift, table
+from leafspan.llm.common import components, id_filter, materialise, partitions, sift, table, tidy
 from leafspan.llm.texthash import mix, sequence_hashes, word_hashes
 
 DIMENSIONS = 64
+GROUP_SIZE = 6
 LEAF = 16
 BLOCK_ROWS = 2000
+VERIFY_ROWS = 256
 CHUNK_BYTES = 1 << 20
 
 _U = np.uint64
@@ -106,7 +107,14 @@ class Bands:
 
 
 def count_vector(s: np.ndarray) -> np.ndarray:
-    return np.bincount((s >> _U(58)).astype(np.int64), minlength=DIMENSIONS).astype(np.int32)
+    """Counts by the hashes' leading bits: DIMENSIONS groups, or more for sets over GROUP_SIZE times as large."""
+    bits = max(DIMENSIONS, len(s) // GROUP_SIZE).bit_length() - 1
+    return np.bincount((s >> _U(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint16)
+
+
+def fold(points: np.ndarray, groups: int) -> np.ndarray:
+    """A count vector with neighbouring groups joined until only groups are left."""
+    return points.astype(np.int32) if len(points) == groups else points.reshape(groups, -1).sum(1, dtype=np.int32)
 
 
 class CountRTree:
@@ -114,12 +122,16 @@ class CountRTree:
 
     def __init__(self, points: np.ndarray) -> None:
         self.points = points
+        self.levels = []
+        if len(points) <= LEAF:
+            self.order = np.arange(len(points))
+            return
         total = points.sum(1)
         spread = np.argsort(-points.var(0))[:2]
         runs = max(1, math.isqrt(-(-len(points) // LEAF)))
         slab = np.argsort(np.argsort(total, kind="stable"), kind="stable") * runs // max(len(points), 1)
         self.order = np.lexsort((points[:, spread[0]], slab))
-        self.levels = []  # upper corners (overlap is bounded from above by them), leaves first
+        # upper corners (they bound overlap from above), leaves first
         top = points[self.order]
         while len(top) > 1:
             cuts = np.arange(0, len(top), LEAF)
@@ -202,8 +214,8 @@ def _blocks(docs: DataFrame, k: int, percent: int, n_parts: int) -> DataFrame:
             r = rows[lo : lo + 50_000]
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(name[chosen], size[chosen])[lo : lo + 50_000].view(np.int64)), pa.array(owner[r])], names=["block", "class"])
 
-    packs = docs.select("text").mapInArrow(pack, "part int, keys binary, owners binary").repartition(n_parts, "part")
-    return packs.mapInArrow(unpack, "block long, class long").distinct()
+    packs = docs.select("text").mapInArrow(tidy(pack), "part int, keys binary, owners binary").repartition(n_parts, "part")
+    return packs.mapInArrow(tidy(unpack), "block long, class long").distinct()
 
 
 def _sets_of(docs: DataFrame, chosen: DataFrame, k: int) -> DataFrame:
@@ -218,7 +230,7 @@ def _sets_of(docs: DataFrame, chosen: DataFrame, k: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([count_vector(s).tobytes() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["class", "n", "points", "hashes"])
 
     near = sift(docs.select("id", "text"), bits, "id", True)
-    return near.join(chosen, "id").select("class", "text").mapInArrow(measure, "class long, n long, points binary, hashes binary").dropDuplicates(["class"])
+    return near.join(chosen, "id").select("class", "text").mapInArrow(tidy(measure), "class long, n long, points binary, hashes binary").dropDuplicates(["class"])
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -226,11 +238,13 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not b.num_rows:
-                continue
-            p, q = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.int32).reshape(-1, DIMENSIONS) for c in ("p", "q"))
-            n = p.sum(1) + q.sum(1)
-            yield b.filter(pa.array(np.minimum(p, q).sum(1) * (100 + percent) >= percent * n)).select(["a", "b"])
+            keep = []
+            for x, y in zip(b.column("p"), b.column("q"), strict=True):
+                p, q = np.frombuffer(x.as_buffer(), np.uint16), np.frombuffer(y.as_buffer(), np.uint16)
+                d = min(len(p), len(q))
+                p, q = fold(p, d), fold(q, d)
+                keep.append(int(np.minimum(p, q).sum()) * (100 + percent) >= percent * int(p.sum() + q.sum()))
+            yield b.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -245,7 +259,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     small = sets.select("class", "points")
     near = pairs.join(small.select(F.col("class").alias("a"), F.col("points").alias("p")), "a").join(small.select(F.col("class").alias("b"), F.col("points").alias("q")), "b").select("a", "b", "p", "q").mapInArrow(bound, "a long, b long")
     full = near.join(sets.select(F.col("class").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("class").alias("b"), F.col("hashes").alias("y")), "b")
-    return full.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
+    return full.select("a", "b", "x", "y").mapInArrow(tidy(verify), "a long, b long")
 
 
 def _tree_pairs(rows: DataFrame, percent: int) -> DataFrame:
@@ -258,23 +272,53 @@ def _tree_pairs(rows: DataFrame, percent: int) -> DataFrame:
     cut = rows.select("*", slices.alias("slices"), own.alias("own")).select("*", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("other"))
     cut = cut.select("block", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "class", "comp", "n", "points")
 
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        cls, comp, n, own = (pdf[c].to_numpy() for c in ("class", "comp", "n", "own"))
-        points = np.frombuffer(b"".join(pdf["points"]), np.int32).reshape(-1, DIMENSIONS)
-        i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
-        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        out = []
-        if len(left) and len(right):
-            tree = CountRTree(points[right])
-            for a in left:
-                low = -(-percent * n[a] // 100)
-                hit = right[tree.partners(points[a], int(-(-percent * (n[a] + low) // (100 + percent))))]
-                hit = hit[(comp[hit] != comp[a]) & ((cls[hit] > cls[a]) | (i != j))]
-                hit = hit[np.minimum(points[hit], points[a]).sum(1) * (100 + percent) >= percent * (n[hit] + n[a])]
-                out += [(min(cls[a], cls[h]), max(cls[a], cls[h])) for h in hit]
-        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
-
-    return cut.groupBy("block", "i", "j").applyInPandas(search, "a long, b long").distinct()
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, last, found = [], None, set()
+        for b in batches:
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if row[:3] != last:
+                    found.update(_near(rows, percent))
+                    rows, last = [], row[:3]
+                    if len(found) > 50_000:
+                        yield _pair_batch(found)
+                rows.append(row)
+        found.update(_near(rows, percent))
+        yield _pair_batch(found)
+
+    n_parts = partitions(rows.sparkSession)
+    cut = cut.repartition(n_parts, "block", "i", "j").sortWithinPartitions("block", "i", "j")
+    return cut.mapInArrow(tidy(search), "a long, b long").distinct()
+
+
+def _pair_batch(found: set[tuple[int, int]]) -> pa.RecordBatch:
+    pairs = list(found)
+    found.clear()
+    return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["a", "b"])
+
+
+def _near(rows: list[tuple], percent: int) -> Iterator[tuple[int, int]]:
+    """rows: (block, i, j, own, class, comp, n, points) of two slices of a block. Its possible links."""
+    if len(rows) < 2:
+        return
+    i, j = rows[0][1:3]
+    raw = [np.frombuffer(r[7], np.uint16) for r in rows]
+    groups = min(map(len, raw))
+    points = np.array([fold(p, groups) for p in raw])
+    own, cls, comp, n = (np.array([r[c] for r in rows]) for c in (3, 4, 5, 6))
+    left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+    if not len(left) or not len(right):
+        return
+    tree = CountRTree(points[right])
+    for a in left:
+        low = -(-percent * int(n[a]) // 100)
+        hit = right[tree.partners(points[a], -(-percent * (int(n[a]) + low) // (100 + percent)))]
+        hit = hit[(comp[hit] != comp[a]) & ((cls[hit] > cls[a]) | (i != j))]
+        hit = hit[np.minimum(points[hit], points[a]).sum(1) * (100 + percent) >= percent * (n[hit] + n[a])]
+        for h in hit:
+            x, y = int(cls[a]), int(cls[h])
+            d = min(len(raw[a]), len(raw[h]))
+            if d == groups or int(np.minimum(fold(raw[a], d), fold(raw[h], d)).sum()) * (100 + percent) >= percent * int(n[a] + n[h]):
+                yield (x, y) if x < y else (y, x)
 
 
 def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -291,14 +335,14 @@ def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "do
     ranked = sized.select("block", "class").join(shared, "class")
     lead = ranked.groupBy("block").agg(F.max_by("class", F.struct("shared", -F.col("class").cast("decimal(20,0)"))).alias("lead"))
     pairs = materialise(sized.join(lead, "block").filter("class <> lead").select(F.least("class", "lead").alias("a"), F.greatest("class", "lead").alias("b")).distinct())
-    sets = materialise(_sets_of(src, first.join(shared.select("class"), "class").select("id", "class"), k))
-    links = materialise(_verified(pairs, sets, percent))
+    sets = materialise(_sets_of(src, first.join(shared.select("class"), "class").select("id", "class"), k), 2000)
+    links = materialise(_verified(pairs, sets, percent), VERIFY_ROWS)
     comp = components(links, "a", "b")
     state = sized.join(comp.select(F.col("node").alias("class"), "root"), "class", "left").select("block", "class", "size", F.coalesce("root", "class").alias("comp"))
     open_blocks = state.groupBy("block").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("block")
     rest = materialise(state.join(open_blocks, "block").join(sets.select("class", "n", "points"), "class"))
     more = materialise(_tree_pairs(rest, percent).join(pairs, ["a", "b"], "left_anti"))
-    links = links.unionByName(_verified(more, sets, percent))
+    links = links.unionByName(materialise(_verified(more, sets, percent), VERIFY_ROWS))
     comp = components(links, "a", "b")
     named = rows.join(comp.select(F.col("node").alias("class"), "root"), "class", "left").select("id", "n", F.coalesce("root", "class").alias("root"))
     name = named.filter("root is not null").groupBy("root").agg(F.min("id").alias("name"))
