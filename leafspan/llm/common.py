@@ -84,6 +84,13 @@ def redact_text(text: str, spans: list[tuple[str, int, int]]) -> str:
 FILTER_BITS = 23
 
 
+def release() -> None:
+    """Hand freed memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def tidy(task: Callable) -> Callable:
     """A task function that hands its freed memory back when its partition ends; workers outlive their tasks."""
 
@@ -91,9 +98,7 @@ def tidy(task: Callable) -> Callable:
         try:
             yield from task(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):
-                ctypes.CDLL(None).malloc_trim(0)
+            release()
 
     return run
 

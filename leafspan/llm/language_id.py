@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafspan.llm.common import held_out, table
+from leafspan.llm.common import held_out, release, table
 
 TRAIN_ROWS = 1600
 TRAIN_PER_LANG = 400
@@ -136,7 +136,9 @@ def training_sample(docs: DataFrame, train, text_col: str, lang_col: str, id_col
 
 
 def fit_language_model(docs: DataFrame, train, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_lang: int = TRAIN_PER_LANG) -> KernelModel:
-    return KernelModel.fit(training_sample(docs, train, text_col, lang_col, id_col, per_lang))
+    model = KernelModel.fit(training_sample(docs, train, text_col, lang_col, id_col, per_lang))
+    release()
+    return model
 
 
 def identify(docs: DataFrame, model: KernelModel, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

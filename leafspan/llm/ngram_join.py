@@ -5,11 +5,12 @@ are hashed into more groups than the largest symmetric difference two linked set
 wholly in at least one group. The content hash of a group is thus an exact blocking key (two bands per set, so that
 sets of neighbouring sizes meet). Keys travel as packed arrays, and blocks with one class vanish where they are read.
 
-Within blocks, the counts of shingles by DIMENSIONS groups are points: the sum of coordinate minima bounds the
-overlap. Each block's most shared class is compared with the rest first; blocks that this leaves in several components
-put their points in an R-tree (packed by sorting, minimum bounding boxes, several levels), which is asked for every
-point's possible partners in other components. Pairs that pass the bound are verified on the full sets, and verified
-links are joined to components.
+Within blocks, the counts of shingles by groups are points: the sum of coordinate minima bounds the overlap. Each
+block's most shared class is compared with the rest first; blocks that this leaves in several components put their
+points in an R-tree (packed by sorting, bounding boxes, several levels), which is asked for every point's possible
+partners in other components. What may link is a family; its sets are brought together once (in slices of bounded
+bytes, every two of which meet), searched by R-tree again, and each possible pair between components is verified on the
+full sets until it joins them. Neither step emits pairs: both yield forests. Verified links are joined to components.
 
 Sets are compared by 64-bit shingle hashes and classes named by a 64-bit hash of the set: a false match of two
 different sets needs a collision (about rows squared / 2**65).
@@ -37,6 +38,7 @@ GROUP_SIZE = 6
 LEAF = 16
 BLOCK_ROWS = 2000
 VERIFY_ROWS = 256
+FAMILY_BYTES = 16 << 20
 CHUNK_BYTES = 1 << 20
 
 _U = np.uint64
@@ -262,32 +264,27 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return full.select("a", "b", "x", "y").mapInArrow(tidy(verify), "a long, b long")
 
 
-def _tree_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """rows: (block, class, comp, n, points, size). Pairs of one block in different components that pass the bound.
+def _by_slices(rows: DataFrame, key: str, slices, columns: list[str], task) -> DataFrame:
+    """Rows of one key in slices; every two slices of a key (and each by itself) meet in one call of task."""
+    cut = rows.select("*", slices.cast("int").alias("slices")).withColumn("own", F.pmod(F.xxhash64("class"), F.col("slices")).cast("int"))
+    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+    cut = cut.select(key, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", *columns)
 
-    Blocks over BLOCK_ROWS rows are cut into slices, and every two slices meet in a task of their own.
-    """
-    slices = F.ceil(F.col("size") / BLOCK_ROWS).cast("int")
-    own = F.pmod(F.xxhash64("class"), slices).cast("int")
-    cut = rows.select("*", slices.alias("slices"), own.alias("own")).select("*", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("other"))
-    cut = cut.select("block", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "class", "comp", "n", "points")
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, last, found = [], None, set()
         for b in batches:
             for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if row[:3] != last:
-                    found.update(_near(rows, percent))
+                    found.update(task(rows))
                     rows, last = [], row[:3]
                     if len(found) > 50_000:
                         yield _pair_batch(found)
                 rows.append(row)
-        found.update(_near(rows, percent))
+        found.update(task(rows))
         yield _pair_batch(found)
 
-    n_parts = partitions(rows.sparkSession)
-    cut = cut.repartition(n_parts, "block", "i", "j").sortWithinPartitions("block", "i", "j")
-    return cut.mapInArrow(tidy(search), "a long, b long").distinct()
+    cut = cut.repartition(partitions(rows.sparkSession), key, "i", "j").sortWithinPartitions(key, "i", "j")
+    return cut.mapInArrow(tidy(run), "a long, b long").distinct()
 
 
 def _pair_batch(found: set[tuple[int, int]]) -> pa.RecordBatch:
@@ -296,29 +293,43 @@ def _pair_batch(found: set[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["a", "b"])
 
 
-def _near(rows: list[tuple], percent: int) -> Iterator[tuple[int, int]]:
-    """rows: (block, i, j, own, class, comp, n, points) of two slices of a block. Its possible links."""
-    if len(rows) < 2:
+def _join_rows(rows: list[tuple], percent: int, verify: bool) -> Iterator[tuple[int, int]]:
+    """rows: (key, i, j, own, class, comp, n, points[, hashes]) of two slices. Searches each row's possible partners in
+    other components and joins components on the way, so what it yields is a forest: pairs of components that may link,
+    or, with verify, pairs of classes that do."""
+    if len(rows) < 2 or rows[0][5] == rows[-1][5] and len({r[5] for r in rows}) == 1:
         return
     i, j = rows[0][1:3]
     raw = [np.frombuffer(r[7], np.uint16) for r in rows]
     groups = min(map(len, raw))
     points = np.array([fold(p, groups) for p in raw])
-    own, cls, comp, n = (np.array([r[c] for r in rows]) for c in (3, 4, 5, 6))
+    own, comp, n = (np.array([r[c] for r in rows]) for c in (3, 5, 6))
     left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
     if not len(left) or not len(right):
         return
+    root = comp.copy()
     tree = CountRTree(points[right])
     for a in left:
         low = -(-percent * int(n[a]) // 100)
         hit = right[tree.partners(points[a], -(-percent * (int(n[a]) + low) // (100 + percent)))]
-        hit = hit[(comp[hit] != comp[a]) & ((cls[hit] > cls[a]) | (i != j))]
-        hit = hit[np.minimum(points[hit], points[a]).sum(1) * (100 + percent) >= percent * (n[hit] + n[a])]
-        for h in hit:
-            x, y = int(cls[a]), int(cls[h])
-            d = min(len(raw[a]), len(raw[h]))
-            if d == groups or int(np.minimum(fold(raw[a], d), fold(raw[h], d)).sum()) * (100 + percent) >= percent * int(n[a] + n[h]):
-                yield (x, y) if x < y else (y, x)
+        hit = hit[root[hit] != root[a]]
+        over = np.minimum(points[hit], points[a]).sum(1)
+        fit = over * (100 + percent) >= percent * (n[hit] + n[a])
+        for h in hit[fit][np.argsort(-over[fit], kind="stable")]:
+            if root[h] == root[a]:
+                continue
+            need, d = percent * int(n[a] + n[h]), min(len(raw[a]), len(raw[h]))
+            if d > groups and int(np.minimum(fold(raw[a], d), fold(raw[h], d)).sum()) * (100 + percent) < need:
+                continue
+            if verify and _overlap(rows[a][8], rows[h][8]) * (100 + percent) < need:
+                continue
+            yield (rows[a][4], rows[h][4]) if verify else (int(comp[a]), int(comp[h]))
+            root[root == root[h]] = root[a]
+
+
+def _overlap(x: bytes, y: bytes) -> int:
+    s, t = np.frombuffer(x, _U), np.frombuffer(y, _U)
+    return int((s[np.minimum(np.searchsorted(s, t), len(s) - 1)] == t).sum())
 
 
 def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -340,9 +351,15 @@ def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "do
     comp = components(links, "a", "b")
     state = sized.join(comp.select(F.col("node").alias("class"), "root"), "class", "left").select("block", "class", "size", F.coalesce("root", "class").alias("comp"))
     open_blocks = state.groupBy("block").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("block")
-    rest = materialise(state.join(open_blocks, "block").join(sets.select("class", "n", "points"), "class"))
-    more = materialise(_tree_pairs(rest, percent).join(pairs, ["a", "b"], "left_anti"))
-    links = links.unionByName(materialise(_verified(more, sets, percent), VERIFY_ROWS))
+    rest = state.join(open_blocks, "block").join(sets.select("class", "n", "points"), "class")
+    columns = ["class", "comp", "n", "points"]
+    maybe = materialise(_by_slices(rest, "block", F.ceil(F.col("size") / BLOCK_ROWS), columns, lambda r: _join_rows(r, percent, False)))
+    family = components(maybe, "a", "b").unionByName(maybe.select(F.explode(F.array("a", "b")).alias("node")).select("node", F.col("node").alias("root"))).groupBy("node").agg(F.min("root").alias("family"))
+    member = sets.join(comp.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("comp", F.coalesce("root", "class"))
+    member = member.join(family.withColumnRenamed("node", "comp"), "comp").select("family", *columns, "hashes")
+    weight = member.groupBy("family").agg(F.sum(F.length("hashes")).alias("weight"))
+    more = _by_slices(member.join(weight, "family"), "family", F.ceil(F.col("weight") / FAMILY_BYTES), [*columns, "hashes"], lambda r: _join_rows(r, percent, True))
+    links = links.unionByName(materialise(more, VERIFY_ROWS))
     comp = components(links, "a", "b")
     named = rows.join(comp.select(F.col("node").alias("class"), "root"), "class", "left").select("id", "n", F.coalesce("root", "class").alias("root"))
     name = named.filter("root is not null").groupBy("root").agg(F.min("id").alias("name"))
