@@ -4,11 +4,290 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from leafspan.functions import score as S
+from leafspan.functions import text as T
+from leafspan.operators import chunk as C
+from leafspan.operators import markdown as M
+from leafspan.operators import retrieval as R
+from leafspan.operators import trees as TR
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
+QUERY = "haand esand the thly 2024"
+TERMS = ["haand", "esand", "thly", "2024"]
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _uuid_sql(name: str) -> str:
+    h = f"sha1(unhex('{T.NAMESPACE_URL}') || encode({name}))"
+    return f"substr({h},1,8) || '-' || substr({h},9,4) || '-5' || substr({h},14,3) || '-' || translate(substr({h},17,1),'0123456789abcdef','89ab89ab89ab89ab') || substr({h},18,3) || '-' || substr({h},21,12)"
+
+
+@query(f"""SELECT doc_id, length(text) - length(replace(text, chr(10), '')) + 1 AS line_count,
+  CASE WHEN length(text) <= 100 THEN text ELSE rtrim(substr(text, 1, 97), ' ') || '...' END AS clipped,
+  CASE WHEN length(text) <= 160 THEN text ELSE regexp_replace(substr(text, 1, 160), '[，。；;:： ]+$', '') || '…' END AS summary,
+  sha256(text) AS text_hash, {_uuid_sql("CAST(doc_id AS VARCHAR) || ':' || source")} AS section_id FROM documents""")
+def text_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.col("text")
+    return _t(spark, sf_dir, "documents").select("doc_id", T.line_count(t).alias("line_count"), T.clip(t, 100).alias("clipped"), T.truncate_summary(t).alias("summary"), T.text_hash(t).alias("text_hash"), T.section_id(F.col("doc_id").cast("string"), F.col("source")).alias("section_id"))
+
+
+@query("""WITH l AS (SELECT doc_id, source, list_filter(list_transform(string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '') AS l FROM documents)
+SELECT doc_id, array_to_string(l, chr(10)) AS body, source || chr(10) || array_to_string(l, chr(10)) AS context FROM l""")
+def section_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    body = T.section_body(F.col("text"), F.col("source"))
+    rows = _t(spark, sf_dir, "documents").select("doc_id", "source", body.alias("body"))
+    return rows.select("doc_id", "body", T.contextual_text(F.col("source"), F.col("source"), F.col("body")).alias("context"))
+
+
+@query("""SELECT item_id, CASE WHEN regexp_matches(text, '[一-鿿]') THEN 'zh' WHEN regexp_matches(text, '[A-Za-z]') THEN 'en' ELSE 'unknown' END AS language,
+  CASE WHEN contains(t, 'trend') THEN 'trend' WHEN contains(t, 'compare') OR contains(t, 'comparison') OR contains(t, 'vs') OR contains(t, 'versus') THEN 'comparison'
+  WHEN contains(t, 'benchmark') OR contains(t, 'rank') OR contains(t, 'top') THEN 'benchmark' WHEN contains(t, 'why') OR contains(t, 'reason') OR contains(t, 'impact') THEN 'diagnosis'
+  WHEN contains(t, 'how') OR contains(t, 'strategy') OR contains(t, 'strategies') OR contains(t, 'advice') THEN 'strategy' ELSE 'general' END AS intent,
+  len(list_distinct(list_filter(list_transform(regexp_extract_all(text, '[A-Za-z0-9+.-]{2,}'), lambda x: lower(x)), lambda x: x NOT IN ('the','and','for','with','from','into','that','this','what','which','when','where','why','how')))) AS n_terms
+FROM (SELECT *, lower(text) AS t FROM benchmark)""")
+def query_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = F.col("text")
+    return _t(spark, sf_dir, "benchmark").select("item_id", T.language(q).alias("language"), T.intent(q).alias("intent"), F.size(T.search_terms(q)).cast("long").alias("n_terms"))
+
+
+def _corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as chunks: the source is the section, the language the document."""
+    d = _t(spark, sf_dir, "documents")
+    return d.select(F.col("lang").alias("doc_id"), F.col("source").alias("section_id"), F.col("doc_id").alias("chunk_id"), F.col("source").alias("title"), F.concat_ws(" > ", "lang", "source").alias("title_path"), F.col("text").alias("search_text"))
+
+
+_CORPUS_SQL = "c AS (SELECT lang AS doc_id, source AS section_id, doc_id AS chunk_id, source AS title, lang || ' > ' || source AS title_path, text AS search_text FROM documents)"
+_TRI = "list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower({0}), '[^\\p{{L}}\\p{{Nd}}]+'), lambda w: w <> ''), lambda w: list_transform(range(1, CAST(length(w) + 2 AS BIGINT)), lambda i: substr('  ' || w || ' ', CAST(i AS BIGINT), 3)))))"
+_HITS = " + ".join("CASE WHEN contains(lower({0}), '%s') THEN 1 ELSE 0 END" % t for t in TERMS)
+
+
+def _sim_sql(field: str) -> str:
+    a, b = _TRI.format(field), _TRI.format(f"'{QUERY}'")
+    return f"coalesce(CAST(len(list_intersect({a}, {b})) AS DOUBLE) / nullif(len(list_distinct(list_concat({a}, {b}))), 0), 0.0)"
+
+
+_LEXICAL_SQL = f"""{_CORPUS_SQL},
+h AS (SELECT *, {_HITS.format("title")} AS th, {_HITS.format("title_path")} AS ph, {_HITS.format("search_text")} AS bh, {_sim_sql("title")} AS ts, {_sim_sql("title_path")} AS ps, {_sim_sql("search_text")} AS bs FROM c),
+lx AS (SELECT doc_id, section_id, chunk_id, 0.0 + 5.0 * th + 2.0 * 0.0 + 1.0 * ts + (3.0 * ph + 0.75 * ps) + (1.5 * bh + 0.5 * bs) AS lexical_score FROM h WHERE greatest(th, ph, bh) > 0 OR greatest(ts, ps, bs) >= 0.18),
+lex AS (SELECT *, row_number() OVER (ORDER BY round(lexical_score, 9) DESC, doc_id, chunk_id) AS lexical_rank FROM lx QUALIFY lexical_rank <= 60)"""
+
+
+def _lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.lexical_recall(_corpus(spark, sf_dir), QUERY, TERMS, words=False)
+
+
+@query(f"WITH {_LEXICAL_SQL} SELECT doc_id, section_id, chunk_id, lexical_rank, lexical_score FROM lex")
+def lexical_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lexical(spark, sf_dir).select("doc_id", "section_id", "chunk_id", F.col("lexical_rank").cast("long").alias("lexical_rank"), "lexical_score")
+
+
+@query()
+def lexical_recall_with_word_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.lexical_recall(_corpus(spark, sf_dir), QUERY, TERMS).select("doc_id", "chunk_id", "lexical_rank", "lexical_score")
+
+
+_VECTOR = [((i * 37) % 64 - 31.5) / 100 for i in range(64)]
+_Q = "[" + ", ".join(f"{x}::DOUBLE" for x in _VECTOR) + "]"
+_DENSE_SQL = f"""v AS (SELECT vec_id AS chunk_id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), {_Q}) AS cos FROM embeddings),
+den AS (SELECT chunk_id, greatest(0.0, cos) AS dense_score, row_number() OVER (ORDER BY cos DESC, chunk_id) AS dense_rank FROM v QUALIFY dense_rank <= 60)"""
+
+
+def _dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
+    return R.dense_recall(e, _VECTOR)
+
+
+@query(f"WITH {_DENSE_SQL} SELECT chunk_id, round(dense_score, 9) AS dense_score, dense_rank FROM den")
+def dense_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _dense(spark, sf_dir).select("chunk_id", F.round("dense_score", 9).alias("dense_score"), F.col("dense_rank").cast("long").alias("dense_rank"))
+
+
+def _fused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = _corpus(spark, sf_dir).select("chunk_id", "doc_id", "section_id")
+    return R.fuse(_dense(spark, sf_dir).join(names, "chunk_id"), _lexical(spark, sf_dir))
+
+
+_FUSED_SQL = f"""{_LEXICAL_SQL}, {_DENSE_SQL}, dn AS (SELECT den.*, c.doc_id, c.section_id FROM den JOIN c USING (chunk_id)),
+f0 AS (SELECT coalesce(dn.chunk_id, lex.chunk_id) AS chunk_id, coalesce(dn.doc_id, lex.doc_id) AS doc_id, coalesce(dn.section_id, lex.section_id) AS section_id, dense_rank, lexical_rank,
+  round(coalesce(1.0 / (60 + dense_rank), 0) + coalesce(1.0 / (60 + lexical_rank), 0), 8) AS rrf_score FROM dn FULL JOIN lex ON dn.chunk_id = lex.chunk_id),
+fused AS (SELECT *, row_number() OVER (ORDER BY rrf_score DESC, coalesce(dense_rank, 0), coalesce(lexical_rank, 0), dense_rank NULLS LAST, lexical_rank) AS fused_rank FROM f0 QUALIFY fused_rank <= 80)"""
+
+
+@query(f"WITH {_FUSED_SQL} SELECT chunk_id, doc_id, section_id, rrf_score, fused_rank FROM fused")
+def rank_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _fused(spark, sf_dir).select("chunk_id", "doc_id", "section_id", "rrf_score", F.col("fused_rank").cast("long").alias("fused_rank"))
+
+
+_SECTIONS_SQL = """s0 AS (SELECT *, row_number() OVER (PARTITION BY doc_id, section_id ORDER BY fused_rank) AS rn FROM fused),
+sec AS (SELECT doc_id, section_id, round(sum(rrf_score) FILTER (rn <= 3), 8) AS section_score, count(*) AS matched_chunk_count, min(fused_rank) AS first_rank FROM s0 GROUP BY ALL)"""
+_DOCS_SQL = """d0 AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY fused_rank) AS rn FROM fused),
+doc AS (SELECT doc_id, round(sum(rrf_score) FILTER (rn <= 5), 8) AS doc_score, count(DISTINCT section_id) AS matched_section_count, min(fused_rank) AS first_rank FROM d0 GROUP BY ALL)"""
+
+
+@query(f"WITH {_FUSED_SQL}, {_SECTIONS_SQL} SELECT * FROM sec")
+def section_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.aggregate_sections(_fused(spark, sf_dir)).select("doc_id", "section_id", "section_score", "matched_chunk_count", F.col("first_rank").cast("long").alias("first_rank"))
+
+
+@query(f"WITH {_FUSED_SQL}, {_DOCS_SQL} SELECT doc_id, doc_score, matched_section_count FROM doc ORDER BY doc_score DESC, first_rank LIMIT 10")
+def document_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.aggregate_docs(_fused(spark, sf_dir)).select("doc_id", "doc_score", "matched_section_count")
+
+
+def _geo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """region > nation > customer as a section tree, one document per region."""
+    r = _t(spark, sf_dir, "region").select(F.col("r_regionkey").alias("doc_id"), F.concat(F.lit("r"), "r_regionkey").alias("rid"), "r_name")
+    n = _t(spark, sf_dir, "nation").select("n_nationkey", F.col("n_regionkey").alias("doc_id"), F.concat(F.lit("n"), "n_nationkey").alias("nid"), "n_name")
+    c = _t(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("n_nationkey"), F.concat(F.lit("c"), "c_custkey").alias("cid"), "c_name", "c_mktsegment")
+    rows = lambda sid, pid, title, depth, summary, path, *up: [F.col("doc_id"), F.col(sid).alias("section_id"), pid.alias("parent_id"), F.col(title).alias("title"), F.lit(depth).alias("depth"), summary.alias("summary"), F.concat_ws(" > ", *path).alias("title_path"), F.array(*up).cast("array<string>").alias("ancestor_ids")]
+    none = F.lit(None).cast("string")
+    top = r.select(*rows("rid", none, "r_name", 0, F.lit(""), ["r_name"]))
+    mid = n.join(r, "doc_id")
+    low = c.join(mid, "n_nationkey")
+    return top.unionByName(mid.select(*rows("nid", F.col("rid"), "n_name", 1, F.lit(""), ["r_name", "n_name"], "rid"))).unionByName(low.select(*rows("cid", F.col("nid"), "c_name", 2, F.col("c_mktsegment"), ["r_name", "n_name", "c_name"], "rid", "nid")))
+
+
+_GEO_SQL = """t AS (SELECT r_regionkey AS doc_id, 'r' || r_regionkey AS section_id, CAST(NULL AS VARCHAR) AS parent_id, r_name AS title, 0 AS depth, '' AS summary, r_name AS title_path, CAST([] AS VARCHAR[]) AS anc FROM region
+  UNION ALL SELECT n_regionkey, 'n' || n_nationkey, 'r' || n_regionkey, n_name, 1, '', r_name || ' > ' || n_name, ['r' || n_regionkey] FROM nation JOIN region ON n_regionkey = r_regionkey
+  UNION ALL SELECT n_regionkey, 'c' || c_custkey, 'n' || n_nationkey, c_name, 2, c_mktsegment, r_name || ' > ' || n_name || ' > ' || c_name, ['r' || n_regionkey, 'n' || n_nationkey] FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+a AS (SELECT r_regionkey AS doc_id, x.section_id AS anchor_id, CAST(0.03 AS DOUBLE) - CAST(0.001 AS DOUBLE) * x.k AS section_score, x.k AS section_rank FROM region JOIN (SELECT n_regionkey, 'n' || min(n_nationkey) AS section_id, 1 AS k FROM nation GROUP BY 1 UNION ALL SELECT n_regionkey, 'c' || min(c_custkey), 2 FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1) x ON n_regionkey = r_regionkey),
+p AS (SELECT a.*, unnest(list_append(t.anc, a.anchor_id)) AS on_path FROM a JOIN t ON t.section_id = a.anchor_id),
+e AS (SELECT doc_id, anchor_id AS section_id, anchor_id, section_score, section_rank, 5 AS strength, 'anchor' AS relation FROM a
+  UNION ALL SELECT t.doc_id, t.section_id, a.anchor_id, section_score, section_rank, 4, 'descendant' FROM t JOIN a ON list_contains(t.anc, a.anchor_id)
+  UNION ALL SELECT p.doc_id, on_path, anchor_id, section_score, section_rank, 3, 'ancestor' FROM p WHERE on_path <> anchor_id
+  UNION ALL SELECT s.doc_id, s.section_id, p.anchor_id, section_score, section_rank, 2, 'sibling' FROM p JOIN t x ON x.section_id = p.on_path JOIN t s ON s.parent_id = x.parent_id WHERE NOT EXISTS (SELECT 1 FROM p q WHERE q.anchor_id = p.anchor_id AND q.on_path = s.section_id)),
+pool AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY section_id ORDER BY strength DESC, section_rank) = 1)"""
+
+
+def _pool(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    tree = _geo(spark, sf_dir)
+    n = _t(spark, sf_dir, "nation")
+    c = _t(spark, sf_dir, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+    one = n.groupBy(F.col("n_regionkey").alias("doc_id")).agg(F.concat(F.lit("n"), F.min("n_nationkey")).alias("section_id")).withColumn("section_rank", F.lit(1))
+    two = c.groupBy(F.col("n_regionkey").alias("doc_id")).agg(F.concat(F.lit("c"), F.min("c_custkey")).alias("section_id")).withColumn("section_rank", F.lit(2))
+    anchors = one.unionByName(two).withColumn("section_score", 0.03 - 0.001 * F.col("section_rank"))
+    return tree, R.candidate_pool(tree, anchors)
+
+
+@query(f"WITH {_GEO_SQL} SELECT doc_id, section_id, anchor_id, relation, round(section_score, 6) AS section_score FROM pool")
+def candidate_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pool(spark, sf_dir)[1].select("doc_id", "section_id", "anchor_id", "relation", F.round("section_score", 6).alias("section_score"))
+
+
+@query(f"""WITH {_GEO_SQL}, s AS (SELECT pool.*, t.title_path, t.depth, round(CASE relation WHEN 'anchor' THEN 4.0::DOUBLE WHEN 'descendant' THEN 2.75::DOUBLE WHEN 'ancestor' THEN 2.1::DOUBLE ELSE 1.45::DOUBLE END + 100 * section_score
+  + 3 * contains(lower(title), 'china')::INT + 2 * contains(lower(title_path), 'china')::INT + 3 * contains(lower(title), 'building')::INT + 2 * contains(lower(title_path), 'building')::INT + contains(lower(summary), 'china')::INT + contains(lower(summary), 'building')::INT, 8) AS localization_score
+  FROM pool JOIN t USING (section_id))
+SELECT doc_id, section_id, relation, localization_score, row_number() OVER (PARTITION BY doc_id ORDER BY localization_score DESC, strength DESC, depth, title_path DESC) AS local_rank FROM s QUALIFY local_rank <= 5""")
+def localization(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tree, pool = _pool(spark, sf_dir)
+    out = R.localize(pool, tree, F.array(F.lit("China"), F.lit("building")), F.array(F.lit("2024")))
+    return out.select("doc_id", "section_id", "relation", "localization_score", F.col("local_rank").cast("long").alias("local_rank"))
+
+
+@query("""WITH s AS (SELECT conv_id, min(turn) + 1 AS mid FROM conversations WHERE role = 'user' GROUP BY 1), c AS (SELECT conv_id, turn, min(abs(turn - mid)) AS distance FROM conversations JOIN s USING (conv_id) WHERE abs(turn - mid) <= 1 GROUP BY 1, 2)
+SELECT conv_id, turn, CASE WHEN distance = 0 THEN 'supporting' ELSE 'neighbor' END AS role, row_number() OVER (PARTITION BY conv_id ORDER BY distance, turn) AS evidence_rank FROM c QUALIFY evidence_rank <= 6""")
+def neighbour_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _t(spark, sf_dir, "conversations")
+    chunks = c.select(F.lit(0).alias("doc_id"), F.col("conv_id").alias("section_id"), F.col("turn").alias("chunk_index"), F.col("turn").alias("chunk_id"))
+    at = c.filter("role = 'user'").groupBy("conv_id").agg((F.min("turn") + 1).alias("chunk_index")).select(F.lit(0).alias("doc_id"), F.col("conv_id").alias("section_id"), "chunk_index")
+    out = R.neighbours(chunks, at)
+    return out.select(F.col("section_id").alias("conv_id"), F.col("chunk_index").alias("turn"), "role", F.col("evidence_rank").cast("long").alias("evidence_rank"))
+
+
+@query("""WITH c AS (SELECT o_custkey AS doc_id, o_orderpriority AS section_id, o_orderkey AS seq, o_orderpriority AS title_path, round(o_totalprice, 2) AS s FROM orders),
+o AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY doc_id, section_id ORDER BY s DESC, seq) = 1), f AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, title_path DESC) <= 3)
+SELECT doc_id, section_id, s AS evidence_score, row_number() OVER (ORDER BY s DESC, title_path DESC) AS evidence_rank FROM f QUALIFY evidence_rank <= 8""")
+def evidence_package(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = _t(spark, sf_dir, "orders")
+    ctx = o.select(F.col("o_custkey").alias("doc_id"), F.col("o_orderpriority").alias("section_id"), F.col("o_orderkey").alias("seq"), F.col("o_orderpriority").alias("title_path"), F.round("o_totalprice", 2).alias("evidence_score"))
+    out = R.package(ctx, ctx.groupBy("doc_id").agg(F.max("evidence_score").alias("doc_score")))
+    return out.select("doc_id", "section_id", "evidence_score", F.col("evidence_rank").cast("long").alias("evidence_rank"))
+
+
+def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as Markdown lines: a header per turn, of level turn % 3 + 1, then the text's first line."""
+    c = _t(spark, sf_dir, "conversations")
+    head = c.select(F.col("conv_id").alias("doc_id"), (2 * F.col("turn")).cast("int").alias("line"), F.concat(F.repeat(F.lit("#"), (F.col("turn") % 3 + 1).cast("int")), F.lit(" "), F.col("role"), F.lit(" "), F.col("turn")).alias("text"))
+    body = c.select(F.col("conv_id").alias("doc_id"), (2 * F.col("turn") + 1).cast("int").alias("line"), F.element_at(F.split("text", "\n"), 1).alias("text"))
+    return head.unionByName(body)
+
+
+_TURNS_SQL = """h AS (SELECT conv_id AS doc_id, CAST(2 * turn AS INT) AS line, CAST(turn % 3 + 1 AS INT) AS level, role || ' ' || turn AS title FROM conversations)"""
+
+
+@query(f"""WITH {_TURNS_SQL} SELECT doc_id, line, level, title, (SELECT max(p.line) FROM h p WHERE p.doc_id = h.doc_id AND p.line < h.line AND p.level < h.level AND NOT EXISTS (SELECT 1 FROM h q WHERE q.doc_id = h.doc_id AND q.line > p.line AND q.line < h.line AND q.level < h.level)) AS parent_line,
+  printf('%04d', row_number() OVER (PARTITION BY doc_id ORDER BY line) - 1) AS node_id FROM h""")
+def markdown_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _turns(spark, sf_dir)
+    return M.section_rows(lines, M.headers(lines)).select("doc_id", "line", "level", "title", "parent_line", "node_id")
+
+
+@query(f"""WITH {_TURNS_SQL}, e AS (SELECT h.*, (SELECT max(p.line) FROM h p WHERE p.doc_id = h.doc_id AND p.line < h.line AND p.level < h.level) AS parent_line FROM h),
+x AS (WITH RECURSIVE r AS (SELECT doc_id, line, title AS title_path, 0 AS depth FROM e WHERE parent_line IS NULL UNION ALL SELECT e.doc_id, e.line, r.title_path || ' > ' || e.title, r.depth + 1 FROM e JOIN r ON e.doc_id = r.doc_id AND e.parent_line = r.line) SELECT * FROM r)
+SELECT doc_id, line, title_path, CAST(depth AS INT) AS depth, NOT EXISTS (SELECT 1 FROM e WHERE e.doc_id = x.doc_id AND e.parent_line = x.line) AS is_leaf FROM x""")
+def title_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _turns(spark, sf_dir)
+    return M.with_paths(M.section_rows(lines, M.headers(lines))).select("doc_id", "line", "title_path", "depth", "is_leaf")
+
+
+@query("""WITH e AS (SELECT user_id AS doc_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS INT) AS line, CAST(day(ts) AS INT) AS page FROM events),
+g AS (SELECT *, line - row_number() OVER (PARTITION BY doc_id, page ORDER BY line) AS g FROM e)
+SELECT doc_id, page, min(line) AS first_line, max(line) AS last_line FROM g GROUP BY doc_id, page, g""")
+def page_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _t(spark, sf_dir, "events")
+    lines = e.select(F.col("user_id").alias("doc_id"), (F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1).alias("line"), F.dayofmonth("ts").alias("page"))
+    return M.page_runs(lines).select("doc_id", "page", "first_line", "last_line")
+
+
+@query(f"""WITH {_GEO_SQL.split("a AS (SELECT r_regionkey")[0].rstrip().rstrip(",")} SELECT doc_id, count(*) AS node_count, count(*) FILTER (parent_id IS NULL) AS root_count, CAST(max(depth) AS INT) AS max_depth, count(*) - count(DISTINCT title) AS duplicate_titles FROM t GROUP BY doc_id""")
+def tree_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _geo(spark, sf_dir).withColumn("page_index", F.lit(None).cast("int")).withColumn("preorder", F.col("section_id"))
+    return TR.tree_metrics(t).select("doc_id", "node_count", "root_count", "max_depth", "duplicate_titles")
+
+
+@query("""WITH a AS (SELECT p_type AS title, min_by(p_size, p_partkey) AS a FROM part WHERE p_partkey % 3 <> 0 GROUP BY 1), e AS (SELECT p_type AS title, max_by(p_size, p_partkey) AS e FROM part WHERE p_partkey % 2 = 0 GROUP BY 1), b AS (SELECT a.title AS x, e.title AS y, a, e FROM a FULL JOIN e ON a.title = e.title)
+SELECT count(*) FILTER (x IS NOT NULL AND y IS NOT NULL) AS matched, round(count(*) FILTER (x IS NOT NULL AND y IS NOT NULL) / count(x), 4) AS title_precision, round(count(*) FILTER (x IS NOT NULL AND y IS NOT NULL) / count(y), 4) AS title_recall,
+  round(count(*) FILTER (abs(a - e) <= 1) / count(*) FILTER (x IS NOT NULL AND y IS NOT NULL), 4) AS within_one, round(count(*) FILTER (a = e) / count(*) FILTER (x IS NOT NULL AND y IS NOT NULL), 4) AS exact_page FROM b""")
+def tree_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _t(spark, sf_dir, "part").select(F.col("p_type").alias("title"), F.col("p_size").alias("page_index"), F.col("p_partkey").alias("preorder"))
+    return TR.compare_trees(p.filter("preorder % 3 <> 0"), p.filter("preorder % 2 = 0"))
+
+
+@query()
+def chunking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _t(spark, sf_dir, "documents")
+    s = d.select("doc_id", T.section_id(F.col("doc_id").cast("string"), F.lit("0000")).alias("section_id"), F.lit("0000").alias("node_id"), F.col("source").alias("title"), F.col("source").alias("title_path"), F.lit(None).cast("int").alias("page_index"), "text", F.lit(True).alias("is_leaf"))
+    return C.build_chunks(s).select("doc_id", "chunk_id", "chunk_index", "token_count", "text_hash")
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").limit(1)
+    """Ranked evidence for QUERY: dense and lexical recall, fusion, sections of the best documents, packaging."""
+    fused = _fused(spark, sf_dir)
+    docs = R.aggregate_docs(fused)
+    best = R.top_sections(R.aggregate_sections(fused), docs)
+    score = S.evidence_score(100 * F.col("section_score"), F.size("supporting_chunks"), F.lit(0), F.lit(0), F.lit(0))
+    contexts = best.select("doc_id", "section_id", F.col("section_rank").alias("seq"), F.concat_ws(" > ", "doc_id", "section_id").alias("title_path"), score.alias("evidence_score"))
+    return R.package(contexts, docs).select("evidence_rank", "evidence_id", "doc_id", "section_id", "evidence_score", "doc_score")
+
+
+@query()
+def evidence_for_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flagship(spark, sf_dir)
