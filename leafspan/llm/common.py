@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import math
 import uuid
 from collections.abc import Callable, Iterator
@@ -36,6 +37,8 @@ def materialise(df: DataFrame, batch_rows: int | None = None) -> DataFrame:
 
     With batch_rows, Python receives at most so many rows at once meanwhile (for rows that hold large arrays).
     """
+    gc.collect()
+    df.sparkSession._jvm.System.gc()  # the cleaner then drops shuffle files of tables written before
     path, conf = scratch(df.sparkSession), df.sparkSession.conf
     before = conf.get(ARROW_ROWS)
     if batch_rows:

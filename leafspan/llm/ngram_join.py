@@ -5,12 +5,11 @@ are hashed into more groups than the largest symmetric difference two linked set
 wholly in at least one group. The content hash of a group is thus an exact blocking key (two bands per set, so that
 sets of neighbouring sizes meet). Keys travel as packed arrays, and blocks with one class vanish where they are read.
 
-Within blocks, the counts of shingles by groups are points: the sum of coordinate minima bounds the overlap. Each
-block's most shared class is compared with the rest first; blocks that this leaves in several components put their
-points in an R-tree (packed by sorting, bounding boxes, several levels), which is asked for every point's possible
-partners in other components. What may link is a family; its sets are brought together once (in slices of bounded
-bytes, every two of which meet), searched by R-tree again, and each possible pair between components is verified on the
-full sets until it joins them. Neither step emits pairs: both yield forests. Verified links are joined to components.
+Within blocks, the counts of shingles by groups are points in an R-tree (packed by sorting, bounding boxes, several
+levels): the sum of coordinate minima bounds the overlap, of a box as of a point. What may link by that bound is a
+family. A family's sets are brought together once (in slices of bounded bytes, every two of which meet), searched by
+R-tree again, and each possible pair between components is verified on the full sets until it joins them. Neither step
+emits pairs: both yield forests. Verified links are joined to components.
 
 Sets are compared by 64-bit shingle hashes and classes named by a 64-bit hash of the set: a false match of two
 different sets needs a collision (about rows squared / 2**65).
@@ -157,16 +156,16 @@ def _columns(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def shingle_classes(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, n (set size) and class (null for an empty set)."""
+    """Per row: id, n (set size), class and points (both null for an empty set)."""
     kind = dict(docs.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = shingle_sets(b.column(1).to_pylist(), k)
-            rows = [(len(s), class_of(s) if len(s) else None) for s in sets]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], names=["id", "n", "class"])
+            rows = [(len(s), class_of(s), count_vector(s).tobytes()) if len(s) else (0, None, None) for s in sets]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], names=["id", "n", "class", "points"])
 
-    return _columns(docs, id_col, text_col).mapInArrow(run, f"id {kind}, n long, class long")
+    return _columns(docs, id_col, text_col).mapInArrow(tidy(run), f"id {kind}, n long, class long, points binary")
 
 
 def _blocks(docs: DataFrame, k: int, percent: int, n_parts: int) -> DataFrame:
@@ -221,47 +220,21 @@ def _blocks(docs: DataFrame, k: int, percent: int, n_parts: int) -> DataFrame:
 
 
 def _sets_of(docs: DataFrame, chosen: DataFrame, k: int) -> DataFrame:
-    """(class, n, points, hashes) of the chosen (id, class): texts pass a fixed-size filter before they are shuffled."""
+    """(class, hashes) of the chosen (id, class): texts pass a fixed-size filter before they are shuffled.
+
+    A row that only shares the id is told by its own class and left out.
+    """
     bits = docs.sparkSession.sparkContext.broadcast(id_filter(chosen, "id"))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, b.num_rows, 500):
                 part = b.slice(lo, 500)
-                sets = list(shingle_sets(part.column(1).to_pylist(), k))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([count_vector(s).tobytes() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["class", "n", "points", "hashes"])
+                found = [(c, s) for c, s in zip(part.column(0).to_pylist(), shingle_sets(part.column(1).to_pylist(), k), strict=True) if len(s) and class_of(s) == c]
+                yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in found], pa.int64()), pa.array([s.tobytes() for _, s in found], pa.binary())], names=["class", "hashes"])
 
     near = sift(docs.select("id", "text"), bits, "id", True)
-    return near.join(chosen, "id").select("class", "text").mapInArrow(tidy(measure), "class long, n long, points binary, hashes binary").dropDuplicates(["class"])
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes that link: the bound on small rows first, then the sets themselves."""
-
-    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = []
-            for x, y in zip(b.column("p"), b.column("q"), strict=True):
-                p, q = np.frombuffer(x.as_buffer(), np.uint16), np.frombuffer(y.as_buffer(), np.uint16)
-                d = min(len(p), len(q))
-                p, q = fold(p, d), fold(q, d)
-                keep.append(int(np.minimum(p, q).sum()) * (100 + percent) >= percent * int(p.sum() + q.sum()))
-            yield b.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = []
-            for x, y in zip(b.column("x"), b.column("y"), strict=True):
-                s, t = np.frombuffer(x.as_buffer(), _U), np.frombuffer(y.as_buffer(), _U)
-                at = np.minimum(np.searchsorted(s, t), len(s) - 1)
-                both = int((s[at] == t).sum())
-                keep.append(both * (100 + percent) >= percent * (len(s) + len(t)))
-            yield b.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
-
-    small = sets.select("class", "points")
-    near = pairs.join(small.select(F.col("class").alias("a"), F.col("points").alias("p")), "a").join(small.select(F.col("class").alias("b"), F.col("points").alias("q")), "b").select("a", "b", "p", "q").mapInArrow(bound, "a long, b long")
-    full = near.join(sets.select(F.col("class").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("class").alias("b"), F.col("hashes").alias("y")), "b")
-    return full.select("a", "b", "x", "y").mapInArrow(tidy(verify), "a long, b long")
+    return near.join(chosen, "id").select("class", "text").mapInArrow(tidy(measure), "class long, hashes binary")
 
 
 def _by_slices(rows: DataFrame, key: str, slices, columns: list[str], task) -> DataFrame:
@@ -294,20 +267,20 @@ def _pair_batch(found: set[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def _join_rows(rows: list[tuple], percent: int, verify: bool) -> Iterator[tuple[int, int]]:
-    """rows: (key, i, j, own, class, comp, n, points[, hashes]) of two slices. Searches each row's possible partners in
-    other components and joins components on the way, so what it yields is a forest: pairs of components that may link,
-    or, with verify, pairs of classes that do."""
-    if len(rows) < 2 or rows[0][5] == rows[-1][5] and len({r[5] for r in rows}) == 1:
+    """rows: (key, i, j, own, class, n, points[, hashes]) of two slices. Searches each row's possible partners in
+    other components (at first each class is one) and joins components on the way, so what it yields is a forest: pairs
+    of classes that may link, or, with verify, that do."""
+    if len(rows) < 2:
         return
     i, j = rows[0][1:3]
-    raw = [np.frombuffer(r[7], np.uint16) for r in rows]
+    raw = [np.frombuffer(r[6], np.uint16) for r in rows]
     groups = min(map(len, raw))
     points = np.array([fold(p, groups) for p in raw])
-    own, comp, n = (np.array([r[c] for r in rows]) for c in (3, 5, 6))
+    own, comp, n = (np.array([r[c] for r in rows]) for c in (3, 4, 5))
     left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
     if not len(left) or not len(right):
         return
-    root = comp.copy()
+    root, apart = comp.copy(), len(set(comp.tolist()))
     tree = CountRTree(points[right])
     for a in left:
         low = -(-percent * int(n[a]) // 100)
@@ -321,10 +294,13 @@ def _join_rows(rows: list[tuple], percent: int, verify: bool) -> Iterator[tuple[
             need, d = percent * int(n[a] + n[h]), min(len(raw[a]), len(raw[h]))
             if d > groups and int(np.minimum(fold(raw[a], d), fold(raw[h], d)).sum()) * (100 + percent) < need:
                 continue
-            if verify and _overlap(rows[a][8], rows[h][8]) * (100 + percent) < need:
+            if verify and _overlap(rows[a][7], rows[h][7]) * (100 + percent) < need:
                 continue
-            yield (rows[a][4], rows[h][4]) if verify else (int(comp[a]), int(comp[h]))
+            yield rows[a][4], rows[h][4]
             root[root == root[h]] = root[a]
+            apart -= 1
+            if apart == 1:
+                return
 
 
 def _overlap(x: bytes, y: bytes) -> int:
@@ -338,28 +314,18 @@ def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "do
     src = _columns(docs, id_col, text_col)
     rows = materialise(shingle_classes(docs, k, id_col, text_col))
     total = rows.agg(F.sum("n")).first()[0] or 0
-    first = rows.filter("class is not null").groupBy("class").agg(F.min("id").alias("id"))
     blocks = materialise(_blocks(src, k, percent, partitions(spark, total * 4 * (100 - percent) / (100 + percent), 4e6)))
+    classes = rows.filter("class is not null").groupBy("class").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("points").alias("points"))
+    classes = materialise(classes.join(blocks.select("class").distinct(), "class", "left_semi"))
     size = blocks.groupBy("block").agg(F.count("*").alias("size"))
-    sized = materialise(blocks.join(size, "block"))
-    shared = sized.groupBy("class").agg(F.sum("size").alias("shared"))
-    ranked = sized.select("block", "class").join(shared, "class")
-    lead = ranked.groupBy("block").agg(F.max_by("class", F.struct("shared", -F.col("class").cast("decimal(20,0)"))).alias("lead"))
-    pairs = materialise(sized.join(lead, "block").filter("class <> lead").select(F.least("class", "lead").alias("a"), F.greatest("class", "lead").alias("b")).distinct())
-    sets = materialise(_sets_of(src, first.join(shared.select("class"), "class").select("id", "class"), k), 2000)
-    links = materialise(_verified(pairs, sets, percent), VERIFY_ROWS)
-    comp = components(links, "a", "b")
-    state = sized.join(comp.select(F.col("node").alias("class"), "root"), "class", "left").select("block", "class", "size", F.coalesce("root", "class").alias("comp"))
-    open_blocks = state.groupBy("block").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("block")
-    rest = state.join(open_blocks, "block").join(sets.select("class", "n", "points"), "class")
-    columns = ["class", "comp", "n", "points"]
-    maybe = materialise(_by_slices(rest, "block", F.ceil(F.col("size") / BLOCK_ROWS), columns, lambda r: _join_rows(r, percent, False)))
-    family = components(maybe, "a", "b").unionByName(maybe.select(F.explode(F.array("a", "b")).alias("node")).select("node", F.col("node").alias("root"))).groupBy("node").agg(F.min("root").alias("family"))
-    member = sets.join(comp.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("comp", F.coalesce("root", "class"))
-    member = member.join(family.withColumnRenamed("node", "comp"), "comp").select("family", *columns, "hashes")
-    weight = member.groupBy("family").agg(F.sum(F.length("hashes")).alias("weight"))
-    more = _by_slices(member.join(weight, "family"), "family", F.ceil(F.col("weight") / FAMILY_BYTES), [*columns, "hashes"], lambda r: _join_rows(r, percent, True))
-    links = links.unionByName(materialise(more, VERIFY_ROWS))
+    placed = blocks.join(size, "block").join(classes.select("class", "n", "points"), "class")
+    maybe = materialise(_by_slices(placed, "block", F.ceil(F.col("size") / BLOCK_ROWS), ["class", "n", "points"], lambda r: _join_rows(r, percent, False)))
+    own = maybe.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+    member = materialise(own.join(components(maybe, "a", "b").withColumnRenamed("node", "class"), "class", "left").select("class", F.coalesce("root", "class").alias("family")).join(classes, "class"))
+    weight = member.groupBy("family").agg((F.sum("n") * 8).alias("weight"))
+    sets = _sets_of(src, member.select("id", "class"), k)
+    whole = sets.join(member.drop("id").join(weight, "family"), "class")
+    links = materialise(_by_slices(whole, "family", F.ceil(F.col("weight") / FAMILY_BYTES), ["class", "n", "points", "hashes"], lambda r: _join_rows(r, percent, True)), VERIFY_ROWS)
     comp = components(links, "a", "b")
     named = rows.join(comp.select(F.col("node").alias("class"), "root"), "class", "left").select("id", "n", F.coalesce("root", "class").alias("root"))
     name = named.filter("root is not null").groupBy("root").agg(F.min("id").alias("name"))
