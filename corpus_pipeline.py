@@ -23,20 +23,21 @@ MOST_COVERED = 0.5
 
 
 def _whole(docs: DataFrame) -> DataFrame:
-    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("text"))
+    """The other columns as one, doc, beside the text."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("doc"), F.col("text"))
 
 
 def _with_text(rows: DataFrame, docs: DataFrame, text: str) -> DataFrame:
     """The columns of docs from column doc, text replaced and n_chars counted again."""
-    new = {"text": F.col(text), "n_chars": F.length(text).cast(dict(docs.dtypes).get("n_chars", "long"))}
+    new = {"text": F.col(text)} | ({} if text == "text" else {"n_chars": F.length(text).cast(dict(docs.dtypes).get("n_chars", "long"))})
     return rows.select(*[new.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns])
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a letter and those whose language no class explains."""
     model = fit_language_model(docs, F.lit(True))
-    named = identify(_whole(docs), model, keep=("doc",))
-    return named.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select("doc.*")
+    named = identify(_whole(docs), model, keep=("doc", "text"))
+    return _with_text(named.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)), docs, "text")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

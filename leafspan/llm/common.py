@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,6 +88,17 @@ def redact_text(text: str, spans: list[tuple[str, int, int]]) -> str:
 FILTER_BITS = 23
 
 
+def byte_slices(batches: Iterator[pa.RecordBatch], column: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that a column of texts holds about most bytes, or one text, at most; empty batches vanish."""
+    for b in batches:
+        size = np.cumsum(pc.binary_length(b.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < b.num_rows:
+            end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + most, "right")))
+            yield b.slice(at, end - at)
+            at = end
+
+
 def release() -> None:
     """Hand freed memory back to the system."""
     pa.default_memory_pool().release_unused()

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafspan.llm.common import materialise, table
+from leafspan.llm.common import byte_slices, materialise, table, tidy
 
 WINDOW = 10
 BLOCK_WORDS = 100_000
@@ -239,7 +239,7 @@ def _pass(spark, src, block, window, cut, id_col, keep_row):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         auto = model.value
-        for b in batches:
+        for b in byte_slices(batches, 1):
             n, hits, ids, left = [], [], [], []
             for t in b.column(1).to_pylist():
                 w = words_of(t)
@@ -254,7 +254,7 @@ def _pass(spark, src, block, window, cut, id_col, keep_row):
             cols += [pa.array(left, pa.string())] * cut + ([b.column(2)] if keep_row else [])
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return src.select("id", F.col("text").cast("binary").alias("text"), *["row"] * keep_row).mapInArrow(run, schema)
+    return src.select("id", F.col("text").cast("binary").alias("text"), *["row"] * keep_row).mapInArrow(tidy(run), schema)
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

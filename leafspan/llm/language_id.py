@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafspan.llm.common import held_out, release, table
+from leafspan.llm.common import byte_slices, held_out, release, table, tidy
 
 TRAIN_ROWS = 1600
 TRAIN_PER_LANG = 400
@@ -146,12 +146,13 @@ def identify(docs: DataFrame, model: KernelModel, text_col: str = "text", keep:
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kinds = dict(docs.dtypes)
     schema = ", ".join([f"`{c}` {kinds[c]}" for c in keep] + ["lang_pred string", "score double"])
+    at = keep.index(text_col) if text_col in keep else len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for b in batches:
+        for b in byte_slices(batches, at):
             lang, score = [], []
-            texts = b.column(len(keep)).to_pylist()
+            texts = b.column(at).to_pylist()
             for lo in range(0, len(texts), 256):
                 part = texts[lo : lo + 256]
                 s = m.scores([grams_of(t.encode()) if t else np.empty(0, np.int64) for t in part])
@@ -168,7 +169,7 @@ def identify(docs: DataFrame, model: KernelModel, text_col: str = "text", keep:
                     score.append(float(x) if ok else 0.0)
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*keep, "lang_pred", "score"])
 
-    return docs.select(*keep, F.col(text_col).alias("_text")).mapInArrow(run, schema)
+    return docs.select(*keep, *([] if text_col in keep else [F.col(text_col).alias("_text")])).mapInArrow(tidy(run), schema)
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafspan.llm.common import components, id_filter, materialise, partitions, sift, table, tidy
+from leafspan.llm.common import byte_slices, components, id_filter, materialise, partitions, sift, table, tidy
 from leafspan.llm.texthash import mix, sequence_hashes, word_hashes
 
 DIMENSIONS = 64
@@ -160,7 +160,7 @@ def shingle_classes(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: s
     kind = dict(docs.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in byte_slices(batches, 1):
             sets = shingle_sets(b.column(1).to_pylist(), k)
             rows = [(len(s), class_of(s), count_vector(s).tobytes()) if len(s) else (0, None, None) for s in sets]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], names=["id", "n", "class", "points"])
@@ -174,7 +174,7 @@ def _blocks(docs: DataFrame, k: int, percent: int, n_parts: int) -> DataFrame:
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(percent)
-        for b in batches:
+        for b in byte_slices(batches, 0, 16 << 20):
             keys, owners, seen = [], [], set()
             for s in shingle_sets(b.column(0).to_pylist(), k):
                 if len(s) and (c := class_of(s)) not in seen:

@@ -22,11 +22,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafspan.llm.common import filter_place, id_filter, in_filter, materialise, partitions, sift, table, tidy
+from leafspan.llm.common import byte_slices, filter_place, id_filter, in_filter, materialise, partitions, sift, table, tidy
 from leafspan.llm.texthash import _VALUE, _power, mix
 
 LENGTH = 100
@@ -251,17 +250,6 @@ def _ordered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return materialise(src.orderBy(F.col("id").asc_nulls_last(), "text").select(F.monotonically_increasing_id().alias("key"), "id", "text"))
 
 
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches cut so that their texts (column 1) hold about PACK_BYTES, or one text, at most."""
-    for b in batches:
-        size = np.cumsum(pc.binary_length(b.column(1)).fill_null(0).to_numpy(zero_copy_only=False))
-        at = 0
-        while at < b.num_rows:
-            end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + PACK_BYTES, "right")))
-            yield b.slice(at, end - at)
-            at = end
-
-
 def _deal(src: DataFrame, length: int, n_parts: int) -> DataFrame:
     """(key, start, windows, grp): runs of repeated windows (grp null) and pieces to be compared (with a group)."""
     n_packs = 2 * n_parts
@@ -275,7 +263,7 @@ def _deal(src: DataFrame, length: int, n_parts: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(np.full(len(full), kind), pa.int32()), pa.array(data, pa.binary())], names=["part", "kind", "data"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _slices(batches):
+        for b in byte_slices(batches, 1, PACK_BYTES):
             keys, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             low, own, start, runs, multi, key = [], [], [], [], [], []
             for k, t in zip(keys, texts, strict=True):
@@ -425,7 +413,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _slices(batches):
+        for b in byte_slices(batches, 1, PACK_BYTES):
             spans, kept, n = [], [], []
             runs = b.column(2).to_pylist() if b.num_columns > 2 else [None] * b.num_rows
             for text, found in zip(b.column(1).to_pylist(), runs, strict=True):

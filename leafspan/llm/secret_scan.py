@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafspan.llm.common import redact_text, span_digest, table
+from leafspan.llm.common import byte_slices, redact_text, span_digest, table, tidy
 
 BASE = ("assign", "access", "hex")
 #: In the order in which spans with one start are listed.
@@ -135,7 +135,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = SecretScanner()
-        for b in batches:
+        for b in byte_slices(batches, 1):
             texts = b.column(1).to_pylist()
             found = [scanner.scan(t) for t in texts]
             cols = [b.column(0), pa.array([[{"kind": k, "start": s, "end": e} for k, s, e in x] for x in found], span)]
@@ -143,7 +143,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 cols.append(pa.array([redact_text(t, x) if x else t for t, x in zip(texts, found, strict=True)], pa.string()))
             yield pa.RecordBatch.from_arrays(cols, names=[id_col, "found", "redacted"][: len(cols)])
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(tidy(run), schema)
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
