@@ -133,3 +133,64 @@ def package(contexts: DataFrame, doc_scores: DataFrame, each: int = 3, total: in
     few = few.withColumn("evidence_id", T.section_id(F.col("doc_id").cast("string"), F.col("section_id").cast("string")))
     top = _rank(few, "evidence_rank", total, F.desc("evidence_score"), F.desc("title_path"))
     return top.join(doc_scores.select("doc_id", "doc_score"), "doc_id", "left").withColumn("doc_score", F.coalesce("doc_score", F.lit(0.0)))
+
+
+def _blocks_cost(blocks: Column) -> Column:
+    return F.aggregate(blocks, F.lit(0), lambda a, b: a + F.length(b) + 2)
+
+
+def _fitting(blocks: Column, others: Column, budget: int, from_front: bool = True) -> Column:
+    """The most blocks that fit beside others, cut from the end (or the front); none if none do."""
+    n = F.size(blocks)
+    part = (lambda k: F.slice(blocks, F.lit(1), k)) if from_front else (lambda k: F.slice(blocks, n - k + 1, k))
+    fits = F.filter(F.sequence(F.lit(0), n), lambda k: others + _blocks_cost(part(k)) - 2 <= budget)
+    return part(F.coalesce(F.array_max(fits), F.lit(0)))
+
+
+def assemble_context(contexts: DataFrame, budget: int = 6000, excerpt: int = 700) -> DataFrame:
+    """Adds context_text: path, ancestors, focus, descendants, siblings and chunks as blocks within budget characters.
+
+    contexts: title_path, focus_summary, ancestors, descendants, siblings (arrays of struct title_path, summary),
+    supporting, neighbours (arrays of struct page_index, text). Over budget, blocks go in this order: neighbours,
+    siblings and descendants from the end, ancestors from the root; then the chunks are clipped, then the focus.
+    """
+    tidy = lambda a: F.filter(F.transform(a, F.trim), lambda b: b != "")
+    near = lambda c, label: tidy(F.transform(F.filter(c, lambda s: F.coalesce(s["summary"], F.lit("")) != ""), lambda s: F.concat(F.lit(f"[{label}] "), s["title_path"], F.lit("\n"), s["summary"])))
+    page = lambda s: F.coalesce(F.concat(F.lit(" p"), s["page_index"]), F.lit(""))
+    chunk = lambda c, label: tidy(F.transform(c, lambda s: F.concat(F.lit(f"[{label} Chunk"), page(s), F.lit("] "), T.clip(F.coalesce(s["text"], F.lit("")), excerpt))))
+    head, focus = F.concat(F.lit("Title Path: "), "title_path"), F.trim(F.concat(F.lit("[Focus] "), "title_path", F.lit("\n"), F.coalesce("focus_summary", F.lit(""))))
+    rows = contexts.withColumn("_core", F.array(head, focus))
+    rows = rows.withColumns({"_a": near(F.col("ancestors"), "Ancestor"), "_d": near(F.col("descendants"), "Descendant"), "_s": near(F.col("siblings"), "Sibling"), "_u": chunk(F.col("supporting"), "Supporting"), "_n": chunk(F.col("neighbours"), "Neighbor")})
+    for name in ("_n", "_s", "_d", "_a"):
+        others = sum((_blocks_cost(F.col(c)) for c in ("_core", "_a", "_d", "_s", "_u", "_n") if c != name), F.lit(0))
+        rows = rows.withColumn(name, _fitting(F.col(name), others, budget, name != "_a"))
+    focus = F.col("_core")[1]
+    whole = F.array_join(F.concat("_a", F.array(focus), "_d", "_s", "_u", "_n"), "\n\n")
+    head, core, rest = F.col("_core")[0], F.array_join("_core", "\n\n"), F.array_join(F.concat("_u", "_n"), "\n\n")
+    whole = F.concat(head, F.lit("\n\n"), whole)
+    cut = lambda t, room: F.when(F.length(t) <= room, t).when(room <= 3, F.substring(t, F.lit(1), F.greatest(F.lit(0), room))).otherwise(F.concat(F.rtrim(F.substring(t, F.lit(1), room - 3)), F.lit("...")))
+    some = lambda a, b: F.when(F.trim(b) == "", a).otherwise(F.concat(a, F.lit("\n\n"), b))
+    tight = F.when(F.length(core) >= budget, some(head, cut(focus, budget - F.length(head) - 2))).otherwise(some(core, cut(rest, budget - F.length(core) - 2)))
+    text = F.when(F.length(whole) <= budget, whole).otherwise(tight)
+    return rows.withColumn("context_text", text).drop("_core", "_a", "_d", "_s", "_u", "_n")
+
+
+def rerank(localized: DataFrame, ranking: DataFrame, each: int = 5) -> DataFrame:
+    """Localized sections with a bonus by their rank in a supplied ranking (doc_id, section_id, rank).
+
+    The bonus is the larger of 1 and 0.6 of the document's best score, divided by the rank; the last rank of a
+    repeated section counts, and sections that are not localized are ignored.
+    """
+    last = ranking.groupBy("doc_id", "section_id").agg(F.max("rank").alias("model_rank"))
+    top = F.max("localization_score").over(Window.partitionBy("doc_id"))
+    rows = localized.join(last, ["doc_id", "section_id"], "left").withColumn("scale", F.greatest(F.lit(1.0), 0.6 * F.coalesce(F.nullif(top, F.lit(0.0)), F.lit(1.0))))
+    rows = rows.withColumn("localization_score", F.round(F.col("localization_score") + F.coalesce(F.col("scale") / F.col("model_rank"), F.lit(0.0)), 8))
+    rows = rows.withColumn("reason_codes", F.when(F.col("model_rank").isNotNull(), F.array_union("reason_codes", F.array(F.lit("rerank_selected")))).otherwise(F.col("reason_codes")))
+    w = Window.partitionBy("doc_id").orderBy(F.desc("localization_score"), F.desc("strength"), "depth", F.desc("title_path"))
+    return rows.withColumn("local_rank", F.row_number().over(w)).filter(F.col("local_rank") <= each).drop("scale")
+
+
+def apply_labels(evidence: DataFrame, labels: DataFrame) -> DataFrame:
+    """Adds relation from labels (evidence_id, relation); unknown relations and ids are ignored, the rest stay null."""
+    good = labels.filter(F.col("relation").isin("supports", "conflicts", "related")).groupBy("evidence_id").agg(F.max("relation").alias("relation"))
+    return evidence.drop("relation").join(good, "evidence_id", "left")

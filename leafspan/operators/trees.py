@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leafspan.functions import text as T
+from leafspan.operators.normalize import bare_key
+from leafspan.operators.outline import heading_matches
+
 
 def ratio(a: Column, b: Column) -> Column:
     return F.coalesce(F.round(F.try_divide(a.cast("double"), b.cast("double")), 4), F.lit(0.0))
@@ -53,3 +57,43 @@ def islands(rows: DataFrame, key: str, value: str) -> DataFrame:
     w = Window.partitionBy(key).orderBy(value)
     runs = rows.select(key, value).distinct().withColumn("grp", F.col(value) - F.row_number().over(w))
     return runs.groupBy(key, "grp").agg(F.min(value).alias("first"), F.max(value).alias("last"), F.count("*").alias("size")).drop("grp")
+
+
+def tree_quality(trees: DataFrame, total_pages: DataFrame, headings: DataFrame | None = None) -> DataFrame:
+    """Per document: measures of a normalised tree (see normalize.py) for comparing candidates. total_pages: doc_id, total.
+
+    Depth counts from 1 here. headings are those of outline.heading_candidates; without them nothing is aligned.
+    """
+    rows = trees.withColumn("depth", F.col("depth") + 1)
+    hit = heading_matches(rows, headings) if headings is not None else rows.select("doc_id", "node").limit(0)
+    parents = rows.filter("parent is not null").select("doc_id", F.col("parent").alias("node")).distinct()
+    rows = rows.join(hit.withColumn("hit", F.lit(True)), ["doc_id", "node"], "left").join(parents.withColumn("inner", F.lit(True)), ["doc_id", "node"], "left")
+    title, level = F.col("title"), T.section_number(F.col("title"))["level"]
+    back = F.last("page_index", True).over(Window.partitionBy("doc_id").orderBy("preorder").rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("back", F.coalesce(F.col("page_index") < back, F.lit(False))).withColumn("level", level).withColumn("key", bare_key(title))
+    weak = F.col("parent").isNull() & F.col("inner").isNull() & F.col("hit").isNull() & (T.sentence_like(title) | T.caption_like(title))
+    n = F.count("*")
+    out = rows.groupBy("doc_id").agg(
+        F.count_if(F.col("parent").isNull()).alias("root_count"), n.alias("node_count"), F.max("depth").cast("long").alias("max_depth"), F.count_distinct("page_index").alias("unique_page_count"),
+        (n - F.count_distinct("key")).alias("duplicate_title_count"), ratio(F.count("hit"), n).alias("heading_alignment"), ratio(F.count_if(F.abs(F.col("level") - F.col("depth")) <= 1), F.count("level")).alias("numbering"),
+        F.count_if("back").alias("page_backtrack_count"), F.count_if(weak).alias("bad_root_count"), F.count("inner").alias("internal_node_count"),
+    )
+    out = out.join(total_pages.select("doc_id", "total"), "doc_id", "left").withColumn("page_coverage", ratio(F.col("unique_page_count"), F.greatest(F.lit(1), F.coalesce("total", F.lit(1))))).drop("total")
+    return out.withColumn("title_uniqueness", F.round(1.0 - F.col("duplicate_title_count") / F.col("node_count"), 4))
+
+
+def tree_score(quality: DataFrame) -> DataFrame:
+    """Adds breakdown, a struct of rounded terms, and score, their sum."""
+    c = F.col
+    cap = lambda limit, value: F.least(F.lit(limit), value)
+    over = F.greatest(F.lit(0), c("root_count") - F.greatest(F.lit(8), c("max_depth") * 4))
+    many = c("node_count") >= 10
+    terms = {
+        "non_empty": F.when(c("node_count") > 0, 30.0).otherwise(-1000.0), "page_coverage": c("page_coverage") * 20.0, "depth": cap(18.0, F.greatest(F.lit(0), c("max_depth") - 1) * 8.0),
+        "internal_nodes": cap(12.0, c("internal_node_count") * 2.0), "root_shape": F.greatest(F.lit(0.0), 12.0 - 12.0 * F.coalesce(F.try_divide(c("root_count").cast("double"), c("node_count").cast("double")), F.lit(1.0))),
+        "heading_alignment": c("heading_alignment") * 16.0, "numbering": c("numbering") * 12.0, "title_uniqueness": c("title_uniqueness") * 10.0,
+        "flat": F.when(many & (c("root_count") == c("node_count")), -10.0).otherwise(0.0), "shallow": F.when(many & (c("max_depth") <= 1), -8.0).otherwise(0.0),
+        "root_explosion": -2.0 * over, "bad_roots": -4.0 * c("bad_root_count"), "duplicates": -0.75 * c("duplicate_title_count"), "backtracks": -2.5 * c("page_backtrack_count"),
+    }
+    out = quality.withColumn("breakdown", F.struct(*[F.round(v.cast("double"), 3).alias(k) for k, v in terms.items()]))
+    return out.withColumn("score", F.round(sum((c(f"breakdown.{k}") for k in terms), F.lit(0.0)), 3))

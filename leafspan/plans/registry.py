@@ -11,6 +11,8 @@ from leafspan.functions import score as S
 from leafspan.functions import text as T
 from leafspan.operators import chunk as C
 from leafspan.operators import markdown as M
+from leafspan.operators import normalize as N
+from leafspan.operators import outline as O
 from leafspan.operators import retrieval as R
 from leafspan.operators import trees as TR
 
@@ -278,6 +280,141 @@ def chunking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.build_chunks(s).select("doc_id", "chunk_id", "chunk_index", "token_count", "text_hash")
 
 
+def _contents(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Pages and lines of invented contents: a document per customer, a line per order on one of four pages."""
+    o = _t(spark, sf_dir, "orders")
+    lines = o.select(F.col("o_custkey").alias("doc_id"), (1 + F.pmod(F.floor(F.col("o_orderkey") / 7), F.lit(4))).cast("long").alias("page"), F.col("o_orderkey").alias("line"), F.concat("o_orderpriority", F.lit(" ..... "), (F.col("o_orderkey") % 50).cast("string")).alias("text"), (F.col("o_orderkey") % 4 * 20.0).alias("x"))
+    pages = lines.groupBy("doc_id", "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n").alias("plain_text"), F.count("*").alias("block_count"))
+    return pages, lines
+
+
+_CONTENTS_SQL = """l AS (SELECT o_custkey AS doc_id, CAST(1 + (o_orderkey // 7) % 4 AS BIGINT) AS page, o_orderkey AS line, o_orderpriority AS title, o_orderkey % 50 AS printed, o_orderpriority || ' ..... ' || CAST(o_orderkey % 50 AS VARCHAR) AS text, CAST(o_orderkey % 4 * 20 AS DOUBLE) AS x FROM orders),
+p AS (SELECT doc_id, page, string_agg(text, chr(10) ORDER BY line) AS plain_text, count(*) AS n FROM l GROUP BY ALL),
+sc AS (SELECT doc_id, page, n + least(n, 5) + CASE WHEN n <= 20 THEN 1 ELSE 0 END AS score FROM p WHERE n >= 2),
+ru AS (SELECT *, page - row_number() OVER (PARTITION BY doc_id ORDER BY page) AS run FROM sc),
+cp AS (SELECT * FROM ru WHERE (doc_id, run) IN (SELECT (doc_id, arg_max(run, struct_pack(s := score, p := -page))) FROM ru GROUP BY doc_id)),
+tp AS (SELECT doc_id, min(page) AS toc_page FROM cp GROUP BY 1), tot AS (SELECT doc_id, max(page) AS total FROM p GROUP BY 1),
+e0 AS (SELECT l.*, toc_page, total FROM l JOIN cp USING (doc_id, page) JOIN tp USING (doc_id) JOIN tot USING (doc_id) WHERE printed BETWEEN 1 AND greatest(3 * total, total + 20) QUALIFY row_number() OVER (PARTITION BY doc_id, title, printed ORDER BY page, line) = 1),
+e1 AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page, line) - 1 AS entry, dense_rank() OVER (PARTITION BY doc_id ORDER BY x) AS level FROM e0),
+tr AS (SELECT e1.doc_id, o AS off, count(*) FILTER (contains(replace(replace(lower(p.plain_text), ' ', ''), '.', ''), replace(lower(title), ' ', ''))) AS hits FROM e1 CROSS JOIN range(-3, 6) t(o) LEFT JOIN p ON p.doc_id = e1.doc_id AND p.page = printed + o WHERE entry < 8 GROUP BY ALL),
+ofs AS (SELECT doc_id, arg_max(off, struct_pack(h := hits, o := -off)) AS off FROM tr GROUP BY 1),
+en AS (SELECT e1.*, CASE WHEN printed + off BETWEEN 1 AND total THEN printed + off END AS physical FROM e1 JOIN ofs USING (doc_id))"""
+
+
+@query(f"WITH {_CONTENTS_SQL} SELECT doc_id, page, score FROM cp")
+def contents_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return O.contents_pages(O.contents_scores(*_contents(spark, sf_dir))).select("doc_id", "page", "score")
+
+
+@query(f"WITH {_CONTENTS_SQL} SELECT doc_id, entry, title, printed AS printed_page, physical AS physical_page, level, toc_page FROM en")
+def outline_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    long = lambda c: F.col(c).cast("long").alias(c)
+    return O.outline_entries(*_contents(spark, sf_dir)).select("doc_id", long("entry"), "title", long("printed_page"), long("physical_page"), long("level"), "toc_page")
+
+
+@query(f"""WITH {_CONTENTS_SQL}, g AS (SELECT doc_id, count(*) AS n_entries, count(physical) / count(*) AS mapped, count(DISTINCT level) AS n_levels, max(physical) - min(physical) AS page_span FROM en GROUP BY 1), c AS (SELECT doc_id, count(*) AS n_pages FROM cp GROUP BY 1),
+j AS (SELECT doc_id, n_pages, coalesce(n_entries, 0) AS n_entries, coalesce(mapped, 0) AS mapped, coalesce(page_span, 0) AS page_span, CASE WHEN n_entries IS NULL THEN 0 ELSE 1 END AS numbered FROM c LEFT JOIN g USING (doc_id)),
+k AS (SELECT *, (n_pages >= 2)::INT + (n_entries >= 5)::INT + (mapped >= 0.6)::INT + numbered + (page_span >= 3)::INT AS signals FROM j)
+SELECT doc_id, n_pages, n_entries, round(mapped, 3) AS mapped, CAST(page_span AS BIGINT) AS page_span, CASE WHEN signals >= 4 THEN 'high' WHEN signals >= 2 THEN 'low' ELSE 'none' END AS confidence FROM k""")
+def outline_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every title starts with a digit, so every entry counts as numbered."""
+    pages, lines = _contents(spark, sf_dir)
+    found = O.contents_pages(O.contents_scores(pages, lines))
+    return O.outline_confidence(found, O.outline_entries(pages, lines)).select("doc_id", "n_pages", "n_entries", "mapped", F.col("page_span").cast("long").alias("page_span"), "confidence")
+
+
+@query("""WITH s AS (SELECT l_suppkey AS doc_id, l_linenumber AS page, l_orderkey AS span, l_linestatus || ' ' || CAST(l_partkey % 100 AS VARCHAR) || ' a' AS text, CAST(l_quantity AS DOUBLE) AS size, l_returnflag = 'R' AS bold, CAST(l_discount AS DOUBLE) AS x, CAST(l_extendedprice AS DOUBLE) AS y FROM lineitem),
+b AS (SELECT *, median(size) OVER (PARTITION BY doc_id, page) AS body FROM s), c AS (SELECT * FROM b WHERE size >= body * 1.2 OR (bold AND size >= body * 0.95) QUALIFY row_number() OVER (PARTITION BY doc_id, page, text ORDER BY y, x, span) = 1)
+SELECT doc_id, page, row_number() OVER (PARTITION BY doc_id, page ORDER BY y, x, span) AS rank, text AS title, size, bold FROM c QUALIFY rank <= 10""")
+def heading_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = _t(spark, sf_dir, "lineitem")
+    spans = li.select(F.col("l_suppkey").alias("doc_id"), F.col("l_linenumber").alias("page"), F.col("l_orderkey").alias("span"), F.concat_ws(" ", "l_linestatus", (F.col("l_partkey") % 100).cast("string"), F.lit("a")).alias("text"), F.col("l_quantity").cast("double").alias("size"), (F.col("l_returnflag") == "R").alias("bold"), F.col("l_discount").cast("double").alias("x"), F.col("l_extendedprice").cast("double").alias("y"))
+    return O.heading_candidates(spans).select("doc_id", "page", F.col("rank").cast("long").alias("rank"), "title", "size", "bold")
+
+
+@query("""WITH e AS (SELECT p_brand AS doc_id, p_partkey AS entry, CASE WHEN p_size <= 20 THEN p_size END AS physical_page FROM part), w AS (SELECT DISTINCT p_brand AS doc_id, p_partkey % 40 AS page FROM part), m AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY entry) AS nth FROM e WHERE physical_page IS NOT NULL),
+n AS (SELECT w.doc_id, w.page, entry FROM w JOIN m ON m.doc_id = w.doc_id AND abs(physical_page - w.page) <= 2)
+SELECT * FROM n UNION ALL SELECT w.doc_id, w.page, entry FROM w JOIN m ON m.doc_id = w.doc_id AND nth <= 6 WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.doc_id = w.doc_id AND n.page = w.page)""")
+def outline_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _t(spark, sf_dir, "part")
+    entries = p.select(F.col("p_brand").alias("doc_id"), F.col("p_partkey").alias("entry"), F.when(F.col("p_size") <= 20, F.col("p_size")).alias("physical_page"))
+    return O.nearby_entries(entries, p.select(F.col("p_brand").alias("doc_id"), (F.col("p_partkey") % 40).alias("page"))).select("doc_id", "page", "entry")
+
+
+@query("""WITH c AS (SELECT p_brand AS doc_id, p_partkey AS name, CAST(p_retailprice AS DOUBLE) AS score, p_size % 7 AS max_depth, p_size % 11 AS root_count, p_size / 100 AS al FROM part),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, max_depth DESC, root_count, al DESC, name) AS rn FROM c),
+b AS (SELECT a.doc_id, a.name AS one, a.score AS s1, b.name AS two, b.score AS s2, abs(a.score - b.score) <= 1.0 AND (b.max_depth, -b.root_count, b.al) > (a.max_depth, -a.root_count, a.al) AS swap FROM r a LEFT JOIN r b ON a.doc_id = b.doc_id AND b.rn = 2 WHERE a.rn = 1)
+SELECT doc_id, CASE WHEN swap THEN two ELSE one END AS name, CASE WHEN swap THEN s2 ELSE s1 END AS score FROM b""")
+def candidate_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _t(spark, sf_dir, "part")
+    c = p.select(F.col("p_brand").alias("doc_id"), F.col("p_partkey").alias("name"), F.col("p_retailprice").cast("double").alias("score"), (F.col("p_size") % 7).alias("max_depth"), (F.col("p_size") % 11).alias("root_count"), (F.col("p_size") / 100).alias("heading_alignment"))
+    return O.best_candidate(c).select("doc_id", "name", "score")
+
+
+@query(f"""WITH {_GEO_SQL.split("a AS (SELECT r_regionkey")[0].rstrip().rstrip(",")}, n AS (SELECT *, depth + 1 AS d, CASE WHEN depth = 2 THEN CAST(substr(section_id, 2) AS INT) % 50 END AS page_index FROM t),
+k AS (SELECT *, page_index < lag(page_index) OVER (PARTITION BY doc_id ORDER BY page_index IS NULL, section_id) AS back FROM n),
+q AS (SELECT doc_id, count(*) FILTER (parent_id IS NULL) AS root_count, count(*) AS node_count, CAST(max(d) AS BIGINT) AS max_depth, count(DISTINCT page_index) AS unique_page_count, count(*) FILTER (back AND page_index IS NOT NULL) AS page_backtrack_count, count(DISTINCT parent_id) AS internal_node_count, round(count(DISTINCT page_index) / 60, 4) AS page_coverage FROM k GROUP BY doc_id)
+SELECT *, round(30 + round(page_coverage * 20.0, 3) + least(18, (max_depth - 1) * 8) + least(12, 2 * internal_node_count) + round(12 - 12 * root_count / node_count, 3) + 10 - 2.5 * page_backtrack_count, 3) AS score FROM q""")
+def tree_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tree of regions, nations and customers; customers come first in document order."""
+    t = _geo(spark, sf_dir).withColumn("page_index", F.when(F.col("depth") == 2, F.substring("section_id", 2, 20).cast("int") % 50))
+    order = Window.partitionBy("doc_id").orderBy(F.col("page_index").isNull(), "section_id")
+    rows = t.withColumn("preorder", F.row_number().over(order)).select("doc_id", F.col("section_id").alias("node"), F.col("parent_id").alias("parent"), "depth", "preorder", "title", "page_index")
+    out = TR.tree_score(TR.tree_quality(rows, rows.select("doc_id").distinct().withColumn("total", F.lit(60))))
+    return out.select("doc_id", "root_count", "node_count", "max_depth", "unique_page_count", "page_backtrack_count", "internal_node_count", "page_coverage", "score")
+
+
+@query()
+def tree_normalisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as flat trees: titles numbered by turn, every fourth a chapter marker."""
+    c = _t(spark, sf_dir, "conversations")
+    n = F.col("turn")
+    title = F.when(n % 4 == 0, F.format_string("%02d", F.floor(n / 4) + 1)).otherwise(F.concat_ws(" ", F.concat_ws(".", (n % 3 + 1).cast("int"), (n % 2 + 1).cast("int")), "role"))
+    rows = c.select(F.col("conv_id").alias("doc_id"), n.cast("string").alias("node"), F.lit(None).cast("string").alias("parent"), n.alias("ord"), title.alias("title"), n.cast("int").alias("page_index"), "text", F.lit("").alias("summary"), F.lit("").alias("node_id"))
+    return N.normalise_trees(rows)
+
+
+@query()
+def outline_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contents entries against headers: the orders of a customer against the items' priorities of the same customer."""
+    pages, lines = _contents(spark, sf_dir)
+    return O.match_entries(O.outline_entries(pages, lines), lines.withColumn("title", O.contents_line(F.col("text"))["title"]))
+
+
+@query()
+def picture_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items as boxes: a page per supplier and line number."""
+    li = _t(spark, sf_dir, "lineitem")
+    x, y = F.col("l_partkey") % 37 * 16.0, F.col("l_orderkey") % 53 * 16.0
+    boxes = li.select(F.col("l_suppkey").alias("doc_id"), F.col("l_linenumber").alias("page"), F.lit(612.0).alias("width"), F.lit(860.0).alias("height"), x.alias("x0"), y.alias("y0"), (x + F.col("l_quantity").cast("double")).alias("x1"), (y + F.col("l_quantity").cast("double")).alias("y1"))
+    return O.picture_regions(boxes)
+
+
+@query()
+def context_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A context per conversation: turns of the user are supporting chunks, the others neighbours, roles are siblings."""
+    c = _t(spark, sf_dir, "conversations")
+    turns = lambda which: F.transform(F.array_sort(F.collect_list(F.when(which, F.struct("turn", "text")))), lambda t: F.struct(t["turn"].cast("int").alias("page_index"), t["text"].alias("text")))
+    user = F.col("role") == "user"
+    rows = c.groupBy("conv_id").agg(F.concat(F.lit("c"), F.first("conv_id")).alias("title_path"), F.min("text").alias("focus_summary"), turns(user).alias("supporting"), turns(~user).alias("neighbours"), F.transform(F.array_sort(F.collect_set("role")), lambda r: F.struct(r.alias("title_path"), r.alias("summary"))).alias("siblings"))
+    rows = rows.withColumn("ancestors", F.slice("siblings", 1, 1)).withColumn("descendants", F.slice("siblings", 2, 1))
+    return R.assemble_context(rows, 600).select("conv_id", "context_text")
+
+
+@query(f"""WITH {_GEO_SQL}, s AS (SELECT pool.*, t.title_path, t.depth, round(CASE relation WHEN 'anchor' THEN 4.0::DOUBLE WHEN 'descendant' THEN 2.75::DOUBLE WHEN 'ancestor' THEN 2.1::DOUBLE ELSE 1.45::DOUBLE END + 100 * section_score
+  + 3 * contains(lower(title), 'china')::INT + 2 * contains(lower(title_path), 'china')::INT + contains(lower(summary), 'china')::INT, 8) AS base FROM pool JOIN t USING (section_id)),
+f AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY base DESC, strength DESC, depth, title_path DESC) <= 8),
+k AS (SELECT 'n' || n_nationkey AS section_id, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey DESC) AS r FROM nation),
+g AS (SELECT f.*, round(base + coalesce(greatest(1.0, 0.6::DOUBLE * max(base) OVER (PARTITION BY doc_id)) / r, 0.0), 8) AS localization_score FROM f LEFT JOIN k USING (section_id))
+SELECT doc_id, section_id, round(localization_score, 6) AS localization_score, row_number() OVER (PARTITION BY doc_id ORDER BY localization_score DESC, strength DESC, depth, title_path DESC) AS local_rank FROM g QUALIFY local_rank <= 5""")
+def reranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tree, pool = _pool(spark, sf_dir)
+    short = R.localize(pool, tree, F.array(F.lit("China")), F.array(F.lit("2024")), 8)
+    order = Window.partitionBy("n_regionkey").orderBy(F.desc("n_nationkey"))
+    ranking = _t(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("doc_id"), F.concat(F.lit("n"), "n_nationkey").alias("section_id"), F.row_number().over(order).alias("rank"))
+    return R.rerank(short, ranking).select("doc_id", "section_id", F.round("localization_score", 6).alias("localization_score"), F.col("local_rank").cast("long").alias("local_rank"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranked evidence for QUERY: dense and lexical recall, fusion, sections of the best documents, packaging."""
     fused = _fused(spark, sf_dir)
