@@ -63,3 +63,14 @@ def checked_vectors(chunks: DataFrame, dim: int) -> DataFrame:
     """Fails where an embedding has another length than dim."""
     ok = F.size("embedding") == dim
     return chunks.withColumn("embedding", F.when(ok, F.col("embedding")).otherwise(F.raise_error(F.lit(f"an embedding's length is not {dim}")).cast("array<float>")))
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df checkpointed in the shared folder, for small tables that several later steps read.
+
+    The folder is the session's spark.checkpoint.dir; one is set only where the session has none.
+    """
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+    return df.checkpoint()
