@@ -49,9 +49,28 @@ def read_profile(text: str) -> dict[str, dict[str, list[str]]]:
     return out
 
 
-def write_by_document(df: DataFrame, path: str) -> None:
-    """Replaces the rows of the documents in df and leaves those of other documents."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("doc_id").parquet(path)
+def write_by_document(df: DataFrame, path: str, buckets: int = 64) -> None:
+    """Replaces the rows of the documents in df and leaves those of other documents.
+
+    Rows lie in folders by a hash of doc_id (column doc_bucket), so their number does not grow with the documents; a
+    write replaces the folders it touches, with the rows of their other documents carried over. One writer at a time.
+    df is checkpointed, as it is read for its ids and for its rows. An empty df changes nothing.
+    """
+    spark = df.sparkSession
+    new = settled(df.withColumn("doc_bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int")))
+    touched = [r["doc_bucket"] for r in new.select("doc_bucket").distinct().collect()]
+    if not touched:
+        return
+    rows = new
+    if _exists(spark, path):
+        old = spark.read.parquet(path).filter(F.col("doc_bucket").isin(touched)).join(new.select("doc_id").distinct(), "doc_id", "left_anti")
+        rows = new.unionByName(old, allowMissingColumns=True)
+    rows.repartition("doc_bucket", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(4))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("doc_bucket").parquet(path)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
 
 
 def scan(spark: SparkSession, path: str, ids: DataFrame, key: str) -> DataFrame:

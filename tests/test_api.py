@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from leafspan import api
 from leafspan.__main__ import main
 from leafspan.config import Settings, read_env_file, settings
+from leafspan.sources import tables
 
 MARKET = "# Market\nall regions\n<!-- page:2 -->\n## Revenue growth\nRevenue in 2024 grew by a tenth.\n## Costs\nCosts stayed level.\n# Outlook\nMore revenue is expected.\n"
 FOOD = "# Bread\nFlour, water and salt.\n## Oven\nBake at high heat.\n"
@@ -65,3 +66,11 @@ def test_settings(tmp_path):
     for bad in ({"rrf_k": "x"}, {"whole_doc_fallback": "maybe"}, {"nothing": 1}):
         with pytest.raises(ValueError):
             settings(bad, {})
+
+
+def test_documents_replaced_within_a_bucket(spark, tmp_path):
+    path, frame = str(tmp_path / "t"), lambda *rows: spark.createDataFrame(list(rows), "doc_id string, v int")
+    tables.write_by_document(frame(("a", 1), ("a", 2), ("b", 1), ("c", 1)), path, 1)
+    tables.write_by_document(frame(("a", 9), ("d", 1)), path, 1)
+    tables.write_by_document(frame(("a", 0)).limit(0), path, 1)
+    assert sorted((r.doc_id, r.v) for r in spark.read.parquet(path).collect()) == [("a", 9), ("b", 1), ("c", 1), ("d", 1)]
