@@ -1,13 +1,15 @@
 """PII by information-theoretic sanitisation.
 
 Direct identifiers (e-mail and IP addresses, card and telephone numbers) are found by expression and check. Each
-distinct identifier is a protected entity. A term in the words around an entity reveals it as far as their pointwise
-mutual information over the corpus, log p(e,t) / (p(e) p(t)), comes near the entity's own information, -log p(e).
-Probabilities are shares of all documents. Terms whose ratio reaches disclose_at and that stand by the entity in at
-least min_support documents become spans: "remove" from remove_at on, else "general" (replaced by a placeholder).
+distinct identifier is a protected entity. A term of a document that holds an entity reveals it as far as their
+pointwise mutual information over the corpus, log p(e,t) / (p(e) p(t)), comes near the entity's own information,
+-log p(e). Probabilities are shares of all documents; a term counts wherever it stands in the text. Where the ratio
+reaches disclose_at and min_support documents hold both, every place of the term in the documents that hold the entity
+becomes a span, unless an identifier covers it: "remove" from remove_at on, else "general" (replaced by a placeholder).
 
-One pass over the texts finds the base spans, their context words and each batch's document frequencies; only these
-small rows are shuffled. Counts cover all documents.
+One pass over the texts finds the base spans and each batch's document frequencies; the texts that hold an identifier
+are kept beside them. Pairs are made only of entities and terms frequent enough for min_support and of terms rare
+enough to reach the ratio with the entity (n_both <= n_entity bounds n_term), which leaves out no pair that counts.
 
 Nulls and empty texts have no spans but count as documents. Repeated rows count each time. Rows are told apart by
 their place in the input, so null or repeated ids are kept as they are; columns other than the id and the text are
@@ -17,7 +19,7 @@ ignored. Positions are code points, ends exclusive.
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -25,12 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafspan.llm.common import materialise, redact_text, span_digest, table
+from leafspan.llm.common import byte_slices, id_filter, materialise, redact_text, sift, span_digest, table
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "remove", "general")
-CONTEXT_WORDS = 5
-CONTEXT_CHARS = 320
 FLUSH_TERMS = 300_000
 
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
@@ -81,28 +81,27 @@ def entity_of(kind: str, value: str) -> str:
     return f"{kind}:{value.lower() if kind in ('email', 'ip') else _NOT_DIGIT.sub('', value)}"
 
 
-def _words(text: str, lo: int, hi: int) -> list[tuple[int, int]]:
-    """Words that lie wholly between lo and hi."""
-    lo, hi = max(0, lo), min(len(text), hi)
-    got = [m.span() for m in _WORD.finditer(text, lo, hi)]
-    if got and got[0][0] == lo and lo and _WORD.match(text[lo - 1]):
-        del got[0]
-    if got and got[-1][1] == hi < len(text) and _WORD.match(text[hi]):
-        del got[-1]
-    return got
+def terms_of(text: str) -> set[bytes]:
+    return set(text.encode().translate(_FOLD).split())
 
 
-def context(text: str, spans: list[tuple[str, int, int]], n: int = CONTEXT_WORDS, chars: int = CONTEXT_CHARS) -> list[tuple[str, str, int, int]]:
-    """(entity, term, start, end) of up to n words within chars characters on either side of each span that no span covers."""
-    covered = sorted((s, e) for _, s, e in spans)
+def places(text: str, spans: list[tuple[int, int]], kinds: dict[str, str]) -> list[tuple[str, int, int]]:
+    """(kind, start, end) of every word in kinds that no span covers, "remove" first, then by start."""
+    starts, ends = [], []
+    for s, e in sorted(spans):
+        if ends and s <= ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
     out = []
-    for kind, start, end in spans:
-        near = _words(text, start - chars, start)[-n:] + _words(text, end, end + chars)[:n]
-        k = bisect_left(covered, (start - chars, 0))
-        around = [c for c in covered[max(0, k - 4) : k + 2 * chars] if c[0] < end + chars]
-        entity = entity_of(kind, text[start:end])
-        out += [(entity, text[a:b].encode().translate(_FOLD).decode(), a, b) for a, b in near if not any(a < e and s < b for s, e in around)]
-    return out
+    for m in _WORD.finditer(text):
+        kind = kinds.get(m[0].encode().translate(_FOLD).decode())
+        if kind:
+            k = bisect_right(ends, m.start())
+            if k == len(starts) or starts[k] >= m.end():
+                out.append((kind, *m.span()))
+    return sorted(out, key=lambda s: (s[0] != "remove", s[1]))
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,62 +111,81 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     row = ctx.partitionId() << 40
     counts: Counter[bytes] = Counter()
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-    near_type = pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-    names = ["row", "id", "spans", "entities", "near", "term", "n"]
+    names = ["row", "id", "spans", "entities", "text", "term", "n"]
 
     def terms(id_type: pa.DataType) -> pa.RecordBatch:
         k = len(counts)
-        cols = [pa.nulls(k, pa.int64()), pa.nulls(k, id_type), pa.nulls(k, span), pa.nulls(k, pa.list_(pa.string())), pa.nulls(k, near_type), pa.array([w.decode("utf-8", "replace") for w in counts], pa.string()), pa.array(counts.values(), pa.int64())]
+        cols = [pa.nulls(k, pa.int64()), pa.nulls(k, id_type), pa.nulls(k, span), pa.nulls(k, pa.list_(pa.string())), pa.nulls(k, pa.string()), pa.array([w.decode("utf-8", "replace") for w in counts], pa.string()), pa.array(counts.values(), pa.int64())]
         counts.clear()
         return pa.RecordBatch.from_arrays(cols, names=names)
 
     id_type = None
-    for b in batches:
+    for b in byte_slices(batches, 1):
         id_type = b.column(0).type
         texts = b.column(1).to_pylist()
-        spans, near, entities = [], [], []
+        spans, entities = [], []
         for t in texts:
             s = base_spans(t)
             spans.append([{"kind": k, "start": x, "end": y} for k, x, y in s])
             entities.append(sorted({entity_of(k, t[x:y]) for k, x, y in s}))
-            near.append([{"entity": e, "term": w, "start": x, "end": y} for e, w, x, y in context(t, s)] if s else [])
             if t:
-                counts.update(set(t.encode().translate(_FOLD).split()))
+                counts.update(terms_of(t))
                 if len(counts) > FLUSH_TERMS:
                     yield terms(id_type)
         k = len(texts)
-        yield pa.RecordBatch.from_arrays([pa.array(range(row, row + k), pa.int64()), b.column(0), pa.array(spans, span), pa.array(entities, pa.list_(pa.string())), pa.array(near, near_type), pa.nulls(k, pa.string()), pa.nulls(k, pa.int64())], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array(range(row, row + k), pa.int64()), b.column(0), pa.array(spans, span), pa.array(entities, pa.list_(pa.string())), pa.array([t if e else None for t, e in zip(texts, entities, strict=True)], pa.string()), pa.nulls(k, pa.string()), pa.nulls(k, pa.int64())], names=names)
         row += k
     if counts:
         yield terms(id_type)
 
 
+def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, most, term) of each distinct term."""
+    for b in byte_slices(batches, 2):
+        for row, most, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            words = [w.decode() for w in terms_of(text)]
+            k = len(words)
+            yield pa.RecordBatch.from_arrays([pa.array([row] * k, pa.int64()), pa.array([most] * k, pa.int64()), pa.array(words, pa.string())], names=["row", "most", "term"])
+
+
+def _place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+    for b in byte_slices(batches, 1):
+        rows, texts, spans, terms = (c.to_pylist() for c in b.columns)
+        found = [places(t, [(s["start"], s["end"]) for s in own], {x["term"]: x["kind"] for x in w}) for t, own, w in zip(texts, spans, terms, strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array([[{"kind": k, "start": x, "end": y} for k, x, y in f] for f in found], span)], names=["row", "more"])
+
+
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclose_at: float = 0.6, remove_at: float = 0.9, min_support: int = 2) -> DataFrame:
     """Per row: the id and found array<struct<kind,start,end>> by kind as listed, then start."""
     kind = dict(docs.dtypes)[id_col]
     span = "array<struct<kind:string,start:int,end:int>>"
-    schema = f"row long, id {kind}, spans {span}, entities array<string>, near array<struct<entity:string,term:string,start:int,end:int>>, term string, n long"
+    schema = f"row long, id {kind}, spans {span}, entities array<string>, text string, term string, n long"
     scanned = materialise(docs.select(F.col(id_col), F.col(text_col)).mapInArrow(_scan, schema))
-    rows = scanned.filter("row is not null").select("row", "id", "spans", "entities", "near")
-    near = rows.filter(F.size("near") > 0).select("row", F.explode("near").alias("x")).select("row", "x.*")
+    rows = scanned.filter("row is not null")
     total = rows.count()
-    pair = ["entity", "term"]
-    in_docs = near.groupBy("row", *pair).agg(F.lit(1).alias("_"))
-    joint = in_docs.groupBy(*pair).agg(F.count("*").alias("n_both")).filter(F.col("n_both") >= min_support)
-    of_entity = rows.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
-    of_term = scanned.filter("term is not null").groupBy("term").agg(F.sum("n").alias("n_term"))
     n = F.lit(float(max(total, 1)))
+    most = lambda n_entity: n * F.pow(n_entity / n, F.lit(disclose_at)) * (1 + 1e-9)
+    holds = rows.select("row", F.explode("entities").alias("entity"))
+    of_entity = holds.groupBy("entity").agg(F.count("*").alias("n_entity")).filter(F.col("n_entity") >= min_support)
+    held = materialise(holds.join(of_entity, "entity"))
+    of_term = materialise(scanned.filter("term is not null").groupBy("term").agg(F.sum("n").alias("n_term")).filter(F.col("n_term") >= min_support))
+    top = held.agg(F.max("n_entity")).first()[0] or 0
+    usable = of_term.filter(F.col("n_term") <= most(F.lit(float(top))))
+    bits = docs.sparkSession.sparkContext.broadcast(id_filter(usable, "term"))
+    texts = rows.filter("text is not null").select("row", "text").join(held.groupBy("row").agg(F.max("n_entity").alias("most")), "row")
+    words = sift(texts.select("row", "most", "text").mapInArrow(_terms, "row long, most long, term string"), bits, "term", True)
+    words = words.join(usable, "term").filter(F.col("n_term") <= most(F.col("most"))).select("row", "term", "n_term")
+    both = materialise(words.join(held, "row").filter(F.col("n_term") <= most(F.col("n_entity"))))
+    pair = ["entity", "term"]
+    joint = both.groupBy(*pair).agg(F.count("*").alias("n_both"), F.first("n_term").alias("n_term"), F.first("n_entity").alias("n_entity")).filter(F.col("n_both") >= min_support)
     pmi = F.log(F.col("n_both") * n / (F.col("n_entity") * F.col("n_term")))
     own = F.log(n / F.col("n_entity"))
     ratio = F.when(own > 0, pmi / own).otherwise(0.0)
-    revealing = joint.join(of_term, "term").join(of_entity, "entity").select(*pair, ratio.alias("ratio")).filter(F.col("ratio") >= disclose_at)
-    added = (
-        near.join(revealing, pair)
-        .groupBy("row", "start", "end").agg(F.max("ratio").alias("ratio"))
-        .select("row", F.struct(F.when(F.col("ratio") >= remove_at, "remove").otherwise("general").alias("kind"), "start", "end").alias("s"))
-        .groupBy("row").agg(F.array_sort(F.collect_list(F.struct(F.when(F.col("s.kind") == "remove", 0).otherwise(1), F.col("s.start"), F.col("s")))).alias("more"))
-        .select("row", F.transform("more", lambda x: x["s"]).alias("more"))
-    )
+    revealing = joint.select(*pair, ratio.alias("ratio")).filter(F.col("ratio") >= disclose_at)
+    chosen = both.select("row", *pair).join(revealing, pair).groupBy("row", "term").agg(F.max("ratio").alias("ratio"))
+    chosen = chosen.groupBy("row").agg(F.collect_list(F.struct("term", F.when(F.col("ratio") >= remove_at, "remove").otherwise("general").alias("kind"))).alias("terms"))
+    added = rows.select("row", "text", "spans").join(chosen, "row").mapInArrow(_place, f"row long, more {span}")
     found = F.when(F.col("more").isNull(), F.col("spans")).otherwise(F.concat("spans", "more"))
     return rows.select("row", "id", "spans").join(added, "row", "left").select(F.col("id").alias(id_col), found.alias("found"))
 

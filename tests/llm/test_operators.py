@@ -225,6 +225,36 @@ def test_pii_terms(spark, none):
     assert pii.find_pii(none).count() == 0
 
 
+def test_pii_terms_anywhere(spark):
+    """Terms far from the identifier count and every place of a revealing term is a span, by brute force."""
+    rng = random.Random(8)
+    far = lambda: prose(rng, 90)
+    rows = [(i, prose(rng, 30)) for i in range(300)]
+    rows += [(1000 + i, f"Zanzibar {far()} me@x.org {far()} zanzibar, {far()} ZANZIBAR") for i in range(10)]
+    rows += [(2000 + i, f"call +4420{i:08d} {far()} mombasa mombasa@x.org") for i in range(2)] + [(2002, "mombasa alone"), (2003, "zanzibar@y.org"), (None, None)]
+    found = {r.doc_id: [tuple(s) for s in r.found] for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    hold, n = {}, len(rows)
+    words = {k: set(re.findall("[a-z]+", (t or "").lower())) for k, t in rows}
+    for k, t in rows:
+        for kind, s, e in pii.base_spans(t):
+            hold.setdefault(pii.entity_of(kind, t[s:e]), set()).add(k)
+    term_docs = {}
+    for k, ws in words.items():
+        for w in ws:
+            term_docs.setdefault(w, set()).add(k)
+    for k, t in rows:
+        base = pii.base_spans(t)
+        best = {}
+        for docs_with in (d for d in hold.values() if k in d):
+            for w in words[k]:
+                both = len(docs_with & term_docs[w])
+                if both >= 2:
+                    best[w] = max(best.get(w, -9), np.log(both * n / (len(docs_with) * len(term_docs[w]))) / np.log(n / len(docs_with)))
+        more = [("remove" if best[m[0].lower()] >= 0.9 else "general", *m.span()) for m in re.finditer("[A-Za-z]+", t or "") if best.get(m[0].lower(), 0) >= 0.6 and not any(m.start() < e and s < m.end() for _, s, e in base)]
+        assert found[k] == base + sorted(more, key=lambda s: (s[0] != "remove", s[1]))
+    assert [s[0] for s in found[1000]] == ["email", "remove", "remove", "remove"]
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(1)
     centres = rng.standard_normal((20, 16))
