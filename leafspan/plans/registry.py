@@ -92,18 +92,19 @@ lx AS (SELECT doc_id, section_id, chunk_id, 0.0 + 5.0 * th + 2.0 * 0.0 + 1.0 * t
 lex AS (SELECT *, row_number() OVER (ORDER BY round(lexical_score, 9) DESC, doc_id, chunk_id) AS lexical_rank FROM lx QUALIFY lexical_rank <= 60)"""
 
 
-def _lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.lexical_recall(_corpus(spark, sf_dir), QUERY, TERMS, words=False)
+def _lexical(spark: SparkSession, sf_dir: str, words: bool = True) -> DataFrame:
+    """Without words it is what _LEXICAL_SQL says: word similarity is 0."""
+    return R.lexical_recall(_corpus(spark, sf_dir), QUERY, TERMS, words=words)
 
 
 @query(f"WITH {_LEXICAL_SQL} SELECT doc_id, section_id, chunk_id, lexical_rank, lexical_score FROM lex")
 def lexical_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _lexical(spark, sf_dir).select("doc_id", "section_id", "chunk_id", F.col("lexical_rank").cast("long").alias("lexical_rank"), "lexical_score")
+    return _lexical(spark, sf_dir, False).select("doc_id", "section_id", "chunk_id", F.col("lexical_rank").cast("long").alias("lexical_rank"), "lexical_score")
 
 
 @query()
 def lexical_recall_with_word_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.lexical_recall(_corpus(spark, sf_dir), QUERY, TERMS).select("doc_id", "chunk_id", "lexical_rank", "lexical_score")
+    return _lexical(spark, sf_dir).select("doc_id", "chunk_id", "lexical_rank", "lexical_score")
 
 
 _VECTOR = [((i * 37) % 64 - 31.5) / 100 for i in range(64)]
@@ -122,9 +123,9 @@ def dense_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _dense(spark, sf_dir).select("chunk_id", F.round("dense_score", 9).alias("dense_score"), F.col("dense_rank").cast("long").alias("dense_rank"))
 
 
-def _fused(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _fused(spark: SparkSession, sf_dir: str, words: bool = True) -> DataFrame:
     names = _corpus(spark, sf_dir).select("chunk_id", "doc_id", "section_id")
-    return R.fuse(_dense(spark, sf_dir).join(names, "chunk_id"), _lexical(spark, sf_dir))
+    return R.fuse(_dense(spark, sf_dir).join(names, "chunk_id"), _lexical(spark, sf_dir, words))
 
 
 _FUSED_SQL = f"""{_LEXICAL_SQL}, {_DENSE_SQL}, dn AS (SELECT den.*, c.doc_id, c.section_id FROM den JOIN c USING (chunk_id)),
@@ -135,6 +136,11 @@ fused AS (SELECT *, row_number() OVER (ORDER BY rrf_score DESC, coalesce(dense_r
 
 @query(f"WITH {_FUSED_SQL} SELECT chunk_id, doc_id, section_id, rrf_score, fused_rank FROM fused")
 def rank_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _fused(spark, sf_dir, False).select("chunk_id", "doc_id", "section_id", "rrf_score", F.col("fused_rank").cast("long").alias("fused_rank"))
+
+
+@query()
+def rank_fusion_with_word_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _fused(spark, sf_dir).select("chunk_id", "doc_id", "section_id", "rrf_score", F.col("fused_rank").cast("long").alias("fused_rank"))
 
 
@@ -146,11 +152,21 @@ doc AS (SELECT doc_id, round(sum(rrf_score) FILTER (rn <= 5), 8) AS doc_score, c
 
 @query(f"WITH {_FUSED_SQL}, {_SECTIONS_SQL} SELECT * FROM sec")
 def section_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.aggregate_sections(_fused(spark, sf_dir, False)).select("doc_id", "section_id", "section_score", "matched_chunk_count", F.col("first_rank").cast("long").alias("first_rank"))
+
+
+@query()
+def section_scores_with_word_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.aggregate_sections(_fused(spark, sf_dir)).select("doc_id", "section_id", "section_score", "matched_chunk_count", F.col("first_rank").cast("long").alias("first_rank"))
 
 
 @query(f"WITH {_FUSED_SQL}, {_DOCS_SQL} SELECT doc_id, doc_score, matched_section_count FROM doc ORDER BY doc_score DESC, first_rank LIMIT 10")
 def document_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.aggregate_docs(_fused(spark, sf_dir, False)).select("doc_id", "doc_score", "matched_section_count")
+
+
+@query()
+def document_scores_with_word_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.aggregate_docs(_fused(spark, sf_dir)).select("doc_id", "doc_score", "matched_section_count")
 
 
@@ -420,8 +436,9 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     fused = _fused(spark, sf_dir)
     docs = R.aggregate_docs(fused)
     best = R.top_sections(R.aggregate_sections(fused), docs)
-    score = S.evidence_score(100 * F.col("section_score"), F.size("supporting_chunks"), F.lit(0), F.lit(0), F.lit(0))
-    contexts = best.select("doc_id", "section_id", F.col("section_rank").alias("seq"), F.concat_ws(" > ", "doc_id", "section_id").alias("title_path"), score.alias("evidence_score"))
+    title, path, terms = F.col("section_id"), F.concat_ws(" > ", "doc_id", "section_id"), F.array(*map(F.lit, TERMS))  # sections have no summary to hit
+    score = S.evidence_score(100 * F.col("section_score"), F.size("supporting_chunks"), T.term_hits(title, terms), T.term_hits(path, terms), F.lit(0))
+    contexts = best.select("doc_id", "section_id", F.col("section_rank").alias("seq"), path.alias("title_path"), score.alias("evidence_score"))
     return R.package(contexts, docs).select("evidence_rank", "evidence_id", "doc_id", "section_id", "evidence_score", "doc_score")
 
 

@@ -81,6 +81,50 @@ def test_scores(spark):
     assert value(spark, S.rrf(F.lit(1), F.lit(1))) == round(2 / 61, 8)
 
 
+def _brute_fusion(docs, vectors):
+    """Lexical recall with all six similarities, dense recall and fusion as plain loops: (chunk, doc, section, rrf, rank)."""
+    query, terms = registry.QUERY, registry.TERMS
+    grams = S._ordered_trigrams(query)
+    scored = []
+    for chunk, text, doc, source in docs:
+        total, most, hit = 0.0, 0.0, 0
+        for field, (h, w, s) in ((source, (5.0, 2.0, 1.0)), (f"{doc} > {source}", (3.0, 1.25, 0.75)), (text, (1.5, 1.0, 0.5))):
+            own, asked = set(S._ordered_trigrams(field)), set(grams)
+            sim = len(own & asked) / len(own | asked)
+            extents = [set(grams[i:j]) for i in range(len(grams)) for j in range(i + 1, len(grams) + 1)]
+            word = max(len(own & x) / len(own | x) for x in extents)
+            n = sum(t in field.lower() for t in terms)
+            total, most, hit = total + h * n + w * word + s * sim, max(most, sim, word), hit + n
+        if hit or most >= 0.18:
+            scored.append((-round(total, 9), doc, chunk))
+    lexical = {c: k for k, (_, _, c) in enumerate(sorted(scored)[:60], 1)}
+    names = {c: (d, s) for c, _, d, s in docs}
+    q = registry._VECTOR
+    cos = sorted((-sum(x * y for x, y in zip(v, q, strict=True)) / sum(x * x for x in v) ** 0.5, c) for c, v in vectors)[:60]
+    dense = {c: k for k, (_, c) in enumerate(cos, 1) if c in names}
+    both = [(-round(sum(1 / (60 + d[c]) for d in (dense, lexical) if c in d), 8), dense.get(c, 0), lexical.get(c, 0), c) for c in dense.keys() | lexical.keys()]
+    return [(c, *names[c], -r, k) for k, (r, _, _, c) in enumerate(sorted(both)[:80], 1)]
+
+
+def test_fusion_and_evidence_use_word_similarity(spark):
+    con = duckdb.connect()
+    docs = con.execute(f"SELECT doc_id, text, lang, source FROM '{SF}/documents.parquet'").fetchall()
+    want = _brute_fusion(docs, con.execute(f"SELECT vec_id, embedding FROM '{SF}/embeddings.parquet'").fetchall())
+    cols = ["chunk_id", "doc_id", "section_id", "rrf_score", "fused_rank"]
+    got = registry.QUERIES["rank_fusion_with_word_similarity"](spark, SF)
+    assert rows(got.columns, got.collect()) == rows(cols, want)
+    sections = {}
+    for _, doc, section, score, _ in want:
+        sections.setdefault((doc, section), []).append(score)
+    evidence = registry.QUERIES["evidence_for_query"](spark, SF).collect()
+    assert evidence
+    for r in evidence:
+        own = sections[r.doc_id, r.section_id]
+        hits = lambda t: sum(x in t.lower() for x in registry.TERMS)
+        score = 100 * sum(own[:3]) + 0.5 * min(2, len(own)) + 2 * hits(r.section_id) + 1.5 * hits(f"{r.doc_id} > {r.section_id}")
+        assert r.evidence_score == pytest.approx(score, abs=1e-5)
+
+
 def test_pages_headers_levels_and_tree(spark):
     text = "intro\n<!-- page:3 -->\n## A\nx\n```\n# no\n```\n#### B\ny\n## C\n"
     lines = M.to_lines(spark.createDataFrame([(1, text)], "doc_id int, text string"))
