@@ -7,9 +7,10 @@ text to its kernel values against the landmarks, whitened by the landmark kernel
 (one versus the rest, by the normal equations on the bounded training sample) gives the scores.
 
 Because the kernel is a dot product of presence vectors, map and regressions fold into one n-gram by language matrix.
-Whole batches are then scored as one product of a presence matrix with it.
+Whole batches are then scored as one product of a presence matrix with it. Where that matrix would have more than
+FOLD_CELLS cells (hundreds of languages), kernel values and regressions stay two steps; the scores are the same.
 
-Training reads about TRAIN_PER_LANG texts of each language (TRAIN_ROWS in all, 8 for each of MAX_LANGS at least), chosen
+Training reads about TRAIN_PER_LANG texts of each language (TRAIN_ROWS in all, but 8 for every language at least), chosen
 by a hash of the id; every text is scored.
 Texts that are null or have no letter are "und" with score 0. Repeated rows give repeated results; without any labelled
 row every text is "und"; columns other than those named are ignored.
@@ -29,7 +30,7 @@ from leafspan.llm.common import byte_slices, held_out, release, table, tidy
 TRAIN_ROWS = 1600
 TRAIN_PER_LANG = 400
 LANDMARKS = 240
-MAX_LANGS = 200
+FOLD_CELLS = 1 << 24
 RIDGE = 1e-2
 GRAMS = (1, 2, 3, 4)
 UNKNOWN = "und"
@@ -61,46 +62,66 @@ def has_letter(text: str | None) -> bool:
     return bool(text) and any(map(str.isalpha, text))
 
 
+class Landmarks:
+    """Landmark gram sets by gram: the landmarks of grams[i] are owner[first[i] : first[i + 1]]."""
+
+    def __init__(self, sets: list[np.ndarray]) -> None:
+        flat = np.concatenate(sets)
+        owner = np.repeat(np.arange(len(sets)), [len(g) for g in sets])
+        order = np.argsort(flat, kind="stable")
+        self.owner = owner[order].astype(np.int32)
+        self.grams, first = np.unique(flat[order], return_index=True)
+        self.first = np.append(first, len(flat))
+        self.scale = np.array([len(g) for g in sets], float) ** -0.5
+
+    def kernel(self, g: np.ndarray) -> np.ndarray:
+        """The kernel of a gram set with every landmark."""
+        if not len(g):
+            return np.zeros(len(self.scale))
+        at = np.minimum(np.searchsorted(self.grams, g), len(self.grams) - 1)
+        at = at[self.grams[at] == g]
+        size = self.first[at + 1] - self.first[at]
+        rows = np.repeat(self.first[at] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        return np.bincount(self.owner[rows], minlength=len(self.scale)) * self.scale / len(g) ** 0.5
+
+
 class KernelModel:
-    """Weights of every n-gram that some landmark has, by language, after the fold."""
+    """Weights of every n-gram that some landmark has, by language, after the fold; or landmarks and their weights."""
 
-    def __init__(self, langs: list[str], grams: np.ndarray, weights: np.ndarray) -> None:
-        self.langs, self.grams, self.weights = langs, grams, weights
+    def __init__(self, langs: list[str], grams: np.ndarray, weights: np.ndarray, marks: Landmarks | None = None) -> None:
+        self.langs, self.grams, self.weights, self.marks = langs, grams, weights, marks
 
     @classmethod
     def fit(cls, rows: list[tuple[str, np.ndarray]], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> KernelModel:
         langs = sorted({lang for lang, _ in rows})
         seen: dict[str, int] = dict.fromkeys(langs, 0)
-        marks = []
+        chosen = []
         for k, (lang, g) in enumerate(rows):
             if len(g) and seen[lang] < max(2, landmarks // len(langs)):
                 seen[lang] += 1
-                marks.append(k)
-        if not marks:
+                chosen.append(k)
+        if not chosen:
             return cls(langs, np.empty(0, np.int64), np.zeros((0, len(langs))))
-        grams = np.unique(np.concatenate([rows[k][1] for k in marks]))
-        m = np.zeros((len(marks), len(grams)), np.float32)
-        for i, k in enumerate(marks):
-            m[i, np.searchsorted(grams, rows[k][1])] = len(rows[k][1]) ** -0.5
-        values, vectors = np.linalg.eigh((m @ m.T).astype(np.float64))
+        marks = Landmarks([rows[k][1] for k in chosen])
+        values, vectors = np.linalg.eigh(np.array([marks.kernel(rows[k][1]) for k in chosen]))
         good = values > 1e-8 * values[-1]
         whiten = vectors[:, good] / np.sqrt(values[good])
-        z = np.vstack([(cls._kernel(g, grams, m) @ whiten) for _, g in rows])
-        y = np.array([[1.0 if lang == x else -1.0 for x in langs] for lang, _ in rows])
-        share = 1 / np.maximum(1, np.array([sum(lang == x for lang, _ in rows) for x in langs], float))
-        w = np.array([share[langs.index(lang)] for lang, _ in rows])[:, None]  # languages weigh alike
+        z = np.vstack([marks.kernel(g) @ whiten for _, g in rows])
+        place = {lang: c for c, lang in enumerate(langs)}
+        own = np.array([place[lang] for lang, _ in rows])
+        y = np.where(own[:, None] == np.arange(len(langs)), 1.0, -1.0)
+        w = (1 / np.maximum(1, np.bincount(own, minlength=len(langs))))[own][:, None]  # languages weigh alike
         beta = np.linalg.solve(z.T @ (w * z) + ridge / len(langs) * np.eye(z.shape[1]), z.T @ (w * y))
-        return cls(langs, grams, (m.T @ (whiten @ beta)).astype(np.float64))
-
-    @staticmethod
-    def _kernel(g: np.ndarray, grams: np.ndarray, m: np.ndarray) -> np.ndarray:
-        if not len(g):
-            return np.zeros(len(m))
-        at = np.minimum(np.searchsorted(grams, g), len(grams) - 1)
-        return m[:, at[grams[at] == g]].sum(1).astype(np.float64) / len(g) ** 0.5
+        each = whiten @ beta
+        if len(marks.grams) * len(langs) > FOLD_CELLS:
+            return cls(langs, marks.grams, each, marks)
+        each = each * marks.scale[:, None]
+        return cls(langs, marks.grams, np.column_stack([np.add.reduceat(each[marks.owner, c], marks.first[:-1]) for c in range(len(langs))]))
 
     def scores(self, batch: list[np.ndarray]) -> np.ndarray:
         """A row per gram set, a column per language: one product of the presence rows with the weights."""
+        if self.marks is not None:
+            return np.array([self.marks.kernel(g) for g in batch]) @ self.weights
         sizes = np.array([len(g) for g in batch])
         flat = np.concatenate(batch) if len(batch) else np.empty(0, np.int64)
         owner = np.repeat(np.arange(len(batch)), sizes)
@@ -116,11 +137,11 @@ class KernelModel:
 
 
 def training_sample(docs: DataFrame, train, text_col: str, lang_col: str, id_col: str, per_lang: int) -> list[tuple[str, bytes]]:
-    """At most about per_lang rows for each of the MAX_LANGS most frequent languages, in hash order of the id."""
+    """At most about per_lang rows for every language, in hash order of the id."""
     spark = docs.sparkSession
     own = docs.filter(train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     rank = F.xxhash64(F.col(id_col).cast("string"), F.lit(17))
-    counts = own.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(MAX_LANGS).collect()
+    counts = own.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).collect()
     if not counts:
         return []
     share = spark.createDataFrame([(r[0], min(1.0, max(8, min(per_lang, TRAIN_ROWS // len(counts))) / r[1])) for r in counts], "lang string, share double")

@@ -294,6 +294,21 @@ def test_mixing(spark, docs, none):
     assert mixing.mix(none).count() == 0
 
 
+def test_every_language_is_learned(spark, monkeypatch):
+    """More languages than the 200 that were once learned; the folded and the unfolded model agree."""
+    rng = random.Random(4)
+    own = [["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(4)] for _ in range(230)]
+    rows = [(4 * k + i, " ".join(rng.choices(own[k], k=20)), f"l{k:03d}") for k in range(230) for i in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit_language_model(df, F.lit(True))
+    got = {r.doc_id: r.lang_pred for r in language_id.identify(df, model).collect()}
+    assert len(model.langs) == 230 and all(got[i] == lang for i, _, lang in rows)
+    monkeypatch.setattr(language_id, "FOLD_CELLS", 0)
+    loose = language_id.fit_language_model(df, F.lit(True))
+    batch = [language_id.grams_of(t.encode()) for _, t, _ in rows[::40]]
+    assert loose.marks is not None and np.allclose(loose.scores(batch), model.scores(batch))
+
+
 def test_language_and_toxicity(spark, docs, none):
     de, en = "der und nicht straße über ", "the and with which through "
     rows = [(i, (de if i % 2 else en) * 5, "de" if i % 2 else "en") for i in range(40)] + [(90, None, "en"), (91, "12 3!", None)]
