@@ -222,9 +222,12 @@ def _blocks(docs: DataFrame, k: int, percent: int, n_parts: int) -> DataFrame:
 def _sets_of(docs: DataFrame, chosen: DataFrame, k: int) -> DataFrame:
     """(class, hashes) of the chosen (id, class): texts pass a fixed-size filter before they are shuffled.
 
-    A row that only shares the id is told by its own class and left out.
+    A row that only shares the id is told by its own class and left out. Classes whose ids are all null have no id to be
+    fetched by: rows with a null id are all measured, then picked by class.
     """
-    bits = docs.sparkSession.sparkContext.broadcast(id_filter(chosen, "id"))
+    context = docs.sparkSession.sparkContext
+    named, unnamed = chosen.filter("id is not null"), chosen.filter("id is null").select("class")
+    bits, classes = context.broadcast(id_filter(named, "id")), context.broadcast(id_filter(unnamed, "class"))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -233,8 +236,17 @@ def _sets_of(docs: DataFrame, chosen: DataFrame, k: int) -> DataFrame:
                 found = [(c, s) for c, s in zip(part.column(0).to_pylist(), shingle_sets(part.column(1).to_pylist(), k), strict=True) if len(s) and class_of(s) == c]
                 yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in found], pa.int64()), pa.array([s.tobytes() for _, s in found], pa.binary())], names=["class", "hashes"])
 
+    def measure_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in byte_slices(batches, 0):
+            found = [s for s in shingle_sets(b.column(0).to_pylist(), k) if len(s)]
+            yield pa.RecordBatch.from_arrays([pa.array([class_of(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], names=["class", "hashes"])
+
     near = sift(docs.select("id", "text"), bits, "id", True)
-    return near.join(chosen, "id").select("class", "text").mapInArrow(tidy(measure), "class long, hashes binary")
+    near = near.join(named, "id").select("class", "text").mapInArrow(tidy(measure), "class long, hashes binary")
+    if not unnamed.limit(1).count():
+        return near
+    rest = sift(docs.filter("id is null").select("text").mapInArrow(tidy(measure_all), "class long, hashes binary"), classes, "class", True)
+    return near.unionByName(rest.join(unnamed, "class", "left_semi").dropDuplicates(["class"]))
 
 
 def _by_slices(rows: DataFrame, key: str, slices, columns: list[str], task) -> DataFrame:
@@ -323,6 +335,7 @@ def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "do
     own = maybe.select(F.explode(F.array("a", "b")).alias("class")).distinct()
     member = materialise(own.join(components(maybe, "a", "b").withColumnRenamed("node", "class"), "class", "left").select("class", F.coalesce("root", "class").alias("family")).join(classes, "class"))
     weight = member.groupBy("family").agg((F.sum("n") * 8).alias("weight"))
+    member = materialise(member)
     sets = _sets_of(src, member.select("id", "class"), k)
     whole = sets.join(member.drop("id").join(weight, "family"), "class")
     links = materialise(_by_slices(whole, "family", F.ceil(F.col("weight") / FAMILY_BYTES), ["class", "n", "points", "hashes"], lambda r: _join_rows(r, percent, True)), VERIFY_ROWS)

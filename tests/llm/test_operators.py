@@ -294,6 +294,15 @@ def test_mixing(spark, docs, none):
     assert mixing.mix(none).count() == 0
 
 
+def test_null_id_links_others(spark):
+    """A document with a null id links two others that do not link with each other."""
+    w = [f"w{i}" for i in range(60)]
+    a, x, b = (" ".join(w[i : i + 50]) for i in (0, 3, 6))
+    rows = [(1, a), (None, x), (None, x), (2, b), (3, "alone here"), (None, "none like this"), (None, None)]
+    got = {r.doc_id: r.component_id for r in ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string"), 1, 88).collect() if r.doc_id}
+    assert got == {1: 1, 2: 1, 3: 3}
+
+
 def test_every_language_is_learned(spark, monkeypatch):
     """More languages than the 200 that were once learned; the folded and the unfolded model agree."""
     rng = random.Random(4)
