@@ -41,16 +41,19 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest id of each group of near duplicates. Rows with a null id have no name and stay; of rows that
-    share id and text one stays."""
-    groups = ngram_join(docs.select("doc_id", "text"), SHINGLE_WORDS, SIMILARITY_PERCENT)
-    gone = materialise(groups.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct())
-    kept = drop_ids(docs, gone)
-    again = docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    """Keeps the row of the smallest id of each group of near duplicates; ties go by text hash. Rows are told apart by id
+    and text, so ids may be repeated. Rows with a null id have no name and stay; of rows that share id and text one
+    stays."""
+    key = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", F.xxhash64("text").alias("hash"))
+    keyed = docs.withColumn("_key", key)
+    groups = materialise(ngram_join(keyed.select("_key", "text"), SHINGLE_WORDS, SIMILARITY_PERCENT, "_key"))
+    kept = drop_ids(keyed, groups.filter((F.col("_key") != F.col("component_id")) & ~F.col("_key.unnamed")).select("_key").distinct(), "_key")
+    again = groups.filter("not _key.unnamed").groupBy("_key").count().filter("count > 1").select("_key")
     again = materialise(again)
     if not again.limit(1).count():
-        return kept
-    return kept.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(kept.join(again, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id", "text"]))
+        return kept.select(docs.columns)
+    once = kept.join(again, "_key", "left_semi").dropDuplicates(["_key"])
+    return kept.join(again, "_key", "left_anti").select(docs.columns).unionByName(once.select(docs.columns))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -303,6 +303,17 @@ def test_null_id_links_others(spark):
     assert got == {1: 1, 2: 1, 3: 3}
 
 
+def test_pipeline_duplicates_by_row(spark):
+    """Rows of one id are judged by their own text; near copies that share an id leave one; null ids stay."""
+    rng = random.Random(2)
+    a, b, c, d = (prose(rng, 60) for _ in range(4))
+    rows = [(1, a), (5, a + " end"), (5, b), (7, c), (7, c + " end"), (None, d), (None, d + " end"), (None, d), (None, None), (None, None), (8, ""), (8, "")]
+    out = [tuple(r) for r in corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()]
+    assert sorted(k for k, t in out if k is not None) == [1, 5, 7, 8]
+    assert (1, a) in out and (5, b) in out and out.count((None, None)) == 2
+    assert sum(k is None and t is not None for k, t in out) == 3
+
+
 def test_every_language_is_learned(spark, monkeypatch):
     """More languages than the 200 that were once learned; the folded and the unfolded model agree."""
     rng = random.Random(4)
