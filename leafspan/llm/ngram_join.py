@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafspan.llm.common import byte_slices, components, id_filter, materialise, partitions, sift, table, tidy
+from leafspan.llm.common import byte_slices, components, id_filter, join_facts, materialise, partitions, sift, table, tidy
 from leafspan.llm.texthash import mix, sequence_hashes, word_hashes
 
 DIMENSIONS = 64
@@ -230,11 +230,9 @@ def _sets_of(docs: DataFrame, chosen: DataFrame, k: int) -> DataFrame:
     bits, classes = context.broadcast(id_filter(named, "id")), context.broadcast(id_filter(unnamed, "class"))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for lo in range(0, b.num_rows, 500):
-                part = b.slice(lo, 500)
-                found = [(c, s) for c, s in zip(part.column(0).to_pylist(), shingle_sets(part.column(1).to_pylist(), k), strict=True) if len(s) and class_of(s) == c]
-                yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in found], pa.int64()), pa.array([s.tobytes() for _, s in found], pa.binary())], names=["class", "hashes"])
+        for part in byte_slices(batches, 1):
+            found = [(c, s) for c, s in zip(part.column(0).to_pylist(), shingle_sets(part.column(1).to_pylist(), k), strict=True) if len(s) and class_of(s) == c]
+            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in found], pa.int64()), pa.array([s.tobytes() for _, s in found], pa.binary())], names=["class", "hashes"])
 
     def measure_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in byte_slices(batches, 0):
@@ -327,22 +325,26 @@ def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "do
     rows = materialise(shingle_classes(docs, k, id_col, text_col))
     total = rows.agg(F.sum("n")).first()[0] or 0
     blocks = materialise(_blocks(src, k, percent, partitions(spark, total * 4 * (100 - percent) / (100 + percent), 4e6)))
-    classes = rows.filter("class is not null").groupBy("class").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("points").alias("points"))
-    classes = materialise(classes.join(blocks.select("class").distinct(), "class", "left_semi"))
+    of_class = materialise(rows.filter("class is not null").groupBy("class").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("points").alias("points"), F.count("*").alias("held")))
+    classes = of_class.drop("held").join(blocks.select("class").distinct(), "class", "left_semi")
+    classes = materialise(classes)
+    n_blocked = blocks.count()
     size = blocks.groupBy("block").agg(F.count("*").alias("size"))
-    placed = blocks.join(size, "block").join(classes.select("class", "n", "points"), "class")
+    placed = join_facts(blocks, size.withColumn("held", F.col("size")), "block", "held", n_blocked).join(classes.select("class", "n", "points"), "class")
     maybe = materialise(_by_slices(placed, "block", F.ceil(F.col("size") / BLOCK_ROWS), ["class", "n", "points"], lambda r: _join_rows(r, percent, False)))
     own = maybe.select(F.explode(F.array("a", "b")).alias("class")).distinct()
     member = materialise(own.join(components(maybe, "a", "b").withColumnRenamed("node", "class"), "class", "left").select("class", F.coalesce("root", "class").alias("family")).join(classes, "class"))
-    weight = member.groupBy("family").agg((F.sum("n") * 8).alias("weight"))
-    member = materialise(member)
+    weight = member.groupBy("family").agg((F.sum("n") * 8).alias("weight"), F.count("*").alias("held"))
+    weighed = materialise(join_facts(member.select("class", "n", "points", "family"), weight, "family", "held", member.count()))
     sets = _sets_of(src, member.select("id", "class"), k)
-    whole = sets.join(member.drop("id").join(weight, "family"), "class")
+    whole = sets.join(weighed, "class")
     links = materialise(_by_slices(whole, "family", F.ceil(F.col("weight") / FAMILY_BYTES), ["class", "n", "points", "hashes"], lambda r: _join_rows(r, percent, True)), VERIFY_ROWS)
     comp = components(links, "a", "b")
-    named = rows.join(comp.select(F.col("node").alias("class"), "root"), "class", "left").select("id", "n", F.coalesce("root", "class").alias("root"))
-    name = named.filter("root is not null").groupBy("root").agg(F.min("id").alias("name"))
-    out = named.join(name, "root", "left")
+    named = of_class.join(comp.select(F.col("node").alias("class"), "root"), "class", "left").select("class", "id", "held", F.coalesce("root", "class").alias("root"))
+    named = materialise(named)
+    name = named.groupBy("root").agg(F.min("id").alias("name"), F.count("*").alias("members"))
+    names = materialise(join_facts(named.select("class", "held", "root"), name, "root", "members", named.count()).select("class", "held", "name"))
+    out = join_facts(rows.select("id", "n", "class"), names, "class", "held", rows.count(), "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("name", "id").alias("component_id"))
 
 

@@ -1,7 +1,8 @@
 """Secret scans: keyword prefilter, anchored expressions near hits, checksum validation.
 
 An Aho-Corasick automaton reads each text once and reports where keywords start. Only there is an expression tried,
-anchored at the hit. Kinds with an embedded checksum or a decodable structure are kept only if that holds. Runs of
+anchored at the hit. Every expression is linear in the text: hits inside a match, or inside a run of characters in which
+one hit has failed for what follows the run, are passed over. Kinds with an embedded checksum or a decodable structure are kept only if that holds. Runs of
 hexadecimal digits have no keyword; they are found as runs of one byte after a table lookup.
 
 Nulls and empty texts give no spans. Positions are code points of the whole text, ends exclusive. Repeated rows give
@@ -51,6 +52,8 @@ PATTERNS = {
     "google": r"AIza[A-Za-z0-9_-]{35}(?![A-Za-z0-9_-])",
     "stripe": r"[rs]k_live_[A-Za-z0-9]{16,}",
 }
+#: Where a hit of these kinds fails, every later one in the same run of characters fails for the same reason.
+RUNS = {"jwt": re.compile(r"[A-Za-z0-9_-]+")}
 BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 HEX_LEAST = 24
 
@@ -109,11 +112,16 @@ class SecretScanner:
             starts.setdefault(kind, []).append(end + 1 - n)
         for kind, at in starts.items():
             match, check, last = self.patterns[kind].match, CHECKS.get(kind), 0
+            run = RUNS.get(kind)
             for s in sorted(at):
-                if s >= last and (m := match(text, s)):
+                if s < last:
+                    continue
+                if m := match(text, s):
                     last = m.end()
                     if check is None or check(m):
                         found.append((kind, s, last))
+                elif run and (m := run.match(text, s)):
+                    last = m.end()
         runs, need = raw.translate(_HEX), b"h" * HEX_LEAST
         s = runs.find(need)
         while s >= 0:

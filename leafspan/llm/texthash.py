@@ -1,7 +1,9 @@
 """Vectorised 64-bit hashes of words and word sequences.
 
 A word's hash is the sum of a random value per byte times a power of an odd base, divided by the power at the word's
-start; all of it wraps modulo 2**64, so hashes of all words of a buffer come from one running sum.
+start; all of it wraps modulo 2**64, so hashes of all words of a buffer come from one running sum. Modulo a power of two
+some pairs of long, self-similar words agree whatever the base, so a second sum of the same form modulo a prime goes
+into the hash as well.
 """
 
 from __future__ import annotations
@@ -14,6 +16,9 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _VALUE = np.random.default_rng(20240607).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _powers: list[np.ndarray] = []
+PRIME = (1 << 31) - 1
+_PRIME_BASE = 1_483_642_871
+_prime_powers: list[np.ndarray] = []
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -33,6 +38,33 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
+def _prime_power(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse modulo PRIME."""
+    if not _prime_powers or len(_prime_powers[0]) < n:
+        size = 1 << max(n, 2 * PIECE).bit_length()
+        _prime_powers[:] = []
+        for base in (_PRIME_BASE, pow(_PRIME_BASE, -1, PRIME)):
+            out, step = np.ones(1, np.uint64), base
+            while len(out) < size:
+                out = np.concatenate((out, out * np.uint64(step) % np.uint64(PRIME)))
+                step = step * step % PRIME
+            _prime_powers.append(out)
+    return _prime_powers[0], _prime_powers[1]
+
+
+def prime_sums(buf: np.ndarray) -> np.ndarray:
+    """Running sums of (byte + 1) * power, which do not wrap: terms stay below 2**39, reduced to 2**31 in long buffers."""
+    terms = (buf.astype(np.uint64) + np.uint64(1)) * _prime_power(len(buf) + 1)[0][: len(buf)]
+    total = np.zeros(len(buf) + 1, np.uint64)
+    np.cumsum(terms if len(buf) < 1 << 24 else terms % np.uint64(PRIME), out=total[1:])
+    return total
+
+
+def prime_hash(total: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    p = np.uint64(PRIME)
+    return (total[end] - total[start]) % p * _prime_power(len(total))[1][start] % p
+
+
 def _piece(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     space = np.ones(len(buf) + 2, bool)
     space[1:-1] = _SPACE[buf]
@@ -41,7 +73,8 @@ def _piece(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     power, inverse = _power(len(buf))
     total = np.zeros(len(buf) + 1, np.uint64)
     np.cumsum(_VALUE[buf] * power[: len(buf)], out=total[1:])
-    return starts, mix((total[ends] - total[starts]) * inverse[starts])
+    other = prime_hash(prime_sums(buf), starts, ends)
+    return starts, mix((total[ends] - total[starts]) * inverse[starts] ^ mix(other))
 
 
 def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
