@@ -1,19 +1,22 @@
 """Near-duplicate embeddings by a forest of random-projection trees.
 
-Every tree splits unit vectors by random directions, level by level, at the node's median in a bounded sample (0 below
-the depth that the sample supports). Rows within SPILL of a split go to both sides, so near pairs are seldom parted.
-All rows are put into leaves; vectors of one leaf and label are compared by matrix products in double precision. A
-pair is counted in the first leaf (tree, number) that holds both its vectors and skipped in every later one, so counts
-need no table of pairs. Each leaf sends link counts and one edge per vector to a root of its own; the edges of all
-leaves are joined to components.
-
-Leaves over BLOCK_ROWS rows are cut into slices by a hash of the id, and every two slices meet in a task of their own:
-no row is dropped, and no task holds more than two slices.
-
-Vectors that are null, zero or of another length than the rest, with null or non-finite components, null labels or
-null ids link with nothing (0 links, their own component; null ids have no component and are not kept). Rows that share
-an id and a label are one vector if their embeddings are equal; an id with several embeddings links through any of
-them. An empty table gives no rows. Other columns are ignored.
+Equal embeddings of a label are one vector with a multiplicity. Every tree splits unit vectors by random directions, level
+by level, at the node's median in a bounded sample (0 below the depth that the sample supports). Vectors within SPILL of
+a split go to both sides, so near pairs are seldom parted. All vectors are put into leaves; vectors of one leaf and label
+are compared by matrix products in double precision. A pair is counted in the first leaf (tree, number) that holds both
+its vectors and skipped in every later one, so counts need no table of pairs. Leaves travel in branches (the subtrees
+below one node), a vector once for each branch. Each branch sends link counts and one edge per vector to a root of its
+own; the edges of all branches are joined to components.
+
+Leaves over BLOCK_ROWS vectors travel alone, cut into slices by a hash of the id, and every two slices meet in a task of
+their own: no row is dropped, and no task holds more than two slices. Vectors of different lengths are never compared;
+each length has trees of its own.
+
+Vectors that are null, empty, zero or hold null or non-finite components, null labels or null ids link with nothing (0
+links, their own component; null ids have no component and are not kept). Vectors are scaled by their largest component
+before their norm is taken, so no finite one is lost. Rows that share an id and a label are one vector if their embeddings
+are equal; an id with several embeddings links through any of them, and has the links of all. Texts
+play no part. An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,14 +30,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafspan.llm.common import components, materialise, table
+from leafspan.llm.common import components, join_facts, materialise, table, tidy
 
 TREES = 4
 LEAF_ROWS = 256
 SAMPLE_ROWS = 8192
 SAMPLE_LEAST = 16
 SPILL = 0.022
-BLOCK_ROWS = 2000
+BLOCK_ROWS = 4000
+BRANCH_LEVELS = 4
+TILE_ROWS = 1000
 
 
 class Forest:
@@ -75,102 +80,172 @@ class Forest:
         return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
-def unit_rows(values: list[list[float] | None], dim: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Indices of the usable vectors (of length dim, if given) and their unit vectors."""
-    keep, rows = [], []
-    for i, v in enumerate(values):
-        if v and None not in v and (dim is None or len(v) == dim):
-            x = np.asarray(v, np.float64)
-            n = np.linalg.norm(x)
-            if np.isfinite(n) and n > 0:
-                keep.append(i)
-                rows.append(x / n)
-    return np.array(keep, int), np.array(rows)
+def unit_rows(values: list[np.ndarray]) -> list[np.ndarray]:
+    """Unit vectors of finite vectors that are not zero."""
+    out = []
+    for v in values:
+        x = np.asarray(v, np.float64)
+        x = x / np.abs(x).max()
+        out.append(x / np.linalg.norm(x))
+    return out
+
 
+def _linked(x: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs (a < b) of rows of x with that cosine or more, by tiles."""
+    left, right = [], []
+    for lo in range(0, len(x), TILE_ROWS):
+        for at in range(lo, len(x), TILE_ROWS):
+            a, b = np.nonzero(x[lo : lo + TILE_ROWS] @ x[at : at + TILE_ROWS].T >= cosine)
+            up = a + lo < b + at
+            left.append(a[up] + lo)
+            right.append(b[up] + at)
+    return np.concatenate(left), np.concatenate(right)
 
-def _lowest(adjacent: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """The smallest id of each row's component of a symmetric matrix."""
+
+def _roots(a: np.ndarray, b: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """The smallest id of each row's component under the edges (a, b)."""
     out = ids.copy()
-    big = np.iinfo(np.int64).max
     while True:
-        new = np.minimum(out, np.where(adjacent, out[None, :], big).min(1, initial=big))
-        if (new == out).all():
+        before = out.copy()
+        np.minimum.at(out, a, out[b])
+        np.minimum.at(out, b, out[a])
+        if (out == before).all():
             return out
-        out = new
-
-
-def _leaf_links(pdf: pd.DataFrame, cosine: float) -> pd.DataFrame:
-    """Links found in one leaf, or between two slices of one: id, links counted here, and a component root."""
-    tree, leaf = int(pdf["tree"].iloc[0]), int(pdf["leaf"].iloc[0])
-    i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
-    ids, own = pdf["id"].to_numpy(), pdf["own"].to_numpy()
-    x = np.frombuffer(b"".join(pdf["unit"]), np.float64).reshape(len(ids), -1)
-    link = x @ x.T >= cosine
-    link &= ids[:, None] != ids[None, :]
-    if i != j:
-        link &= own[:, None] != own[None, :]
-    root = _lowest(link, ids)
-    # pairs that share an earlier leaf were counted there
-    holds = [np.frombuffer(b, np.int64) for b in pdf["seen"]]
-    codes = (np.int64(tree) << 48) | leaf
-    flat = np.concatenate(holds) if holds else np.empty(0, np.int64)
-    owner = np.repeat(np.arange(len(ids)), [len(h) for h in holds])
-    early = flat < codes
-    names, inverse = np.unique(flat[early], return_inverse=True)
-    if len(names):
-        member = np.zeros((len(ids), len(names)), np.float32)
-        member[owner[early], inverse] = 1
-        link &= member @ member.T == 0
-    links = link.sum(1)
-    some = (links > 0) | (root != ids)
-    return pd.DataFrame({"id": ids[some], "links": links[some].astype("int64"), "root": root[some]})
+
+
+def _shared_before(a: np.ndarray, b: np.ndarray, holds: np.ndarray, code: int) -> np.ndarray:
+    """Whether rows a and b share a leaf with a smaller code. holds: the leaves of each row, -1 where there are fewer."""
+    out = np.zeros(len(a), bool)
+    step = max(1, (1 << 22) // holds.shape[1] ** 2)
+    for lo in range(0, len(a), step):
+        x, y = holds[a[lo : lo + step]], holds[b[lo : lo + step]]
+        x = np.where((x >= 0) & (x < code), x, -2)
+        out[lo : lo + step] = (x[:, :, None] == y[:, None, :]).any((1, 2))
+    return out
+
+
+def _branch_links(pdf: pd.DataFrame, cosine: float) -> pd.DataFrame:
+    """Links found in the leaves of a branch, or between two slices of one leaf: id, links counted here, a root.
+
+    leaf 0 stands for the leaves of the branch that do not travel alone (those are in large).
+    """
+    whole, i, j = (int(pdf[c].iloc[0]) for c in ("leaf", "i", "j"))
+    ids, own, mult = pdf["id"].to_numpy(), pdf["own"].to_numpy(), pdf["mult"].to_numpy()
+    dim = int(pdf["dim"].iloc[0])
+    x = np.array(unit_rows([np.frombuffer(v, np.float64 if len(v) == 8 * dim else np.float32) for v in pdf["v"]]))
+    leaves = pdf["leaves"].tolist()
+    holds = np.full((len(ids), max(map(len, leaves))), -1, np.int64)
+    for k, h in enumerate(leaves):
+        holds[k, : len(h)] = h
+    branch = int(pdf["branch"].iloc[0])
+    at, place = np.nonzero(holds == whole if whole else holds >> BRANCH_LEVELS == branch)
+    codes = holds[at, place]
+    large = set(pdf["large"].iloc[0])
+    left, right, count = [], [], np.zeros(len(ids), np.int64)
+    for code in np.unique(codes).tolist():
+        if code in large:
+            continue
+        leaf = at[codes == code]
+        a, b = (leaf[k] for k in _linked(x[leaf], cosine))
+        keep = ids[a] != ids[b]
+        if i != j:
+            keep &= own[a] != own[b]
+        a, b = a[keep], b[keep]
+        left.append(a)
+        right.append(b)
+        new = ~_shared_before(a, b, holds, code)
+        np.add.at(count, a[new], mult[b[new]])
+        np.add.at(count, b[new], mult[a[new]])
+    a, b = (np.concatenate(p) if p else np.empty(0, np.int64) for p in (left, right))
+    root = _roots(a, b, ids)
+    some = (count > 0) | (root != ids)
+    return pd.DataFrame({"id": ids[some], "links": count[some], "root": root[some]})
+
+
+def _forests(merged: DataFrame, trees: int, spill: float) -> dict[int, Forest]:
+    """A forest for each length of vectors, with thresholds from a sample of about SAMPLE_ROWS vectors in all."""
+    most = {r["dim"]: r["most"] for r in merged.groupBy(F.size("v").alias("dim"), "label").count().groupBy("dim").agg(F.max("count").alias("most")).collect()}
+    share = min(1.0, SAMPLE_ROWS / max(merged.count(), 1))
+    chosen = merged.filter(F.xxhash64("rep", F.lit(5)).cast("double") <= F.lit(-(2.0**63) + share * 2.0**64))
+    samples: dict[int, list[np.ndarray]] = {}
+    for r in sorted(chosen.select("rep", "v").collect(), key=lambda r: (r["rep"], r["v"])) if max(most.values(), default=0) > LEAF_ROWS else ():
+        samples.setdefault(len(r["v"]), []).extend(unit_rows([r["v"]]))
+    out = {}
+    for dim, n in most.items():
+        depth = max(0, math.ceil(math.log2(n / LEAF_ROWS)))
+        out[dim] = Forest(np.array(samples.get(dim, [])).reshape(-1, dim), dim, trees if depth else 1, depth, spill)
+    return out
 
 
 def near_embeddings(vectors: DataFrame, cosine: float = 0.98, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", trees: int = TREES, spill: float = SPILL) -> DataFrame:
     """Per row: the id, n_links, component_id and kept."""
     spark = vectors.sparkSession
     all_ids = vectors.select(F.col(id_col).alias("id"))
-    src = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), F.col(vec_col).cast("array<double>").alias("v")).filter("id is not null and label is not null and v is not null")
-    facts = src.agg(F.count("*").alias("n"), F.mode(F.size("v"), True).alias("dim")).first()
-    most = src.groupBy("label").count().agg(F.max("count")).first()[0] or 0
-    depth = max(0, math.ceil(math.log2(max(most, 1) / LEAF_ROWS)))
-    share = min(1.0, SAMPLE_ROWS / max(facts["n"], 1))
-    sample = src.filter(F.xxhash64("id", F.lit(5)).cast("double") <= F.lit(-(2.0**63) + share * 2.0**64)).select("id", "v").collect() if depth else []
-    unit = unit_rows([r["v"] for r in sorted(sample, key=lambda r: r["id"])], facts["dim"])[1]
-    forest = spark.sparkContext.broadcast(Forest(unit.reshape(-1, facts["dim"] or 1), facts["dim"] or 1, trees, depth, spill))
-    label_kind = dict(src.dtypes)["label"]
-    dim = facts["dim"]
+    src = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), F.col(vec_col).cast("array<double>").alias("v"))
+    finite = ~F.exists("v", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == math.inf))
+    src = src.filter("id is not null and label is not null").filter(finite & F.exists("v", lambda c: c != 0))
+    # an id with several embeddings keeps each of them to itself, so that their links are its own
+    hashed = src.select("*", F.struct(F.xxhash64("label", "v").alias("a"), F.xxhash64(F.lit(7), "v", "label").alias("b")).alias("same"))
+    several = hashed.groupBy("label", "id").agg(F.count_distinct("same").alias("n")).filter("n > 1").select("label", "id", F.col("id").alias("apart"))
+    several = materialise(several)
+    hashed = hashed.join(several, ["label", "id"], "left") if several.limit(1).count() else hashed.withColumn("apart", F.lit(None).cast("long"))
+    hashed = hashed.withColumn("same", F.struct("same", "apart"))
+    merged = hashed.groupBy("same").agg(F.min("id").alias("rep"), F.count_distinct("id").alias("mult"), F.count("*").alias("held"), F.first("label").alias("label"), F.first("v").alias("v"))
+    merged = materialise(merged)
+    shared = spark.sparkContext.broadcast(_forests(merged, trees, spill))
+    label_kind = dict(merged.dtypes)["label"]
 
     def plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep, x = unit_rows(b.column(2).to_pylist(), dim)
-            if not len(keep):
-                continue
-            row, tree, leaf = forest.value.leaves(x)
-            code = (tree.astype(np.int64) << 48) | leaf
-            order = np.lexsort((code, row))
-            cuts = np.searchsorted(row[order], np.arange(len(keep) + 1))
-            seen = [code[order[cuts[k] : cuts[k + 1]]].tobytes() for k in range(len(keep))]
-            for lo in range(0, len(row), 20_000):
-                r = row[lo : lo + 20_000]
-                at = pa.array(keep[r])
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(at), b.column(1).take(at), pa.array(tree[lo : lo + 20_000], pa.int32()), pa.array(leaf[lo : lo + 20_000]), pa.array([x[k].tobytes() for k in r], pa.binary()), pa.array([seen[k] for k in r], pa.binary())],
-                    names=["id", "label", "tree", "leaf", "unit", "seen"],
-                )
-
-    planted = src.distinct().mapInArrow(plant, f"id long, label {label_kind}, tree int, leaf long, unit binary, seen binary")
-    planted = materialise(planted)
-    sizes = planted.groupBy("label", "tree", "leaf").agg(F.count("*").alias("size")).filter("size > 1")
-    placed = planted.join(sizes, ["label", "tree", "leaf"])
-    slices = F.ceil(F.col("size") / BLOCK_ROWS).cast("int")
-    placed = placed.withColumn("slices", slices).withColumn("own", F.pmod(F.xxhash64("id"), F.col("slices")).cast("int"))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
-    placed = placed.select("label", "tree", "leaf", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "unit", "seen")
-    found = materialise(placed.groupBy("label", "tree", "leaf", "i", "j").applyInPandas(lambda pdf: _leaf_links(pdf, cosine), "id long, links long, root long"))
-    links = found.groupBy("id").agg(F.sum("links").alias("n_links"))
+            values = [np.asarray(v, np.float64) for v in b.column(3).to_pylist()]
+            units = unit_rows(values)
+            leaves: list[np.ndarray] = [np.empty(0, np.int64)] * len(values)
+            for dim in {len(u) for u in units}:
+                own = [k for k, u in enumerate(units) if len(u) == dim]
+                row, tree, leaf = shared.value[dim].leaves(np.array([units[k] for k in own]))
+                code = (tree.astype(np.int64) << 48) | leaf
+                order = np.lexsort((code, row))
+                cuts = np.searchsorted(row[order], np.arange(len(own) + 1))
+                for n, k in enumerate(own):
+                    leaves[k] = code[order[cuts[n] : cuts[n + 1]]]
+            with np.errstate(over="ignore"):
+                halves = [v.astype(np.float32) for v in values]  # half the bytes where nothing is lost
+            raw = [(h if (h == v).all() else v).tobytes() for h, v in zip(halves, values, strict=True)]
+            more = [pa.array([len(v) for v in values], pa.int32()), pa.array(leaves, pa.list_(pa.int64())), pa.array(raw, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], *more], names=["id", "label", "mult", "dim", "leaves", "v"])
+
+    schema = f"id long, label {label_kind}, mult long, dim int, leaves array<long>, v binary"
+    planted = materialise(merged.select(F.col("rep").alias("id"), "label", "mult", "v").mapInArrow(tidy(plant), schema))
+    group = lambda code: F.struct("label", "dim", code.alias("code"))
+    branch = lambda code: F.shiftright(code, BRANCH_LEVELS)
+    sizes = planted.select("label", "dim", F.explode("leaves").alias("code")).groupBy("label", "dim", "code").agg(F.count("*").alias("size"))
+    sizes = materialise(sizes)
+    total = sizes.agg(F.sum("size")).first()[0] or 0
+    large = sizes.filter(F.col("size") > BLOCK_ROWS)
+    some_large = large.limit(1).count() > 0
+    none = F.array().cast("array<long>")
+    # a row for each branch that holds leaves of the vector, without those that travel alone
+    in_branch = large.groupBy(group(branch(F.col("code"))).alias("at")).agg(F.collect_list("code").alias("large"), F.sum("size").alias("held"))
+    by_branch = planted.withColumn("branch", F.explode(F.array_distinct(F.transform("leaves", branch)))).withColumn("at", group(F.col("branch")))
+    by_branch = join_facts(by_branch, in_branch, "at", "held", total, "left") if some_large else by_branch.withColumn("large", none)
+    by_branch = by_branch.withColumn("large", F.coalesce("large", none)).filter(F.exists("leaves", lambda c: (branch(c) == F.col("branch")) & ~F.array_contains("large", c)))
+    by_branch = by_branch.select("*", F.lit(0).cast("long").alias("leaf"), *[F.lit(0).alias(c) for c in ("i", "j", "own")])
+    # a row for each two slices of a large leaf
+    cut = large.select(group(F.col("code")).alias("at"), F.col("size").alias("held"), F.ceil(F.col("size") / BLOCK_ROWS).cast("int").alias("slices"))
+    alone = join_facts(planted.withColumn("leaf", F.explode("leaves")).withColumn("at", group(F.col("leaf"))), cut, "at", "held", total)
+    alone = alone.withColumn("own", F.pmod(F.xxhash64("id", "v"), F.col("slices")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+    alone = alone.select("*", F.lit(0).cast("long").alias("branch"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), none.alias("large"))
+    key = ["label", "dim", "branch", "leaf", "i", "j"]
+    columns = [*key, "own", "id", "mult", "v", "leaves", "large"]
+    placed = by_branch.select(columns).unionByName(alone.select(columns)) if some_large else by_branch.select(columns)
+    found = materialise(placed.groupBy(key).applyInPandas(lambda pdf: _branch_links(pdf, cosine), "id long, links long, root long"))
+    links = found.groupBy(F.col("id").alias("rep")).agg(F.sum("links").alias("links"))
     comp = components(found.select(F.col("id").alias("u"), F.col("root").alias("v")))
-    out = all_ids.join(links, "id", "left").join(comp.withColumnRenamed("node", "id"), "id", "left")
+    named = merged.select("same", "rep", "mult", "held").join(links, "rep", "left").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
+    named = materialise(named.select("same", "held", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("root", "rep").alias("root")))
+    of_id = join_facts(hashed.select("id", "same"), named, "same", "held", named.agg(F.sum("held")).first()[0] or 0).groupBy("id").agg(F.max("n_links").alias("n_links"), F.min("root").alias("root"))
+    facts = materialise(all_ids.groupBy("id").agg(F.count("*").alias("held")).join(of_id, "id", "left"))
+    out = join_facts(all_ids, facts, "id", "held", facts.agg(F.sum("held")).first()[0] or 0, "left")
     out = out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("root", F.col("id").cast("long")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(False)))
 

@@ -10,8 +10,12 @@ fitted on the background's maxima. A document's evidence is the sum of its signi
 a logistic curve fitted on the training sample turns it into a score between 0 and 1.
 
 Null and empty texts have no segment and get the curve's value at none. Repeated rows give repeated results. Without
-labels, or with one class only, every score is the share of toxic rows (0 without rows). Columns other than those
-named are ignored.
+labels, or with one class only, every score is the share of toxic rows (0 without rows). Equal scores are ties and stay
+so; of texts with one checksum the order in which they are learned is that of their bytes. Very long texts are scanned
+whole, in batches of bounded bytes. An empty table gives no rows. Columns other than those named are ignored.
+
+The sample holds at most about TRAIN_TOXIC and TRAIN_OTHER documents and TRAIN_BYTES bytes of tokens; every token that
+stands out in it gets a weight.
 """
 
 from __future__ import annotations
@@ -26,16 +30,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafspan.llm.common import held_out, table
+from leafspan.llm.common import byte_slices, held_out, materialise, small, table, tidy
 
 TRAIN_TOXIC = 2000
 TRAIN_OTHER = 6000
+TRAIN_BYTES = 96 << 20
+ALIKE = 0.8
 PRIOR = 10.0
 LEAST_DOCS = 3
 STEM = 4
 SURE = 3.0
 MAX_WEIGHT = 6.0
-MAX_TOKENS = 200_000
 DRIFT = 0.5
 SIGNIFICANT = 0.05
 
@@ -144,21 +149,23 @@ def log_odds(samples: list[tuple[int, bytes]]) -> tuple[dict[bytes, float], Coun
     """Weights of the tokens that stand out in toxic documents, the other documents' token counts and their total.
 
     Odds count documents, not tokens, so that one long text or one repeated word does not make a weight; copies and
-    near copies (documents whose tokens have the same smallest hash) count as one.
+    near copies (documents whose sets of tokens have the same three smallest hashes and a similarity of ALIKE) count as one.
     """
     docs = {0: Counter(), 1: Counter()}
     back: Counter[bytes] = Counter()
     n = [0, 0]
-    alike: dict[tuple[int, int], set[bytes]] = {}
+    firsts: dict[tuple, list[set[bytes]]] = {}
     for y, words in samples:
         tokens = words.split()
         own = {f for w in set(tokens) for f in (w, stem(w))}
-        alike.setdefault((y, min((zlib.crc32(f) for f in own), default=0)), set()).update(own)
         if not y:
             back.update(tokens)
-    for (y, _), own in alike.items():
-        docs[y].update(own)
-        n[y] += 1
+        others = firsts.setdefault((y, *sorted(map(zlib.crc32, own))[:3]), [])
+        alike = (x for x in others if ALIKE * len(own) <= len(x) <= len(own) / ALIKE)
+        if not any(len(own & x) >= ALIKE * len(own | x) for x in alike):
+            others.append(own)
+            docs[y].update(own)
+            n[y] += 1
     total = n[0] + n[1]
     share = n[1] / total
     tested = {w: c for w, c in docs[1].items() if c >= LEAST_DOCS}
@@ -175,7 +182,7 @@ def log_odds(samples: list[tuple[int, bytes]]) -> tuple[dict[bytes, float], Coun
         d = math.log(a / (n[1] + PRIOR - a)) - math.log(b / (n[0] + PRIOR - b))
         if gain > need and d > DRIFT:
             scored.append((gain, w, min(d, MAX_WEIGHT)))
-    return {w: d for _, w, d in sorted(scored, reverse=True)[:MAX_TOKENS]}, back, sum(back.values())
+    return {w: d for _, w, d in sorted(scored, reverse=True)}, back, sum(back.values())
 
 
 def calibrated(samples: list[tuple[int, bytes]]) -> ToxicityModel:
@@ -244,16 +251,21 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, train=None, id_col: str = "
     counts = {r["y"]: r["count"] for r in own.groupBy("y").count().collect()}
     rank = F.xxhash64(F.col(id_col).cast("string"), F.lit(29)).cast("double")
     cut = lambda y: F.lit(-(2.0**63) + min(1.0, most[y] / max(counts.get(y, 0), 1)) * 2.0**64)
-    chosen = own.filter(rank <= F.when(F.col("y") == 1, cut(1)).otherwise(cut(0)))  # about sum(most) rows: may be broadcast
-    texts = docs.select(id_col, F.col(text_col).cast("binary").alias("_t")).filter(F.col(text_col).isNotNull()).join(F.broadcast(chosen), id_col)
+    chosen = materialise(own.filter(rank <= F.when(F.col("y") == 1, cut(1)).otherwise(cut(0))))
+    texts = docs.select(id_col, F.col(text_col).cast("binary").alias("_t")).filter(F.col(text_col).isNotNull()).join(small(chosen, chosen.count()), id_col)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            words = [tokens_of(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([b" ".join(w) for w in words], pa.binary())], names=["y", "words"])
+        for b in byte_slices(batches, 1):
+            words = [b" ".join(tokens_of(t)) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words, pa.binary())], names=["y", "words"])
 
-    rows = texts.select("y", "_t").mapInArrow(counted, "y int, words binary").collect()
-    return fit(sorted(((r["y"], bytes(r["words"])) for r in rows), key=lambda r: zlib.crc32(r[1])))
+    rows = materialise(texts.select("y", "_t").mapInArrow(tidy(counted), "y int, words binary"))
+    # the driver gets TRAIN_BYTES bytes at most: of more, a share by a hash of the text, halved until it fits
+    place = (F.xxhash64("words", F.lit(3)) / F.lit(2.0**64) + 0.5).alias("place")
+    share = 1.0
+    while (rows.filter(place < share).agg(F.sum(F.length("words"))).first()[0] or 0) > TRAIN_BYTES:
+        share /= 2
+    return fit(sorted(((r["y"], bytes(r["words"])) for r in rows.filter(place < share).collect()), key=lambda r: (zlib.crc32(r[1]), r[1])))
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -265,7 +277,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for b in batches:
+        for b in byte_slices(batches, len(keep)):
             score, passages = [], []
             for t in b.column(len(keep)).to_pylist():
                 w = tokens_of(t)
@@ -274,7 +286,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text"
                 passages.append([{"start": s, "end": e, "score": x, "p_value": p} for s, e, x, p in found])
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(score, pa.float64()), pa.array(passages, kind)], names=[*keep, "score", "passages"])
 
-    return docs.select(*keep, F.col(text_col).cast("binary").alias("_text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col(text_col).cast("binary").alias("_text")).mapInArrow(tidy(run), schema)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
