@@ -9,11 +9,15 @@ run ends. The pieces are streamed through it from right to left (a step per byte
 run end, whose sample gives the new match). Where the matching statistic reaches the length, the range of equal windows
 knows its earliest start, and all later starts are marked. Repetitive blocks have few runs.
 
-Pieces travel as packed arrays; texts are read again, after a filter of fixed size, for the documents concerned.
-Minimisers with very many different pieces are dealt out again by a second minimiser, so no block is unbounded.
-
-Nulls count as empty texts; texts shorter than the length lose nothing. Documents are ordered by id, nulls last, and
-rows that share an id by text; they are documents of their own. Equality of pieces is by 64-bit hash.
+Pieces travel as packed arrays; texts are read again, after a filter of bounded size, for the documents concerned.
+Minimisers with more different pieces than a block holds (a line that very many documents share) are dealt out again,
+window by window, by the hash of the whole window: the earliest of equal windows stands, the others are repeats. So no
+block or list is unbounded, and the work stays in proportion to the windows.
+
+Nulls count as empty texts; texts shorter than the length lose nothing. Very long texts are cut into pieces in parts of
+bounded size. Documents are ordered by id, nulls last, and rows that share an id by text; they are documents of their
+own, and of rows that are equal in both any one may come first. Equality of pieces is by a 64-bit hash made of two sums
+modulo 2**64 and a prime. An empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,13 +30,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafspan.llm.common import byte_slices, filter_place, id_filter, in_filter, materialise, partitions, sift, table, tidy
-from leafspan.llm.texthash import _VALUE, _power, mix
+from leafspan.llm.texthash import _VALUE, _power, mix, prime_hash, prime_sums
 
 LENGTH = 100
 KMER = 40
 PIECE_BYTES = 1 << 18
 BLOCK_BYTES = 1 << 18
-BIG_GROUP = 5000
+BIG_GROUP = 1000
 MOST_WINDOWS = 128
 PACK_BYTES = 4 << 20
 
@@ -63,7 +67,8 @@ def pieces_of(text: bytes, length: int = LENGTH, kmer: int = KMER, seed: int = 0
             start = np.repeat(start, parts) + at_part * MOST_WINDOWS
             runs = np.minimum(np.repeat(runs, parts) - at_part * MOST_WINDOWS, MOST_WINDOWS)
         end = start + runs - 1 + length
-        own = mix((total[end] - total[start]) * inverse[start] + runs.astype(_U) * _U(0x9FB21C651E98DF25))
+        other = mix(prime_hash(prime_sums(b), start, end))
+        own = mix(((total[end] - total[start]) * inverse[start] ^ other) + runs.astype(_U) * _U(0x9FB21C651E98DF25))
         # a piece can only repeat its own windows if its minimiser stands in it more than once
         sizes = runs + span - 1
         flat = np.repeat(start - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes) + np.arange(sizes.sum())
@@ -74,6 +79,26 @@ def pieces_of(text: bytes, length: int = LENGTH, kmer: int = KMER, seed: int = 0
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
+def window_hashes(pieces: list[bytes], length: int) -> np.ndarray:
+    """Hashes of all windows of the pieces, in order."""
+    out, at = [], 0
+    while at < len(pieces):
+        size, end = 0, at
+        while end < len(pieces) and (end == at or size + len(pieces[end]) < PIECE_BYTES):
+            size += len(pieces[end])
+            end += 1
+        sizes = np.array([len(p) for p in pieces[at:end]])
+        b = np.frombuffer(b"".join(pieces[at:end]), np.uint8)
+        windows = sizes - length + 1
+        start = np.repeat(np.cumsum(sizes) - sizes - np.cumsum(windows) + windows, windows) + np.arange(windows.sum())
+        power, inverse = _power(len(b) + 1)
+        total = np.zeros(len(b) + 1, _U)
+        np.cumsum(_VALUE[b] * power[: len(b)], out=total[1:])
+        out.append(mix((total[start + length] - total[start]) * inverse[start] ^ mix(prime_hash(prime_sums(b), start, start + length))))
+        at = end
+    return np.concatenate(out)
+
+
 def suffix_order(symbols: np.ndarray, last: np.ndarray, text_no: np.ndarray) -> np.ndarray:
     """Positions in the order of their suffixes; a suffix ends with its text (last: end of the text at each position),
     and ends count as smaller than bytes, in the order of texts."""
@@ -131,7 +156,6 @@ class RunIndex:
         self.n = n
         self.run_start, self.run_char = heads, before[heads]
         run_size = np.diff(np.append(heads, n))
-        self.run_of = np.repeat(np.arange(len(heads), dtype=np.int32), run_size)  # rank support of a bounded block
         # LF of a run's first row: rows of smaller symbols, then this symbol's earlier runs
         by_char = np.argsort(self.run_char, kind="stable")
         self.run_to = np.empty(len(heads), np.int64)
@@ -150,7 +174,10 @@ class RunIndex:
         new = np.concatenate(([True], (window[1:] != window[:-1]) | ~long[1:] | ~long[:-1]))
         self.class_start = np.flatnonzero(new)
         self.class_first = np.minimum.reduceat(key[order], self.class_start)
-        self.class_of = np.repeat(np.arange(len(self.class_start), dtype=np.int32), np.diff(np.append(self.class_start, n)))
+
+    def _run(self, rows: np.ndarray) -> np.ndarray:
+        """The runs that rows of the transform lie in."""
+        return np.searchsorted(self.run_start, rows, "right") - 1
 
     def _agree(self, p: np.ndarray, q: np.ndarray) -> np.ndarray:
         """Bytes on which the suffixes at p and q agree, up to length, by halving on hashes."""
@@ -179,7 +206,7 @@ class RunIndex:
             live = np.flatnonzero(sizes >= step)
             c = flat[ends[live] - step]
             r, p, g = row[live], pos[live], got[live]
-            run = self.run_of[r]
+            run = self._run(r)
             miss = np.flatnonzero(self.run_char[run] != c)
             if len(miss):
                 cm = c[miss]
@@ -200,7 +227,7 @@ class RunIndex:
                 r[miss] = np.where(none, 0, np.where(use, up_row, down_row))
                 p[miss] = np.where(none, self.ends[0], np.where(use, up_pos, down_pos))
                 g[miss] = np.where(none, -1, np.minimum(g[miss], np.maximum(a, b)))
-                run = self.run_of[r]
+                run[miss] = self._run(r[miss])
             r = np.where(g < 0, 0, self.run_to[run] + r - self.run_start[run])
             p = p - 1
             g = np.minimum(g + 1, self.length)
@@ -208,7 +235,7 @@ class RunIndex:
             yield live, sizes[live] - step, g, r
 
     def earliest(self, rows: np.ndarray) -> np.ndarray:
-        return self.class_first[self.class_of[rows]]
+        return self.class_first[np.searchsorted(self.class_start, rows, "right") - 1]
 
 
 def later_windows(texts: list[bytes], keys: list[int], length: int = LENGTH) -> list[np.ndarray]:
@@ -331,30 +358,41 @@ def _compare(src: DataFrame, asked: DataFrame, bits, length: int, n_parts: int)
     """(key, start, windows) of repeated windows among the pieces asked for."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            grps, keys, starts, data = [], [], [], []
+        for b in byte_slices(batches, 1, PACK_BYTES):
+            grps, keys, starts, data, many = [], [], [], [], []
             for key, text, asks in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 for a in asks:
                     s, grp = a["start"], a["grp"]
                     piece = text[s : s + a["windows"] + length - 1]
                     if grp >= 0:
                         grps.append(grp), keys.append(key), starts.append(s), data.append(piece)
-                        continue
-                    low, _, at, runs, _ = pieces_of(piece, length, seed=1)
-                    for m, p, r in zip(low.tolist(), at.tolist(), runs.tolist(), strict=True):
-                        grps.append(((m * 0x9E3779B97F4A7C15 + grp) & 0x7FFFFFFFFFFFFFFF) | 1), keys.append(key), starts.append(s + p), data.append(piece[p : p + r + length - 1])
+                    else:
+                        many.append((key, s, piece))
+            for grp, known, packed in _packed_windows(many, length, 2 * n_parts):
+                grps.append(grp), keys.append(0), starts.append(known), data.append(packed)
             yield pa.RecordBatch.from_arrays([pa.array(grps, pa.int64()), pa.array(keys, pa.int64()), pa.array(starts, pa.int64()), pa.array(data, pa.binary())], names=["grp", "key", "start", "piece"])
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, size, last = [], 0, None
+        block, windows, size, last = [], [], 0, None
         for b in batches:
             for grp, key, start, piece in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if grp != last and windows:
+                    yield from _repeat_rows(*_later(windows))
+                    windows = []
                 if grp != last and size >= BLOCK_BYTES:
                     yield done(block)
                     block, size = [], 0
                 last = grp
-                block.append((key, start, piece))
-                size += len(piece)
+                if grp >= 0:
+                    block.append((key, start, piece))
+                    size += len(piece)
+                elif start:  # known repeats
+                    n = len(piece) // 16
+                    yield from _repeat_rows(np.frombuffer(piece, np.int64, n), np.frombuffer(piece, np.int64, n, 8 * n))
+                else:
+                    windows.append(piece)
+        if windows:
+            yield from _repeat_rows(*_later(windows))
         if block:
             yield done(block)
 
@@ -375,6 +413,54 @@ def _compare(src: DataFrame, asked: DataFrame, bits, length: int, n_parts: int)
     return cuts.repartition(n_parts, "grp").sortWithinPartitions("grp").mapInArrow(tidy(index), "key long, start long, windows int")
 
 
+def _packed_windows(pieces: list[tuple[int, int, bytes]], length: int, n_packs: int) -> Iterator[tuple[int, int, bytes]]:
+    """(group, known, packed): the earliest of equal windows of the pieces by hash, and the others as known repeats.
+
+    Groups are negative and stand for a share of the hashes; packed are the arrays hash, key, start, or key, start.
+    """
+    if not pieces:
+        return
+    own = window_hashes([p for *_, p in pieces], length)
+    windows = np.array([len(p) - length + 1 for *_, p in pieces])
+    key = np.repeat(np.array([k for k, *_ in pieces], np.int64), windows)
+    start = np.repeat(np.array([s for _, s, _ in pieces]) - np.cumsum(windows) + windows, windows) + np.arange(windows.sum())
+    order = np.lexsort((start, key, own))
+    first = np.ones(len(order), bool)
+    first[1:] = own[order][1:] != own[order][:-1]
+    one, more = order[first], order[~first]
+    part = (own[one] % _U(n_packs)).astype(np.int64)
+    by = np.argsort(part, kind="stable")
+    cuts = np.searchsorted(part[by], np.arange(n_packs + 1))
+    for p in np.flatnonzero(np.diff(cuts)).tolist():
+        rows = one[by[cuts[p] : cuts[p + 1]]]
+        yield -1 - p, 0, own[rows].tobytes() + key[rows].tobytes() + start[rows].tobytes()
+    if len(more):
+        yield -1 - int(own[more[0]] % _U(n_packs)), 1, key[more].tobytes() + start[more].tobytes()
+
+
+def _later(packed: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and starts of windows of which an equal one comes earlier."""
+    parts = []
+    for piece in packed:
+        n = len(piece) // 24
+        parts.append((np.frombuffer(piece, _U, n), np.frombuffer(piece, np.int64, n, 8 * n), np.frombuffer(piece, np.int64, n, 16 * n)))
+    own, key, start = (np.concatenate(c) for c in zip(*parts, strict=True))
+    order = np.lexsort((start, key, own))
+    later = order[1:][own[order][1:] == own[order][:-1]]
+    return key[later], start[later]
+
+
+def _repeat_rows(key: np.ndarray, start: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(key, start, windows) of single repeated windows, neighbours joined."""
+    order = np.lexsort((start, key))
+    k, s = key[order], start[order]
+    cut = np.flatnonzero(np.concatenate(([True], (k[1:] != k[:-1]) | (s[1:] != s[:-1] + 1)))) if len(k) else np.empty(0, int)
+    size = np.diff(np.append(cut, len(k))).astype(np.int32)
+    for lo in range(0, len(cut), 50_000):
+        c = cut[lo : lo + 50_000]
+        yield pa.RecordBatch.from_arrays([pa.array(k[c]), pa.array(s[c]), pa.array(size[lo : lo + 50_000], pa.int32())], names=["key", "start", "windows"])
+
+
 def _spread(block: list[tuple[int, int, bytes]]) -> list[int]:
     """Order keys of the pieces' first bytes: a document's pieces keep their distances, later documents come after."""
     out, base, last, reach = [], 0, None, 0
@@ -433,7 +519,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
         return finish(b.filter(pa.array(~in_filter(late.value, b.column(2)))).select([0, 1]) for b in batches)
 
     hit = sift(src, late, "key", True).join(per_doc, "key", "left").select("id", "text", "runs").mapInArrow(tidy(finish), schema)
-    clear = src.select("id", "text", filter_place("key")).mapInArrow(tidy(finish_clear), schema)
+    clear = src.select("id", "text", filter_place("key", late.value)).mapInArrow(tidy(finish_clear), schema)
     return hit.unionByName(clear)
 
 

@@ -121,6 +121,21 @@ def test_repeats(spark, docs, none):
     assert repeats.remove_repeats(none).count() == 0
 
 
+@pytest.mark.parametrize("big", [3, 60])
+def test_repeats_of_a_line_that_all_share(spark, monkeypatch, big):
+    """A line of 99 bytes in every text, some passages twice, a text many times, a long periodic text."""
+    monkeypatch.setattr(repeats, "BIG_GROUP", big)
+    rng = random.Random(6)
+    line = "".join(rng.choice("abcdefghij ") for _ in range(99))
+    rows = [(i, prose(rng, 15) + line + prose(rng, 15)) for i in range(150)]
+    rows += [(200 + i, rows[i][1][20 : 330] + line + "!") for i in range(20)] + [(300 + i, rows[3][1]) for i in range(30)] + [(400, "ab" * 700), (401, "x" + "ab" * 300)]
+    df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, start int").repartition(6)
+    out = repeats.remove_repeats(df)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    got = out.select("doc_id", "n_bytes", removed, F.size("spans"), F.sha2("kept", 256)).collect()
+    assert sorted((tuple(r) for r in got), key=str) == brute_repeats(rows, 100)
+
+
 def test_run_index_streams_foreign_texts():
     texts = [b"abracadabra", b"banana"]
     index = repeats.RunIndex(texts, np.arange(19), 50)
