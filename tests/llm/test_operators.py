@@ -466,6 +466,29 @@ def test_importance(spark, docs, none):
     assert importance.resample(none, good).count() == 0
 
 
+def test_importance_weights_by_brute_force(spark, docs):
+    """Counts by plain loops over hashed words and pairs, with a long text, a null, an empty one and a clashing column."""
+    extra = spark.createDataFrame([(500, "Alpha beta " * 4000, "en", "s", None, 1, 0.5), (501, "only", "en", "s", None, 1, 0.5)], SCHEMA)
+    both = docs.unionByName(extra).withColumn("own", F.lit(True)).withColumn("id", F.lit(1))
+    rows = [(r.doc_id, r.text) for r in both.collect()]
+    good = {2, 5, 501}
+    got = importance.resample(both, spark.createDataFrame([(i,) for i in good], "doc_id long")).collect()
+    n = importance.bucket_count(sum(len((t or "").encode()) for _, t in rows))
+    feats = [list(next(iter(importance.features([(t or "").encode()], n)))) for _, t in rows]
+    raw, own = np.zeros(n), np.zeros(n)
+    for (i, _), f in zip(rows, feats, strict=True):
+        for x in f:
+            raw[x] += 1
+            own[x] += i in good
+    ratio = np.log((own + 1) / (own.sum() + n)) - np.log((raw + 1) / (raw.sum() + n))
+    want = sorted((str(i), round(float(ratio[f].sum()) if f else 0.0, 6)) for (i, _), f in zip(rows, feats, strict=True))
+    assert sorted((str(r.doc_id), round(r.log_weight, 6)) for r in got) == want
+    words = lambda t: [w.lower() for w in re.split("[\x20\x09-\x0d]+", t or "") if w]
+    for (_, t), f in zip(rows, feats, strict=True):
+        assert len(f) == max(0, 2 * len(words(t)) - 1)
+    assert importance.bucket_count(10**9) == 2 * importance.bucket_count(10**9 // 4) and importance.bucket_count(0) == importance.LEAST_BUCKETS
+
+
 def test_pipeline(spark, docs, none):
     out = docs
     for name, stage in corpus_pipeline.STAGES[:-1]:
