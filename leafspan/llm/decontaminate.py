@@ -8,7 +8,11 @@ the words read that occurs in some item. Where that length reaches the window, t
 Streaming starts only where it can matter: any window covers an anchor, a short word sequence at a fixed stride, so
 words away from anchors that occur in some item are passed over without losing a match.
 
-Nulls and empty texts have no words, and items without words have no window. Items sharing text are all reported;
+With several blocks one pass over the documents finds, by hashes of all items' anchors (8 bytes an item word, sent to the
+executors), the few that can hold a window of any item. Only these are written and streamed through each block's
+automaton, one block after the other, and only rows with hits are sent on.
+
+Very long texts are streamed whole, in batches of bounded bytes. Nulls and empty texts have no words, and items without words have no window. Items sharing text are all reported;
 repeated rows give repeated results; columns other than those named are ignored.
 """
 
@@ -17,11 +21,13 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafspan.llm.common import byte_slices, materialise, table, tidy
+from leafspan.llm.texthash import sequence_hashes, word_hashes
 
 WINDOW = 10
 BLOCK_WORDS = 100_000
@@ -197,8 +203,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
                   item_text: str = "text", window: int = WINDOW, cut: bool = False, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Per row: the id, n_words, hits array<struct<start,end>> in words, items array<string>, and with cut the text left.
 
-    Items are read in blocks of at most block_words words; each block's automaton is one pass over the documents, and
-    with several blocks their hits are united per row. Cutting removes every hit span, from its first to its last word.
+    Items are read in blocks of at most block_words words, each with an automaton of its own. Cutting removes every hit
+    span, from its first to its last word.
     """
     spark = docs.sparkSession
     blocks = item_blocks(items, item_id, item_text, block_words)
@@ -206,36 +212,88 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     second = next(blocks, None)
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     if second is None:
-        return _pass(spark, src, first, window, cut, id_col, False)
-    src = materialise(src.withColumn("row", F.monotonically_increasing_id()))
-    out = None
+        return _pass(spark, src, first, window, cut, id_col)
+    near = materialise(_near(src, item_blocks(items, item_id, item_text, block_words), window, cut))
+    found = None
     for block in (b for part in ([first, second], blocks) for b in part):
-        one = _pass(spark, src, block, window, False, id_col, True)
-        out = one if out is None else out.unionByName(one)
-    merged = out.groupBy("row").agg(F.first(id_col).alias(id_col), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("hits")).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    joined = merged.withColumn("hits", F.array_sort("hits"))
-    step = lambda acc, h: F.when((F.size(acc) > 0) & (h["start"] <= F.element_at(acc, -1)["end"]), F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], h["end"]).alias("end"))))).otherwise(F.concat(acc, F.array(h)))
-    joined = joined.withColumn("hits", F.aggregate("hits", F.slice("hits", 1, 0), step))
-    if not cut:
-        return joined.select(id_col, "n_words", "hits", "items")
-    both = joined.join(src.select("row", "text"), "row")
-    kind = dict(both.dtypes)[id_col]
-
-    def left(batches):
-        for b in batches:
-            rows = b.to_pylist()
-            texts = [_cut(r["text"], [(h["start"], h["end"]) for h in r["hits"]]) if r["hits"] else r["text"] for r in rows]
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(texts, pa.string())], names=[id_col, "n_words", "hits", "items", "kept_text"])
-
-    return both.select(id_col, "n_words", "hits", "items", "text").mapInArrow(left, f"`{id_col}` {kind}, n_words long, hits array<struct<start:int,end:int>>, items array<string>, kept_text string")
-
-
-def _pass(spark, src, block, window, cut, id_col, keep_row):
+        one = materialise(_hits(near.filter("near").select("row", "text"), block, window))
+        found = one if found is None else found.unionByName(one)
+    found = found.groupBy("row").agg(F.flatten(F.collect_list("hits")).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    kind = dict(src.dtypes)["id"]
+    schema = f"`{id_col}` {kind}, n_words long, hits array<struct<start:int,end:int>>, items array<string>" + ", kept_text string" * cut
+
+    def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in byte_slices(batches, 4):
+            hits = []
+            for spans in b.column(2).to_pylist():
+                out: list[list[int]] = []
+                for lo, hi in sorted((s["start"], s["end"]) for s in spans or ()):
+                    if out and lo <= out[-1][1]:
+                        out[-1][1] = max(out[-1][1], hi)
+                    else:
+                        out.append([lo, hi])
+                hits.append(out)
+            cols = [b.column(0), b.column(1), pa.array([[{"start": x, "end": y} for x, y in h] for h in hits], SPANS), pa.array([x or [] for x in b.column(3).to_pylist()], pa.list_(pa.string()))]
+            if cut:
+                cols.append(pa.array([_cut(t.decode(), h) if h else t if t is None else t.decode() for t, h in zip(b.column(4).to_pylist(), hits, strict=True)], pa.string()))
+            yield pa.RecordBatch.from_arrays(cols, names=[id_col, "n_words", "hits", "items", "kept_text"][: len(cols)])
+
+    text = F.col("text") if cut else F.lit(None).cast("binary").alias("text")
+    return near.join(found, "row", "left").select("id", "n_words", "hits", "items", text).mapInArrow(tidy(unite), schema)
+
+
+SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+
+
+def _near(src: DataFrame, blocks: Iterator[list[tuple[str, list[bytes]]]], window: int, all_texts: bool) -> DataFrame:
+    """row, id, n_words, near (may hold a window of some item) and text (of the near ones, or of all)."""
+    grams: dict[int, list[np.ndarray]] = {}
+    for block in blocks:
+        least = min([window, *(len(w) for _, w in block)])
+        gram = min(3, least)
+        hashes = [sequence_hashes(word_hashes(b" ".join(w))[1], gram) for _, w in block if w]
+        grams.setdefault(gram, []).append(np.unique(np.concatenate(hashes)))
+    shared = src.sparkSession.sparkContext.broadcast({g: np.unique(np.concatenate(h)) for g, h in grams.items()})
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in byte_slices(batches, 2):
+            n, near = [], []
+            for t in b.column(2).to_pylist():
+                h = word_hashes(t.translate(_FOLD))[1] if t else np.empty(0, np.uint64)
+                n.append(len(h))
+                near.append(any(len(h) >= g and np.isin(sequence_hashes(h, g), own, kind="sort").any() for g, own in shared.value.items()))
+            texts = b.column(2) if all_texts else pa.array([t if x else None for t, x in zip(b.column(2).to_pylist(), near, strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(near, pa.bool_()), texts], names=["row", "id", "n_words", "near", "text"])
+
+    kind = dict(src.dtypes)["id"]
+    rows = src.select(F.monotonically_increasing_id().alias("row"), "id", F.col("text").cast("binary").alias("text"))
+    return rows.mapInArrow(tidy(look), f"row long, id {kind}, n_words long, near boolean, text binary")
+
+
+def _hits(near: DataFrame, block: list[tuple[str, list[bytes]]], window: int) -> DataFrame:
+    """row, hits and items of the rows that hold windows of the block's items."""
+    model = near.sparkSession.sparkContext.broadcast(ItemAutomaton(block, window))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        auto = model.value
+        for b in byte_slices(batches, 1):
+            rows, spans, ids = [], [], []
+            for row, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                hit, found = auto.match(words_of(t))
+                if hit:
+                    rows.append(row)
+                    spans.append([{"start": x, "end": y} for x, y in hit])
+                    ids.append([auto.ids[k] for k in found])
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(spans, SPANS), pa.array(ids, pa.list_(pa.string()))], names=["row", "hits", "items"])
+
+    return near.mapInArrow(tidy(run), "row long, hits array<struct<start:int,end:int>>, items array<string>")
+
+
+def _pass(spark: SparkSession, src: DataFrame, block: list[tuple[str, list[bytes]]], window: int, cut: bool, id_col: str) -> DataFrame:
+    """The whole job with one automaton."""
     model = spark.sparkContext.broadcast(ItemAutomaton(block, window))
     kind = dict(src.dtypes)["id"]
-    schema = f"`{id_col}` {kind}, n_words long, hits array<struct<start:int,end:int>>, items array<string>" + ", kept_text string" * cut + ", row long" * keep_row
-    span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-    names = [id_col, "n_words", "hits", "items", *["kept_text"] * cut, *["row"] * keep_row]
+    schema = f"`{id_col}` {kind}, n_words long, hits array<struct<start:int,end:int>>, items array<string>" + ", kept_text string" * cut
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         auto = model.value
@@ -250,11 +308,11 @@ def _pass(spark, src, block, window, cut, id_col, keep_row):
                 if cut:
                     text = None if t is None else t.decode()
                     left.append(_cut(text, h) if h else text)
-            cols = [b.column(0), pa.array(n, pa.int64()), pa.array(hits, span), pa.array(ids, pa.list_(pa.string()))]
-            cols += [pa.array(left, pa.string())] * cut + ([b.column(2)] if keep_row else [])
-            yield pa.RecordBatch.from_arrays(cols, names=names)
+            cols = [b.column(0), pa.array(n, pa.int64()), pa.array(hits, SPANS), pa.array(ids, pa.list_(pa.string()))]
+            cols += [pa.array(left, pa.string())] * cut
+            yield pa.RecordBatch.from_arrays(cols, names=[id_col, "n_words", "hits", "items", "kept_text"][: len(cols)])
 
-    return src.select("id", F.col("text").cast("binary").alias("text"), *["row"] * keep_row).mapInArrow(tidy(run), schema)
+    return src.select("id", F.col("text").cast("binary").alias("text")).mapInArrow(tidy(run), schema)
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,8 @@ One pass over the texts finds the base spans and each batch's document frequenci
 are kept beside them. Pairs are made only of entities and terms frequent enough for min_support and of terms rare
 enough to reach the ratio with the entity (n_both <= n_entity bounds n_term), which leaves out no pair that counts.
 
-Nulls and empty texts have no spans but count as documents. Repeated rows count each time. Rows are told apart by
+Terms, entities and pairs that very many rows hold are never dealt to one task. Very long texts are scanned whole, in
+batches of bounded bytes. Nulls and empty texts have no spans but count as documents. Repeated rows count each time. Rows are told apart by
 their place in the input, so null or repeated ids are kept as they are; columns other than the id and the text are
 ignored. Positions are code points, ends exclusive.
 """
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafspan.llm.common import byte_slices, id_filter, materialise, redact_text, sift, span_digest, table
+from leafspan.llm.common import byte_slices, id_filter, join_facts, materialise, redact_text, sift, span_digest, table, tidy
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "remove", "general")
@@ -168,22 +169,23 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", di
     most = lambda n_entity: n * F.pow(n_entity / n, F.lit(disclose_at)) * (1 + 1e-9)
     holds = rows.select("row", F.explode("entities").alias("entity"))
     of_entity = holds.groupBy("entity").agg(F.count("*").alias("n_entity")).filter(F.col("n_entity") >= min_support)
-    held = materialise(holds.join(of_entity, "entity"))
+    held = materialise(join_facts(holds, of_entity.withColumn("held", F.col("n_entity")), "entity", "held", holds.count()))
     of_term = materialise(scanned.filter("term is not null").groupBy("term").agg(F.sum("n").alias("n_term")).filter(F.col("n_term") >= min_support))
     top = held.agg(F.max("n_entity")).first()[0] or 0
     usable = of_term.filter(F.col("n_term") <= most(F.lit(float(top))))
     bits = docs.sparkSession.sparkContext.broadcast(id_filter(usable, "term"))
     texts = rows.filter("text is not null").select("row", "text").join(held.groupBy("row").agg(F.max("n_entity").alias("most")), "row")
     words = sift(texts.select("row", "most", "text").mapInArrow(_terms, "row long, most long, term string"), bits, "term", True)
-    words = words.join(usable, "term").filter(F.col("n_term") <= most(F.col("most"))).select("row", "term", "n_term")
+    n_words = usable.agg(F.sum("n_term")).first()[0] or 0
+    words = join_facts(words, usable.withColumn("held", F.col("n_term")), "term", "held", n_words).filter(F.col("n_term") <= most(F.col("most"))).select("row", "term", "n_term")
     both = materialise(words.join(held, "row").filter(F.col("n_term") <= most(F.col("n_entity"))))
-    pair = ["entity", "term"]
-    joint = both.groupBy(*pair).agg(F.count("*").alias("n_both"), F.first("n_term").alias("n_term"), F.first("n_entity").alias("n_entity")).filter(F.col("n_both") >= min_support)
+    pair = F.struct("entity", "term").alias("pair")
+    joint = both.groupBy(pair).agg(F.count("*").alias("n_both"), F.first("n_term").alias("n_term"), F.first("n_entity").alias("n_entity")).filter(F.col("n_both") >= min_support)
     pmi = F.log(F.col("n_both") * n / (F.col("n_entity") * F.col("n_term")))
     own = F.log(n / F.col("n_entity"))
     ratio = F.when(own > 0, pmi / own).otherwise(0.0)
-    revealing = joint.select(*pair, ratio.alias("ratio")).filter(F.col("ratio") >= disclose_at)
-    chosen = both.select("row", *pair).join(revealing, pair).groupBy("row", "term").agg(F.max("ratio").alias("ratio"))
+    revealing = joint.select("pair", "n_both", ratio.alias("ratio")).filter(F.col("ratio") >= disclose_at)
+    chosen = join_facts(both.select("row", "term", pair), revealing, "pair", "n_both", both.count()).groupBy("row", "term").agg(F.max("ratio").alias("ratio"))
     chosen = chosen.groupBy("row").agg(F.collect_list(F.struct("term", F.when(F.col("ratio") >= remove_at, "remove").otherwise("general").alias("kind"))).alias("terms"))
     added = rows.select("row", "text", "spans").join(chosen, "row").mapInArrow(_place, f"row long, more {span}")
     found = F.when(F.col("more").isNull(), F.col("spans")).otherwise(F.concat("spans", "more"))
@@ -195,12 +197,12 @@ def sanitise(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col
     kind = dict(docs.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in byte_slices(batches, 1):
             texts = [redact_text(t, [(s["kind"], s["start"], s["end"]) for s in f]) if t and f else t for t, f in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=[id_col, "sanitised"])
 
     both = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(found.select(F.col(id_col).alias("_of"), "found"), F.col("_id").eqNullSafe(F.col("_of")), "left")
-    return both.select("_id", "_text", "found").mapInArrow(run, f"`{id_col}` {kind}, sanitised string")
+    return both.select("_id", "_text", "found").mapInArrow(tidy(run), f"`{id_col}` {kind}, sanitised string")
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

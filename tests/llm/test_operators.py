@@ -299,6 +299,84 @@ def test_pii_terms_anywhere(spark):
     assert [s[0] for s in found[1000]] == ["email", "remove", "remove", "remove"]
 
 
+def test_sanitise(spark):
+    rows = [(1, "write a@b.org or 10.0.0.1 now"), (2, None), (3, ""), (4, "nothing"), (5, "Tel. +44 20 7946 0958, " + "word " * 20_000)]
+    df = spark.createDataFrame([(*r, 9) for r in rows], "doc_id long, text string, found int")
+    out = {r.doc_id: r.sanitised for r in pii.sanitise(df, pii.find_pii(df)).collect()}
+    assert out == {1: "write [EMAIL] or [IP] now", 2: None, 3: "", 4: "nothing", 5: "Tel. [PHONE], " + "word " * 20_000}
+
+
+def test_empty_and_odd_tables(spark, none):
+    """Empty tables, clashing columns, ties and very long texts in the operators that score texts."""
+    long = "clean prose " * 30_000
+    rows = [(1, "same words"), (1, "same words"), (2, "same words"), (3, long), (4, None), (5, ""), (None, "same words")]
+    df = spark.createDataFrame([(*r, 0.5, "x", 7, "y") for r in rows], "doc_id long, text string, score double, lang_pred string, y int, own string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (None, 1), (3, None)], "doc_id long, toxic int")
+    model = toxicity.fit_toxicity(df, labels)
+    score = [(r.doc_id, r.score) for r in toxicity.score_toxicity(df, model).collect()]
+    assert len(score) == 7 and len({s for i, s in score if i != 3}) == 1 and all(0 <= s <= 1 for _, s in score)
+    assert toxicity.score_toxicity(none, model).count() == 0
+    lang = language_id.fit_language_model(df.withColumn("lang", F.when(F.col("doc_id") == 3, "b").otherwise("a")), F.lit(True))
+    named = [(r.doc_id, r.lang_pred) for r in language_id.identify(df, lang).collect()]
+    assert dict(named)[3] == "b" and dict(named)[4] == "und" and dict(named)[None] == "a"
+    assert language_id.identify(none, lang).count() == 0
+    assert pii.sanitise(none, pii.find_pii(none)).count() == 0
+
+
+def test_language_scores_equal_an_explicit_kernel_regression():
+    """The folded model against kernel matrices, eigenvectors and normal equations written out."""
+    rng = np.random.default_rng(2)
+    texts = [("".join(rng.choice(list("abc de" if k % 3 == 0 else "cde fg" if k % 3 == 1 else "fgh ia"), 40)), "xyz"[k % 3]) for k in range(60)]
+    grams = [language_id.grams_of(t.encode()) for t, _ in texts]
+    model = language_id.KernelModel.fit([(lang, g) for (_, lang), g in zip(texts, grams, strict=True)], landmarks=12, ridge=0.05)
+    marks = [k for lang in "xyz" for k in [i for i, (_, x) in enumerate(texts) if x == lang][:4]]
+    marks.sort()
+    kernel = lambda a, b: len(set(a.tolist()) & set(b.tolist())) / (len(a) * len(b)) ** 0.5
+    low = np.array([[kernel(grams[i], grams[j]) for j in marks] for i in marks])
+    full = np.array([[kernel(g, grams[j]) for j in marks] for g in grams])
+    w = np.diag([1 / 20] * 60)
+    y = np.array([[1.0 if lang == x else -1.0 for x in "xyz"] for _, lang in texts])
+    # the same ridge solution in the landmarks' own coordinates
+    alpha = np.linalg.solve(full.T @ w @ full + 0.05 / 3 * low, full.T @ w @ y)
+    assert np.allclose(model.scores(grams), full @ alpha, atol=1e-6)
+
+
+def brute_segments(x):
+    """All maximal scoring segments by the definition's recursion: the best of a stretch, then left and right of it."""
+    def best(lo, hi):
+        top = max(((sum(x[a:b]), -(b - a), -a, a, b) for a in range(lo, hi) for b in range(a + 1, hi + 1)), default=(0,))
+        return [] if top[0] <= 0 else best(lo, top[3]) + [(top[3], top[4], top[0])] + best(top[4], hi)
+
+    return best(0, len(x))
+
+
+def test_maximal_segments_by_brute_force():
+    rng = random.Random(3)
+    for _ in range(150):
+        x = [rng.choice((-1, 1)) * rng.randrange(1, 1 << 20) for _ in range(rng.randrange(25))]
+        assert toxicity.maximal_segments(x) == brute_segments(x)
+
+
+def test_toxic_passages_by_brute_force(spark):
+    """Scores, p-values and spans of passages against the definitions, weights and law taken from the fitted model."""
+    rng = random.Random(9)
+    texts = [(i, prose(rng, 40) + (" vile brute scum " * (1 + i % 2) if i % 4 == 0 else "") + prose(rng, 20)) for i in range(240)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    model = toxicity.fit_toxicity(df, spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(160)], "doc_id long, toxic int"))
+    got = {r.doc_id: r for r in toxicity.score_toxicity(df, model).collect()}
+    some = 0
+    for i, t in texts[::7]:
+        words = toxicity.tokens_of(t.encode())
+        x = [model.weights[w] - toxicity.DRIFT for w in words]
+        want = [(a, b, s, -np.expm1(-model.k * len(words) * np.exp(-model.lam * s))) for a, b, s in brute_segments(x)]
+        want = [w for w in want if w[3] <= toxicity.SIGNIFICANT]
+        some += len(want)
+        assert [tuple(p) for p in got[i].passages] == [pytest.approx(w) for w in want]
+        z = model.base + model.slope * np.log1p(sum(max(0.0, model.lam * w[2] - np.log(model.k * len(words))) for w in want))
+        assert got[i].score == pytest.approx(1 / (1 + np.exp(-z)))
+    assert some
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(1)
     centres = rng.standard_normal((20, 16))
