@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -33,12 +34,89 @@ def similarity(a: Column, b: Column) -> Column:
 
 def _ordered_trigrams(t: str) -> list[str]:
     out = []
-    for w in re.findall(r"[^\W_]+", t.lower()):
+    letter = _letters()
+    for w in "".join(c if letter[ord(c)] else " " for c in t.lower()).split():
         p = f"  {w} "
         out += [p[i : i + 3] for i in range(len(p) - 2)]
     return out
 
 
+def _letters() -> np.ndarray:
+    """By code point: whether it is a letter or a decimal digit."""
+    if not _LETTERS:
+        _LETTERS.append(np.fromiter((chr(i).isalpha() or chr(i).isdecimal() for i in range(0x110000)), bool, 0x110000))
+    return _LETTERS[0]
+
+
+_LETTERS: list[np.ndarray] = []
+
+
+def gram_codes(t: str) -> np.ndarray:
+    """The distinct trigrams of a text's words (two spaces before, one after each) as sorted numbers."""
+    c = np.frombuffer(t.lower().encode("utf-32-le", "replace"), np.uint32)
+    ok = np.zeros(len(c) + 2, bool)
+    ok[1:-1] = _letters()[c]
+    c = np.concatenate(([32], c, [32, 32])).astype(np.uint64)
+    c[: len(ok)][~ok] = 32
+    edge = np.diff(ok.astype(np.int8))
+    start, last = np.flatnonzero(edge == 1) + 1, np.flatnonzero(edge == -1)
+    code = lambda x, y, z: (x << np.uint64(42)) | (y << np.uint64(21)) | z
+    space = np.full(len(start), 32, np.uint64)
+    inner = np.flatnonzero(ok[:-2] & ok[1:-1] & ok[2:])
+    long = last[ok[last - 1]]
+    out = [code(space, space, c[start]), code(space, c[start], c[start + 1]), code(c[inner], c[inner + 1], c[inner + 2]), code(c[long - 1], c[long], np.full(len(long), 32, np.uint64))]
+    return np.unique(np.concatenate(out))
+
+
+def similarities(fields: dict[str, Column], query: str) -> Column:
+    """struct of <field>_sim and <field>_word: Jaccard similarity of the trigram sets of field and query, and the greatest
+    similarity of the field's set and that of any run of the query's trigrams. Texts pass through Arrow once."""
+    order = _ordered_trigrams(query)
+    asked = {g: k for k, g in enumerate(dict.fromkeys(order))}
+    run, names = [asked[g] for g in order], list(fields)
+    codes = np.array([(ord(g[0]) << 42) | (ord(g[1]) << 21) | ord(g[2]) for g in asked], np.uint64)
+
+    def word(size: int, hits: tuple[int, ...]) -> float:
+        own, best = set(hits), 0.0
+        if len(own) / max(size, 1) <= 0:
+            return 0.0
+        for i, first in enumerate(run):
+            if first not in own:
+                continue
+            seen, both = set(), 0
+            for g in run[i:]:
+                if g not in seen:
+                    seen.add(g)
+                    if g in own:
+                        both += 1
+                        best = max(best, both / (size + len(seen) - both))
+        return best
+
+    @F.pandas_udf(", ".join(f"{f}_sim double, {f}_word double" for f in fields))
+    def score(*texts: pd.Series) -> pd.DataFrame:
+        out, known, words = {}, {}, {}
+        for f, column in zip(names, texts, strict=True):
+            sims, extents = [], []
+            for t in column:
+                found = known.get(t) if t and len(t) < 200 else None
+                if found is None:
+                    own = gram_codes(t) if t else np.empty(0, np.uint64)
+                    hits = tuple(np.flatnonzero(np.isin(codes, own)).tolist())
+                    key = (len(own), hits)
+                    if key not in words:
+                        words[key] = word(*key)
+                    union = len(own) + len(codes) - len(hits)
+                    found = (len(hits) / union if union else 0.0, words[key])
+                    if t and len(t) < 200:
+                        known[t] = found
+                sims.append(found[0])
+                extents.append(found[1])
+            out[f"{f}_sim"], out[f"{f}_word"] = sims, extents
+        return pd.DataFrame(out)
+
+    return score(*fields.values())
+
+
 def best_extent(field: str, query: list[str]) -> float:
     """The greatest trigram similarity of a field and any run of the query's trigrams."""
     own = set(_ordered_trigrams(field))

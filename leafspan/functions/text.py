@@ -83,8 +83,8 @@ def truncate_summary(t: Column, limit: int = 160) -> Column:
 
 
 def heuristic_summary(t: Column, title: Column, limit: int = 320) -> Column:
-    s = squeeze(t)
-    s = F.when(F.length(s) <= limit, s).otherwise(F.concat(F.substring(s, 1, limit - 1), F.lit("…")))
+    s = squeeze_ends(F.replace(t, F.lit("\n"), F.lit(" ")))
+    s = F.when(F.length(s) <= limit, s).otherwise(squeeze_ends(F.concat(F.substring(s, 1, limit - 1), F.lit("…"))))
     return F.coalesce(F.nullif(s, F.lit("")), title)
 
 
@@ -95,6 +95,45 @@ def section_body(text: Column, title: Column) -> Column:
     return F.array_join(F.when(same, F.slice(lines, F.lit(2), F.size(lines))).otherwise(lines), "\n")
 
 
+def share_prefix(left: Column, right: Column) -> Column:
+    """Whether the keys of two titles begin with the same four characters."""
+    x, y = page_key(left), page_key(right)
+    return (F.length(x) >= 4) & (F.length(y) >= 4) & (F.substring(x, 1, 4) == F.substring(y, 1, 4))
+
+
+def short_page_title(text: Column, page: Column, limit: int = 30) -> Column:
+    """The beginning of a page's text in one line, or its number."""
+    body = squeeze_ends(F.replace(text, F.lit("\n"), F.lit(" ")))
+    cut = squeeze_ends(F.concat(F.substring(body, 1, limit - 1), F.lit("…")))
+    return F.when(body == "", F.concat(F.lit("第 "), page, F.lit(" 页"))).when(F.length(body) <= limit, body).otherwise(cut)
+
+
+# Prefixes that models put before a title.
+TITLE_PREFIXES = ("标题：", "标题:", "Title:", "输出：", "输出:")
+
+
+def clean_title_line(raw: Column, limit: int = 30) -> Column:
+    """The first line of a model's answer without quotes and prefixes, cut to limit; empty where nothing is left."""
+    t = squeeze_ends(F.split(raw, "\n")[0])
+    for mark in ('"', "'"):
+        t = F.regexp_replace(t, f"^{mark}+|{mark}+$", "")
+    for prefix in TITLE_PREFIXES:
+        t = F.when(t.startswith(prefix), squeeze_ends(F.substring(t, len(prefix) + 1, 1 << 20))).otherwise(t)
+    return F.when(F.length(t) > limit, F.concat(F.regexp_replace(F.substring(t, 1, limit), r"(?U)\s+$", ""), F.lit("…"))).otherwise(t)
+
+
+def node_summary(text: Column, title: Column, whole: int = 600) -> Column:
+    """Texts shorter than whole are their own summary, empty ones have their title; longer ones are cut to one line."""
+    body = F.coalesce(text, F.lit(""))
+    return F.when(F.length(body) < whole, F.coalesce(F.nullif(body, F.lit("")), title)).otherwise(heuristic_summary(body, title))
+
+
+def nullable_int(value: Column) -> Column:
+    """A page number given as text; null where it is no integer."""
+    t = squeeze_ends(value.cast("string"))
+    return F.when(t.rlike(r"^[+-]?\d+$"), t.try_cast("int"))
+
+
 def contextual_text(path: Column, title: Column, body: Column) -> Column:
     last = F.element_at(F.split(path, " > "), -1)
     own = F.when(compare_key(last) == compare_key(title), F.lit(None)).otherwise(F.nullif(title, F.lit("")))
@@ -185,26 +224,97 @@ def years(q: Column) -> Column:
 
 
 def quarter(raw: Column) -> Column:
-    out = F.upper(raw)
-    for k, v in QUARTERS.items():
-        out = F.when(raw == k, v).otherwise(out)
+    """Qn of a quarter's name; an unknown name in capitals."""
+    low, out = F.lower(F.regexp_replace(raw, " ", "")), F.upper(raw)
+    for k, v in (QUARTERS | {f"q{i}": f"Q{i}" for i in range(1, 5)}).items():
+        out = F.when(low == k, v).otherwise(out)
     return out
 
 
+def unique_strings(values: Column) -> Column:
+    """Trimmed strings without blanks, each once, in order."""
+    return F.array_distinct(F.filter(F.transform(values, squeeze_ends), lambda x: x != ""))
+
+
+def squeeze_ends(t: Column) -> Column:
+    return F.regexp_replace(t, r"(?U)^\s+|\s+$", "")
+
+
+def time_scope(q: Column) -> Column:
+    """struct(years, quarters, mentions): a quarter after a year is joined to it."""
+    pattern = r"(?i)(?:\b(20\d{2})(?U:\s*))?(Q[1-4]|[1-4](?U:\s*)季度|第[一二三四1-4]季度)"
+    part = lambda group: F.regexp_extract_all(q, F.lit(pattern), F.lit(group))
+    found = F.arrays_zip(part(1).alias("year"), part(2).alias("quarter"))
+    quarters = F.transform(found, lambda x: F.concat(F.coalesce(x["year"], F.lit("")), quarter(x["quarter"])))
+    mentions = F.transform(found, lambda x: F.trim(F.concat_ws(" ", F.coalesce(x["year"], F.lit("")), x["quarter"])))
+    named = F.regexp_extract_all(q, F.lit(r"\b(20\d{2})\b"), F.lit(1))
+    return F.struct(years(q).alias("years"), unique_strings(quarters).alias("quarters"), unique_strings(F.concat(mentions, named)).alias("mentions"))
+
+
 def raw_terms(q: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(q, F.lit(r"[A-Za-z0-9+\-.]{2,}|[一-鿿]{2,}"), F.lit(0)))
 
 
+def _expanded(t: Column) -> Column:
+    """A token's terms: ASCII ones as they are, Chinese ones without connectors and with their first and last two characters."""
+    core = F.regexp_replace(F.regexp_replace(t, LEADING_CONNECTORS, ""), TRAILING_CONNECTORS, "")
+    n = F.length(core)
+    none = F.filter(F.array(core), lambda x: F.lit(False))
+    parts = F.when(n >= 3, F.array(core, F.substring(core, 1, 2), F.right(core, F.lit(2)))).when(n == 2, F.array(core)).otherwise(none)
+    stop = F.array(*map(F.lit, STOP_TERMS))
+    return F.filter(F.when(t.rlike("^[A-Za-z0-9+.-]+$"), F.array(t)).otherwise(parts), lambda x: ~F.array_contains(stop, F.lower(x)))
+
+
+def query_terms(q: Column) -> Column:
+    """Distinct terms of a query in order, with their case."""
+    return F.array_distinct(F.flatten(F.transform(raw_terms(q), _expanded)))
+
+
 def search_terms(q: Column) -> Column:
     """Distinct lower-cased terms: stop words go, Chinese terms lose connectors and gain their first and last two characters."""
-    def expand(t):
-        core = F.regexp_replace(F.regexp_replace(t, LEADING_CONNECTORS, ""), TRAILING_CONNECTORS, "")
-        n = F.length(core)
-        parts = F.when(n >= 3, F.array(core, F.substring(core, 1, 2), F.right(core, F.lit(2)))).when(n == 2, F.array(core)).otherwise(F.filter(F.array(core), lambda x: F.lit(False)))
-        return F.when(t.rlike("^[A-Za-z0-9+.-]+$"), F.array(F.lower(t))).otherwise(parts)
+    return F.array_distinct(F.filter(F.transform(query_terms(q), F.lower), lambda t: F.length(t) >= 2))
 
-    stop = F.array(*map(F.lit, STOP_TERMS))
-    return F.filter(F.array_distinct(F.flatten(F.transform(raw_terms(q), expand))), lambda t: ~F.array_contains(stop, t) & (F.length(t) >= 2))
+
+def derived_terms(q: Column) -> Column:
+    """The terms to search for: those of the query (taken whole if it is one Chinese run), its years and its quarters."""
+    one = ~q.contains(" ") & ~(q.rlike("[A-Za-z0-9]") & q.rlike("[一-鿿]"))
+    scope = time_scope(q)
+    times = F.concat(F.transform(scope["years"], lambda y: y.cast("string")), scope["quarters"])
+    whole = F.when(one & (q != ""), F.transform(_expanded(q), F.lower)).otherwise(F.array().cast("array<string>"))
+    tail = F.flatten(F.transform(times, lambda t: F.when(t.rlike("^[A-Za-z0-9]+$"), F.array(F.lower(t))).otherwise(F.flatten(F.transform(raw_terms(t), _expanded)))))
+    return F.array_distinct(F.filter(F.concat(whole, search_terms(q), tail), lambda t: F.length(t) >= 2))
+
+
+def matched_names(q: Column, names: dict[str, list[str]]) -> Column:
+    """Canonical names of which an alias stands in the query, in order."""
+    hits = [F.when(_any([alias_match(q, a) for a in aliases]), F.lit(name)) for name, aliases in names.items()]
+    return F.array_compact(F.array(*hits)) if hits else F.array().cast("array<string>")
+
+
+def _any(tests: list[Column]) -> Column:
+    out = F.lit(False)
+    for t in tests:
+        out = out | t
+    return out
+
+
+def canonical(values: Column, names: dict[str, list[str]]) -> Column:
+    """Values replaced by the name whose alias they are, whatever the case; the last name of a shared alias counts."""
+    known = {a.lower(): name for name, aliases in names.items() for a in [name, *aliases]}
+    if not known:
+        return F.array_distinct(values)
+    lookup = F.create_map(*[F.lit(x) for kv in known.items() for x in kv])
+    return F.array_distinct(F.transform(values, lambda v: F.coalesce(F.element_at(lookup, F.lower(v)), v)))
+
+
+def enrichment_reason(q: Column) -> Column:
+    """Why a query should be enriched by a model; null where the rules suffice."""
+    scope, n = time_scope(q), F.size(query_terms(q))
+    no_time = (F.size(scope["years"]) == 0) & (F.size(scope["quarters"]) == 0)
+    return (
+        F.when(language(q) == "unknown", "unknown_language").when(F.length(q) <= 4, "very_short_query").when((n < 2) & no_time, "insufficient_terms_and_time_scope")
+        .when((intent(q) == "general") & (n < 3) & no_time, "generic_intent_with_sparse_terms")
+    )
 
 
 def term_hits(text: Column, terms: Column) -> Column:

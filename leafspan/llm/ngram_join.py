@@ -35,7 +35,7 @@ from leafspan.llm.texthash import mix, sequence_hashes, word_hashes
 DIMENSIONS = 64
 GROUP_SIZE = 6
 LEAF = 16
-BLOCK_ROWS = 2000
+BLOCK_ROWS = 1000
 VERIFY_ROWS = 256
 FAMILY_BYTES = 16 << 20
 CHUNK_BYTES = 1 << 20

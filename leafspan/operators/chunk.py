@@ -92,4 +92,4 @@ def build_chunks(sections: DataFrame, count: Callable[[str], int] = four_chars,
     rows = leaves.select("doc_id", "section_id", "node_id", "title", "title_path", "page_index", F.posexplode(cut("body")).alias("chunk_index", "c"))
     rows = rows.select("*", F.col("c.chunk_text").alias("chunk_text"), F.col("c.token_count").alias("token_count")).drop("c")
     rows = rows.withColumn("search_text", T.contextual_text(F.col("title_path"), F.col("title"), F.col("chunk_text")))
-    return rows.withColumn("chunk_id", T.chunk_id(F.col("doc_id").cast("string"), F.col("section_id"), F.col("chunk_index"))).withColumn("text_hash", T.text_hash(F.col("search_text")))
+    return rows.withColumn("chunk_id", T.chunk_id(F.col("doc_id").cast("string"), F.col("section_id"), F.col("chunk_index"))).withColumn("text_hash", T.text_hash(F.col("chunk_text")))

@@ -24,19 +24,51 @@ def dense_recall(chunks: DataFrame, query: list[float], k: int = 60, vector: str
     return _rank(scored, "dense_rank", k, F.desc("cos"), id_col).drop("cos", vector)
 
 
-def lexical_recall(chunks: DataFrame, query: str, terms: list[str], k: int = 60, threshold: float = 0.18, words: bool = True) -> DataFrame:
-    """chunks: doc_id, chunk_id, title, title_path, search_text. Word similarity (an Arrow UDF) may be left out."""
-    fields = {"title": "title", "path": "title_path", "body": "search_text"}
-    q, listed = F.lit(query), F.array(*map(F.lit, terms)) if terms else F.array().cast("array<string>")
-    rows = chunks
-    for f, c in fields.items():
-        rows = rows.withColumn(f"{f}_hits", T.term_hits(F.col(c), listed)).withColumn(f"{f}_sim", S.similarity(F.col(c), q)).withColumn(f"{f}_word", S.word_similarity(F.col(c), query) if words else F.lit(0.0))
-    by = lambda kind: {f: F.col(f"{f}_{kind}") for f in fields}
+FIELDS = {"title": "title", "path": "title_path", "body": "search_text"}
+
+
+def lexical_scored(chunks: DataFrame, query: str, terms: list[str], threshold: float = 0.18) -> DataFrame:
+    """The chunks (doc_id, chunk_id, title, title_path, search_text) that hold a term or are similar enough, with lexical_score."""
+    listed = F.array(*map(F.lit, terms)) if terms else F.array().cast("array<string>")
+    rows = chunks.withColumn("_s", S.similarities({f: F.col(c) for f, c in FIELDS.items()}, query))
+    for f, c in FIELDS.items():
+        rows = rows.withColumn(f"{f}_hits", T.term_hits(F.col(c), listed)).withColumn(f"{f}_sim", F.col(f"_s.{f}_sim")).withColumn(f"{f}_word", F.col(f"_s.{f}_word"))
+    by = lambda kind: {f: F.col(f"{f}_{kind}") for f in FIELDS}
     rows = rows.withColumn("lexical_score", S.lexical_score(by("hits"), by("word"), by("sim")))
     some = F.greatest(*by("sim").values(), *by("word").values()) >= threshold
     rows = rows.filter((F.greatest(*by("hits").values()) > 0) | some)
-    rows = rows.drop(*[f"{f}_{kind}" for f in fields for kind in ("hits", "sim", "word")])
-    return _rank(rows, "lexical_rank", k, F.desc("lexical_score"), "doc_id", "chunk_id")
+    return rows.drop("_s", *[f"{f}_{kind}" for f in FIELDS for kind in ("hits", "sim", "word")])
+
+
+def lexical_recall(chunks: DataFrame, query: str, terms: list[str], k: int = 60, threshold: float = 0.18) -> DataFrame:
+    """The k best of the scored chunks, with lexical_rank."""
+    return _rank(lexical_scored(chunks, query, terms, threshold), "lexical_rank", k, F.desc(F.round("lexical_score", 9)), "doc_id", "chunk_id")
+
+
+def gram_postings(chunks: DataFrame) -> DataFrame:
+    """The trigram index of chunks: doc_id, chunk_id, field, gram and size (the field's number of trigrams)."""
+    fields = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), S.trigrams(F.coalesce(F.col(c), F.lit(""))).alias("grams")) for f, c in FIELDS.items()]))
+    rows = chunks.select("doc_id", "chunk_id", fields.alias("f")).select("doc_id", "chunk_id", "f.field", F.size("f.grams").alias("size"), F.explode("f.grams").alias("gram"))
+    return rows
+
+
+def posted_candidates(postings: DataFrame, query: str, terms: list[str], threshold: float = 0.18) -> DataFrame | None:
+    """(doc_id, chunk_id) of all chunks that lexical_recall may keep, from the postings of the query's trigrams alone.
+
+    The share of a field's trigrams that the query has bounds both similarities; a field that holds a term holds the
+    term's inner trigrams. None if a term has no inner trigram, so that any chunk may hold it.
+    """
+    asked = list(dict.fromkeys(S._ordered_trigrams(query)))
+    inner = [[g for g in S._ordered_trigrams(t) if " " not in g] for t in terms]
+    if any(not g for g in inner):
+        return None
+    wanted = list(dict.fromkeys([*asked, *(g for gs in inner for g in gs)]))
+    found = postings.filter(F.col("gram").isin(wanted)).groupBy("doc_id", "chunk_id", "field").agg(F.collect_set("gram").alias("grams"), F.first("size").alias("size"))
+    both = F.size(F.array_intersect("grams", F.array(*map(F.lit, asked)).cast("array<string>")))
+    keep = both / F.col("size") >= threshold
+    for gs in inner:
+        keep = keep | (F.size(F.array_intersect("grams", F.array(*map(F.lit, gs)))) == len(set(gs)))
+    return found.filter(keep).select("doc_id", "chunk_id").distinct()
 
 
 def fuse(dense: DataFrame, lexical: DataFrame, k: int = 80, carry: tuple[str, ...] = ("doc_id", "section_id"), rrf_k: int = S.RRF_K) -> DataFrame:
@@ -135,6 +167,18 @@ def package(contexts: DataFrame, doc_scores: DataFrame, each: int = 3, total: in
     return top.join(doc_scores.select("doc_id", "doc_score"), "doc_id", "left").withColumn("doc_score", F.coalesce("doc_score", F.lit(0.0)))
 
 
+def evidence_documents(evidence: DataFrame) -> DataFrame:
+    """Evidence by document: doc_id, doc_score, items (in evidence order) and doc_order, best documents first."""
+    item = F.struct("evidence_rank", "evidence_id", "section_id", "evidence_score")
+    rows = evidence.groupBy("doc_id").agg(F.coalesce(F.max("doc_score"), F.lit(0.0)).alias("doc_score"), F.array_sort(F.collect_list(item)).alias("items"))
+    return rows.withColumn("doc_order", F.row_number().over(Window.orderBy(F.desc("doc_score"), F.desc(F.size("items")), F.col("items")[0]["evidence_rank"])))
+
+
+def page_set(rows: DataFrame, key: list[str], page: str = "page_index") -> DataFrame:
+    """The distinct pages of each key, ascending."""
+    return rows.groupBy(*key).agg(F.array_sort(F.collect_set(page)).alias("page_indexes"))
+
+
 def _blocks_cost(blocks: Column) -> Column:
     return F.aggregate(blocks, F.lit(0), lambda a, b: a + F.length(b) + 2)
 

@@ -86,27 +86,40 @@ def _sim_sql(field: str) -> str:
     return f"coalesce(CAST(len(list_intersect({a}, {b})) AS DOUBLE) / nullif(len(list_distinct(list_concat({a}, {b}))), 0), 0.0)"
 
 
-_LEXICAL_SQL = f"""{_CORPUS_SQL},
-h AS (SELECT *, {_HITS.format("title")} AS th, {_HITS.format("title_path")} AS ph, {_HITS.format("search_text")} AS bh, {_sim_sql("title")} AS ts, {_sim_sql("title_path")} AS ps, {_sim_sql("search_text")} AS bs FROM c),
-lx AS (SELECT doc_id, section_id, chunk_id, 0.0 + 5.0 * th + 2.0 * 0.0 + 1.0 * ts + (3.0 * ph + 0.75 * ps) + (1.5 * bh + 0.5 * bs) AS lexical_score FROM h WHERE greatest(th, ph, bh) > 0 OR greatest(ts, ps, bs) >= 0.18),
-lex AS (SELECT *, row_number() OVER (ORDER BY round(lexical_score, 9) DESC, doc_id, chunk_id) AS lexical_rank FROM lx QUALIFY lexical_rank <= 60)"""
+def _word_sql(field: str) -> str:
+    """The greatest similarity of a field's trigrams and those of any run of the query's, runs written out."""
+    order = S._ordered_trigrams(QUERY)
+    asked = list(dict.fromkeys(order))
+    runs = {frozenset(asked.index(g) for g in order[i:j]) for i in range(len(order)) for j in range(i + 1, len(order) + 1)}
+    listed = "[" + ", ".join(str(sorted(r)) for r in sorted(runs, key=sorted)) + "]"
+    hits = f"list_filter({list(range(len(asked)))}, lambda k: list_contains({field}, {asked}[k + 1]))"
+    return f"coalesce(list_max(list_transform({listed}, lambda e: CAST(len(list_intersect({hits}, e)) AS DOUBLE) / (len({field}) + len(e) - len(list_intersect({hits}, e))))), 0.0)"
 
 
-def _lexical(spark: SparkSession, sf_dir: str, words: bool = True) -> DataFrame:
-    """Without words it is what _LEXICAL_SQL says: word similarity is 0."""
-    return R.lexical_recall(_corpus(spark, sf_dir), QUERY, TERMS, words=words)
+_LEXICAL_SQL = f"""{_CORPUS_SQL},
+g AS (SELECT *, {_TRI.format("title")} AS tg, {_TRI.format("title_path")} AS pg, {_TRI.format("search_text")} AS bg FROM c),
+h AS (SELECT *, {_HITS.format("title")} AS th, {_HITS.format("title_path")} AS ph, {_HITS.format("search_text")} AS bh, {_sim_sql("title")} AS ts, {_sim_sql("title_path")} AS ps, {_sim_sql("search_text")} AS bs,
+  {_word_sql("tg")} AS tw, {_word_sql("pg")} AS pw, {_word_sql("bg")} AS bw FROM g),
+lx AS (SELECT doc_id, section_id, chunk_id, 5.0::DOUBLE * th + 2.0::DOUBLE * tw + ts + 3.0::DOUBLE * ph + 1.25::DOUBLE * pw + 0.75::DOUBLE * ps + 1.5::DOUBLE * bh + bw + 0.5::DOUBLE * bs AS lexical_score
+  FROM h WHERE greatest(th, ph, bh) > 0 OR greatest(ts, ps, bs, tw, pw, bw) >= 0.18),
+lex AS (SELECT *, row_number() OVER (ORDER BY round(lexical_score, 9) DESC, doc_id, chunk_id) AS lexical_rank FROM lx QUALIFY lexical_rank <= 60)"""
 
 
-@query(f"WITH {_LEXICAL_SQL} SELECT doc_id, section_id, chunk_id, lexical_rank, lexical_score FROM lex")
-def lexical_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _lexical(spark, sf_dir, False).select("doc_id", "section_id", "chunk_id", F.col("lexical_rank").cast("long").alias("lexical_rank"), "lexical_score")
+def _lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.lexical_recall(_corpus(spark, sf_dir), QUERY, TERMS)
 
 
-@query()
+@query(f"WITH {_LEXICAL_SQL} SELECT doc_id, chunk_id, CAST(lexical_rank AS INT) AS lexical_rank, lexical_score FROM lex")
 def lexical_recall_with_word_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lexical(spark, sf_dir).select("doc_id", "chunk_id", "lexical_rank", "lexical_score")
 
 
+@query(f"WITH {_LEXICAL_SQL} SELECT doc_id, section_id, count(*) AS candidates FROM lx GROUP BY ALL")
+def lexical_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many chunks lexical recall chooses from, by section."""
+    return R.lexical_scored(_corpus(spark, sf_dir), QUERY, TERMS).groupBy("doc_id", "section_id").agg(F.count("*").alias("candidates"))
+
+
 _VECTOR = [((i * 37) % 64 - 31.5) / 100 for i in range(64)]
 _Q = "[" + ", ".join(f"{x}::DOUBLE" for x in _VECTOR) + "]"
 _DENSE_SQL = f"""v AS (SELECT vec_id AS chunk_id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), {_Q}) AS cos FROM embeddings),
@@ -123,9 +136,9 @@ def dense_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _dense(spark, sf_dir).select("chunk_id", F.round("dense_score", 9).alias("dense_score"), F.col("dense_rank").cast("long").alias("dense_rank"))
 
 
-def _fused(spark: SparkSession, sf_dir: str, words: bool = True) -> DataFrame:
+def _fused(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = _corpus(spark, sf_dir).select("chunk_id", "doc_id", "section_id")
-    return R.fuse(_dense(spark, sf_dir).join(names, "chunk_id"), _lexical(spark, sf_dir, words))
+    return R.fuse(_dense(spark, sf_dir).join(names, "chunk_id"), _lexical(spark, sf_dir))
 
 
 _FUSED_SQL = f"""{_LEXICAL_SQL}, {_DENSE_SQL}, dn AS (SELECT den.*, c.doc_id, c.section_id FROM den JOIN c USING (chunk_id)),
@@ -135,11 +148,6 @@ fused AS (SELECT *, row_number() OVER (ORDER BY rrf_score DESC, coalesce(dense_r
 
 
 @query(f"WITH {_FUSED_SQL} SELECT chunk_id, doc_id, section_id, rrf_score, fused_rank FROM fused")
-def rank_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _fused(spark, sf_dir, False).select("chunk_id", "doc_id", "section_id", "rrf_score", F.col("fused_rank").cast("long").alias("fused_rank"))
-
-
-@query()
 def rank_fusion_with_word_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _fused(spark, sf_dir).select("chunk_id", "doc_id", "section_id", "rrf_score", F.col("fused_rank").cast("long").alias("fused_rank"))
 
@@ -150,22 +158,12 @@ _DOCS_SQL = """d0 AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY
 doc AS (SELECT doc_id, round(sum(rrf_score) FILTER (rn <= 5), 8) AS doc_score, count(DISTINCT section_id) AS matched_section_count, min(fused_rank) AS first_rank FROM d0 GROUP BY ALL)"""
 
 
-@query(f"WITH {_FUSED_SQL}, {_SECTIONS_SQL} SELECT * FROM sec")
-def section_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.aggregate_sections(_fused(spark, sf_dir, False)).select("doc_id", "section_id", "section_score", "matched_chunk_count", F.col("first_rank").cast("long").alias("first_rank"))
-
-
-@query()
+@query(f"WITH {_FUSED_SQL}, {_SECTIONS_SQL} SELECT doc_id, section_id, section_score, matched_chunk_count, first_rank FROM sec")
 def section_scores_with_word_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.aggregate_sections(_fused(spark, sf_dir)).select("doc_id", "section_id", "section_score", "matched_chunk_count", F.col("first_rank").cast("long").alias("first_rank"))
 
 
 @query(f"WITH {_FUSED_SQL}, {_DOCS_SQL} SELECT doc_id, doc_score, matched_section_count FROM doc ORDER BY doc_score DESC, first_rank LIMIT 10")
-def document_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.aggregate_docs(_fused(spark, sf_dir, False)).select("doc_id", "doc_score", "matched_section_count")
-
-
-@query()
 def document_scores_with_word_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.aggregate_docs(_fused(spark, sf_dir)).select("doc_id", "doc_score", "matched_section_count")
 
@@ -442,6 +440,13 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.package(contexts, docs).select("evidence_rank", "evidence_id", "doc_id", "section_id", "evidence_score", "doc_score")
 
 
-@query()
+_H = lambda c: " + ".join(f"CASE WHEN contains(lower({c}), '{t}') THEN 1 ELSE 0 END" for t in TERMS)
+
+
+@query(f"""WITH {_FUSED_SQL}, {_SECTIONS_SQL}, {_DOCS_SQL}, td AS (SELECT * FROM doc ORDER BY doc_score DESC, first_rank LIMIT 10),
+ts AS (SELECT sec.*, td.doc_score FROM sec JOIN td USING (doc_id) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY section_score DESC, sec.first_rank) <= 3),
+ev AS (SELECT doc_id, section_id, doc_score, doc_id || ' > ' || section_id AS title_path, round(100 * section_score + 0.5::DOUBLE * least(2, matched_chunk_count) + 2 * ({_H("section_id")}) + 1.5::DOUBLE * ({_H("doc_id || ' > ' || section_id")}), 8) AS evidence_score FROM ts),
+f3 AS (SELECT * FROM ev QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY evidence_score DESC, title_path DESC) <= 3)
+SELECT CAST(row_number() OVER (ORDER BY evidence_score DESC, title_path DESC) AS INT) AS evidence_rank, {_uuid_sql("doc_id || ':' || section_id")} AS evidence_id, doc_id, section_id, evidence_score, doc_score FROM f3 QUALIFY evidence_rank <= 8""")
 def evidence_for_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flagship(spark, sf_dir)
