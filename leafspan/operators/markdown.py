@@ -85,11 +85,11 @@ def page_forest(lines: DataFrame, found: DataFrame) -> DataFrame:
     """
     w = by_line()
     at = found.select("doc_id", "line", "level", "raw_title", F.lead("line").over(w).alias("next_line"))
-    top = at.filter("level = 1").groupBy("doc_id").agg(F.min(F.struct("line", "raw_title", "next_line")).alias("h")).select("doc_id", "h.*")
-    own = lines.join(top, "doc_id").filter((F.col("line") >= top["line"]) & (F.col("next_line").isNull() | (lines["line"] < F.col("next_line"))))
-    own = own.select("doc_id", lines["line"].alias("line"), "text").groupBy("doc_id").agg(_joined().alias("text"))
+    top = at.filter("level = 1").groupBy("doc_id").agg(F.min(F.struct("line", "raw_title", "next_line")).alias("h")).select("doc_id", F.col("h.line").alias("top_line"), "h.raw_title", "h.next_line")
+    own = lines.join(top, "doc_id").filter((F.col("line") >= F.col("top_line")) & (F.col("next_line").isNull() | (F.col("line") < F.col("next_line"))))
+    own = own.groupBy("doc_id").agg(_joined().alias("text"))
     first = lines.groupBy("doc_id").agg(F.min_by("page", "line").alias("first_page"))
-    pages = lines.select("doc_id", "line", "page").join(top.select("doc_id", "line", "raw_title"), ["doc_id", "line"]).select("doc_id", F.col("page").alias("top_page"), F.col("raw_title").alias("top_title"))
+    pages = lines.select("doc_id", "line", "page").join(top.select("doc_id", F.col("top_line").alias("line"), "raw_title"), ["doc_id", "line"]).select("doc_id", F.col("page").alias("top_page"), F.col("raw_title").alias("top_title"))
     root = first.join(pages, "doc_id", "left").join(own, "doc_id", "left").select(
         "doc_id", F.lit("0000").alias("node_id"), F.lit(None).cast("string").alias("parent_id"), F.lit(0).alias("ord"), F.coalesce(T.display_title(F.col("top_title"), F.lit(1)), F.lit("Document")).alias("title"),
         F.coalesce("top_page", "first_page").alias("page_index"), F.coalesce("text", F.lit("")).alias("text"), F.lit(False).alias("untitled"),
@@ -155,7 +155,7 @@ def section_rows(lines: DataFrame, found: DataFrame) -> DataFrame:
     rows = rows.filter(F.col("level") >= 1).withColumn("title", T.display_title(F.col("raw_title"), F.col("level")))
     at = F.last(F.when(F.col("level").isNotNull(), F.col("line")), True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     body = lines.join(found.select("doc_id", "line", "level"), ["doc_id", "line"], "left").withColumn("at", at).filter("at is not null")
-    body = body.groupBy("doc_id", F.col("at").alias("line")).agg(F.trim(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n")).alias("text"))
+    body = body.groupBy("doc_id", F.col("at").alias("line")).agg(_joined().alias("text"))
     out = rows.join(body, ["doc_id", "line"])
     return out.withColumn("node_id", F.format_string("%04d", "preorder"))
 

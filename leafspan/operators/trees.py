@@ -28,21 +28,82 @@ def depth_histogram(sections: DataFrame, key: str = "doc_id") -> DataFrame:
     return sections.groupBy(key, "depth").agg(F.count("*").alias("nodes"))
 
 
-def compare_trees(actual: DataFrame, expected: DataFrame) -> DataFrame:
-    """One row: matched titles, precision, recall, shares of matched titles on the same page and within one page.
+def _titles(tree: DataFrame, order: Column, name: str) -> DataFrame:
+    rows = tree.withColumn("rn", F.row_number().over(Window.partitionBy("title").orderBy(order))).filter("rn = 1")
+    length = F.length(F.coalesce("text", F.lit(""))) if "text" in tree.columns else F.lit(None).cast("int")
+    return rows.select("title", F.col("page_index").alias(name), length.alias(f"{name}_length"), F.lit(1).alias(f"in_{name}"))
+
+
+def comparison_report(actual: DataFrame, expected: DataFrame) -> DataFrame:
+    """One row: matched titles, precision, recall, shares of matched titles on the same page and within one page, and
+    examples: 30 missing and 30 unexpected titles, 20 pages over one apart, 15 lengths of matched titles' texts.
 
-    Of repeated titles the first actual and the last expected one count. Both: title, page_index, preorder.
+    Of repeated titles the first actual and the last expected one count. Both: title, page_index, preorder and text (which
+    may be left out). Examples are the first in title order.
     """
-    one = lambda df, order, name: df.withColumn("rn", F.row_number().over(Window.partitionBy("title").orderBy(order))).filter("rn = 1").select("title", F.col("page_index").alias(name))
-    both = one(actual, F.asc("preorder"), "a").withColumn("in_a", F.lit(1)).join(one(expected, F.desc("preorder"), "e").withColumn("in_e", F.lit(1)), "title", "full_outer")
+    both = _titles(actual, F.asc("preorder"), "a").join(_titles(expected, F.desc("preorder"), "e"), "title", "full_outer")
     hit = F.col("in_a").isNotNull() & F.col("in_e").isNotNull()
     paged = hit & F.col("a").isNotNull() & F.col("e").isNotNull()
+    apart = paged & (F.abs(F.col("a") - F.col("e")) > 1)
+    examples = {
+        "missing": (F.col("in_a").isNull(), F.col("title"), 30), "unexpected": (F.col("in_e").isNull(), F.col("title"), 30),
+        "mismatches": (apart, F.struct("title", F.col("a").alias("actual"), F.col("e").alias("expected")), 20), "lengths": (hit, F.struct("title", F.col("a_length").alias("actual"), F.col("e_length").alias("expected")), 15),
+    }
+    # only rows that may be an example are gathered: a rank in title order within each kind
+    for name, (which, _, most) in examples.items():
+        first = both.filter(which).orderBy("title").limit(most).select("title", F.lit(True).alias(f"_{name}"))
+        both = both.join(F.broadcast(first), "title", "left")
+    lists = [F.array_sort(F.collect_list(F.when(F.col(f"_{name}"), value))).alias(name) for name, (_, value, _) in examples.items()]
     return both.agg(
         F.count_if(hit).alias("matched"), ratio(F.count_if(hit), F.count("in_a")).alias("title_precision"), ratio(F.count_if(hit), F.count("in_e")).alias("title_recall"),
-        ratio(F.count_if(paged & (F.abs(F.col("a") - F.col("e")) <= 1)), F.count_if(paged)).alias("within_one"), ratio(F.count_if(paged & (F.col("a") == F.col("e"))), F.count_if(paged)).alias("exact_page"),
+        ratio(F.count_if(paged & ~apart), F.count_if(hit)).alias("within_one"), ratio(F.count_if(paged & (F.col("a") == F.col("e"))), F.count_if(hit)).alias("exact_page"), *lists,
     )
 
 
+def compare_trees(actual: DataFrame, expected: DataFrame) -> DataFrame:
+    """The measures of the comparison report without its examples."""
+    return comparison_report(actual, expected).select("matched", "title_precision", "title_recall", "within_one", "exact_page")
+
+
+def flatten_tree(tree: list[dict], doc_id: str) -> list[dict]:
+    """Section rows of a tree given as nested nodes (title, node_id, page_index, text, summary, nodes), in preorder.
+
+    Depth counts from 0; title_path joins the titles from the root; parents are named by node_id.
+    """
+    out: list[dict] = []
+    todo = [(n, None, (), 0) for n in reversed(tree)]
+    while todo:
+        node, parent, above, depth = todo.pop()
+        below = node.get("nodes") or []
+        titles = (*above, node.get("title") or "")
+        out.append({
+            "doc_id": doc_id, "node_id": node.get("node_id"), "parent_id": parent, "preorder": len(out), "depth": depth, "title": titles[-1], "title_path": " > ".join(titles),
+            "page_index": node.get("page_index"), "text": node.get("text") or "", "summary": node.get("summary") or "", "is_leaf": not below,
+        })
+        todo += [(n, node.get("node_id"), titles, depth + 1) for n in reversed(below)]
+    return out
+
+
+def section_records(sections: DataFrame) -> DataFrame:
+    """The seven stored columns of sections."""
+    return sections.select("section_id", "parent_id", "doc_id", "node_id", "title", "depth", "summary")
+
+
+def nested_json(sections: DataFrame, levels: int = 6) -> DataFrame:
+    """doc_id and result: each document's sections (node_id, parent_id, ord, title, page_index, text) as nested JSON.
+
+    Levels are folded from the deepest up; nodes without children have no list of them.
+    """
+    rows = sections.withColumn("_own", F.struct("title", "node_id", "page_index", "text")).withColumn("_json", F.to_json("_own"))
+    for _ in range(levels):
+        kids = rows.filter("parent_id is not null").groupBy("doc_id", F.col("parent_id").alias("node_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "node_id", "_json"))), lambda x: x["_json"]), ",").alias("_kids"))
+        own = F.to_json("_own")
+        rows = rows.drop("_json", "_kids").join(kids, ["doc_id", "node_id"], "left")
+        rows = rows.withColumn("_json", F.when(F.col("_kids").isNull(), own).otherwise(F.concat(F.substring(own, F.lit(1), F.length(own) - 1), F.lit(',"nodes":['), "_kids", F.lit("]}"))))
+    top = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "node_id", "_json"))), lambda x: x["_json"]), ",")
+    return rows.filter("parent_id is null").groupBy("doc_id").agg(F.concat(F.lit("["), top, F.lit("]")).alias("result"))
+
+
 def dedupe_siblings(sections: DataFrame) -> DataFrame:
     """Siblings with one title key and page become one: longest text, first summary that is not empty."""
     first = F.col("preorder")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from leafspan.functions import score as S
 from leafspan.functions import text as T
 from leafspan.operators import chunk as C
+from leafspan.operators import fallback as FB
 from leafspan.operators import markdown as M
 from leafspan.operators import normalize as N
 from leafspan.operators import outline as O
@@ -238,30 +239,82 @@ def evidence_package(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "section_id", "evidence_score", F.col("evidence_rank").cast("long").alias("evidence_rank"))
 
 
-def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations as Markdown lines: a header per turn, of level turn % 3 + 1, then the text's first line."""
+def _markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as Markdown documents: a header per turn, a page comment before every third, whole texts between."""
     c = _t(spark, sf_dir, "conversations")
-    head = c.select(F.col("conv_id").alias("doc_id"), (2 * F.col("turn")).cast("int").alias("line"), F.concat(F.repeat(F.lit("#"), (F.col("turn") % 3 + 1).cast("int")), F.lit(" "), F.col("role"), F.lit(" "), F.col("turn")).alias("text"))
-    body = c.select(F.col("conv_id").alias("doc_id"), (2 * F.col("turn") + 1).cast("int").alias("line"), F.element_at(F.split("text", "\n"), 1).alias("text"))
-    return head.unionByName(body)
+    page = F.when(F.col("turn") % 3 == 1, F.concat(F.lit("<!-- page: "), F.col("turn"), F.lit(" -->\n"))).otherwise("")
+    head = F.concat(F.repeat(F.lit("#"), ((F.col("turn") * 5 + F.col("conv_id")) % 6 + 1).cast("int")), F.lit(" "), F.col("role"), F.lit(" "), F.col("turn"), F.lit("\n"))
+    turns = F.transform(F.array_sort(F.collect_list(F.struct("turn", F.concat(page, head, F.coalesce("text", F.lit(""))).alias("t")))), lambda x: x["t"])
+    return c.groupBy(F.col("conv_id").alias("doc_id")).agg(F.array_join(turns, "\n").alias("text"))
 
 
-_TURNS_SQL = """h AS (SELECT conv_id AS doc_id, CAST(2 * turn AS INT) AS line, CAST(turn % 3 + 1 AS INT) AS level, role || ' ' || turn AS title FROM conversations)"""
+_MARKDOWN_SQL = """d AS (SELECT conv_id AS doc_id, string_agg(CASE WHEN turn % 3 = 1 THEN '<!-- page: ' || turn || ' -->' || chr(10) ELSE '' END || repeat('#', CAST((turn * 5 + conv_id) % 6 + 1 AS INT)) || ' ' || role || ' ' || turn || chr(10) || coalesce(text, ''), chr(10) ORDER BY turn) AS text FROM conversations GROUP BY 1),
+sp AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM d),
+l0 AS (SELECT doc_id, CAST(unnest(range(len(l))) AS INT) AS line, unnest(l) AS text FROM sp),
+l1 AS (SELECT *, CASE WHEN regexp_matches(text, '<!--\\s*page:\\s*(\\d+)\\s*-->') THEN CAST(regexp_extract(text, '<!--\\s*page:\\s*(\\d+)\\s*-->', 1) AS INT) END AS mark, regexp_matches(text, '^\\s*(```|~~~)') AS fence FROM l0),
+l AS (SELECT *, coalesce(last_value(mark IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1) AS page, sum(fence::INT) OVER (PARTITION BY doc_id ORDER BY line ROWS UNBOUNDED PRECEDING) % 2 = 1 AS open FROM l1),
+h0 AS (SELECT doc_id, line, page, length(regexp_extract(text, '^(#{1,6})\\s+(.+?)\\s*$', 1)) AS lev, regexp_extract(text, '^(#{1,6})\\s+(.+?)\\s*$', 2) AS raw, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS i FROM l WHERE NOT open AND regexp_matches(text, '^(#{1,6})\\s+(.+?)\\s*$')),
+cl AS (WITH RECURSIVE r AS (SELECT doc_id, i, least(lev, 2) AS lev, greatest(1, least(lev, 2)) AS m FROM h0 WHERE i = 1
+  UNION ALL SELECT h0.doc_id, h0.i, least(h0.lev, r.m + 1), greatest(r.m, least(h0.lev, r.m + 1)) FROM r JOIN h0 ON h0.doc_id = r.doc_id AND h0.i = r.i + 1) SELECT * FROM r),
+h1 AS (SELECT h0.doc_id, line, page, raw, cl.lev - CASE WHEN min(cl.lev) OVER (PARTITION BY doc_id) >= 2 THEN 1 ELSE 0 END AS level FROM h0 JOIN cl USING (doc_id, i)),
+dt AS (SELECT *, CASE WHEN level >= 2 THEN regexp_replace(trim(raw), '^前言[：:]\\s*', '') ELSE trim(raw) END AS title, min(line) FILTER (level = 1) OVER (PARTITION BY doc_id) AS top, lead(line) OVER (PARTITION BY doc_id ORDER BY line) AS next_line FROM h1),
+h AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY line) - 1 AS INT) AS preorder FROM dt WHERE line >= top),
+par AS (SELECT h.*, (SELECT max(p.line) FROM h p WHERE p.doc_id = h.doc_id AND p.line < h.line AND p.level < h.level AND NOT EXISTS (SELECT 1 FROM h q WHERE q.doc_id = h.doc_id AND q.line > p.line AND q.line < h.line AND q.level < h.level)) AS parent_line FROM h),
+body AS (SELECT h.doc_id, h.line, trim(string_agg(l.text, chr(10) ORDER BY l.line), chr(10)) AS text FROM h JOIN l ON l.doc_id = h.doc_id AND l.line >= h.line AND (h.next_line IS NULL OR l.line < h.next_line) GROUP BY ALL)"""
 
 
-@query(f"""WITH {_TURNS_SQL} SELECT doc_id, line, level, title, (SELECT max(p.line) FROM h p WHERE p.doc_id = h.doc_id AND p.line < h.line AND p.level < h.level AND NOT EXISTS (SELECT 1 FROM h q WHERE q.doc_id = h.doc_id AND q.line > p.line AND q.line < h.line AND q.level < h.level)) AS parent_line,
-  printf('%04d', row_number() OVER (PARTITION BY doc_id ORDER BY line) - 1) AS node_id FROM h""")
-def markdown_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = _turns(spark, sf_dir)
-    return M.section_rows(lines, M.headers(lines)).select("doc_id", "line", "level", "title", "parent_line", "node_id")
+def _sections(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    lines = M.page_of_lines(M.to_lines(_markdown(spark, sf_dir)))
+    return lines, M.section_rows(lines, M.after_first_top(M.clamp_levels(M.headers(lines))))
 
 
-@query(f"""WITH {_TURNS_SQL}, e AS (SELECT h.*, (SELECT max(p.line) FROM h p WHERE p.doc_id = h.doc_id AND p.line < h.line AND p.level < h.level) AS parent_line FROM h),
-x AS (WITH RECURSIVE r AS (SELECT doc_id, line, title AS title_path, 0 AS depth FROM e WHERE parent_line IS NULL UNION ALL SELECT e.doc_id, e.line, r.title_path || ' > ' || e.title, r.depth + 1 FROM e JOIN r ON e.doc_id = r.doc_id AND e.parent_line = r.line) SELECT * FROM r)
-SELECT doc_id, line, title_path, CAST(depth AS INT) AS depth, NOT EXISTS (SELECT 1 FROM e WHERE e.doc_id = x.doc_id AND e.parent_line = x.line) AS is_leaf FROM x""")
-def title_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = _turns(spark, sf_dir)
-    return M.with_paths(M.section_rows(lines, M.headers(lines))).select("doc_id", "line", "title_path", "depth", "is_leaf")
+@query(f"""WITH {_MARKDOWN_SQL} SELECT doc_id, line, level, title, parent_line, page, printf('%04d', preorder) AS node_id, sha256(text) AS text_hash FROM par JOIN body USING (doc_id, line)""")
+def markdown_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = _sections(spark, sf_dir)[1].withColumn("text_hash", T.text_hash(F.col("text")))
+    return out.select("doc_id", "line", F.col("level").cast("long").alias("level"), "title", "parent_line", "page", "node_id", "text_hash")
+
+
+@query(f"""WITH {_MARKDOWN_SQL}, x AS (WITH RECURSIVE r AS (SELECT doc_id, line, title AS title_path, 0 AS depth FROM par WHERE parent_line IS NULL UNION ALL SELECT e.doc_id, e.line, r.title_path || ' > ' || e.title, r.depth + 1 FROM par e JOIN r ON e.doc_id = r.doc_id AND e.parent_line = r.line) SELECT * FROM r)
+SELECT x.doc_id, x.line, title_path, CAST(depth AS INT) AS depth, NOT EXISTS (SELECT 1 FROM par e WHERE e.doc_id = x.doc_id AND e.parent_line = x.line) AS is_leaf,
+  CAST((SELECT max(q.preorder) FROM par q WHERE q.doc_id = x.doc_id AND q.line >= x.line AND NOT EXISTS (SELECT 1 FROM par z WHERE z.doc_id = x.doc_id AND z.line > x.line AND z.line <= q.line AND z.level <= p.level)) AS INT) AS subtree_end FROM x JOIN par p ON p.doc_id = x.doc_id AND p.line = x.line""")
+def section_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.with_paths(_sections(spark, sf_dir)[1]).select("doc_id", "line", "title_path", "depth", "is_leaf", "subtree_end")
+
+
+_PAGES_SQL = f"""{_MARKDOWN_SQL},
+ch AS (SELECT *, coalesce(page <> lag(page) OVER (PARTITION BY doc_id ORDER BY line), true)::INT AS new FROM l),
+ru AS (SELECT *, CAST(sum(new) OVER (PARTITION BY doc_id ORDER BY line ROWS UNBOUNDED PRECEDING) AS INT) AS run FROM ch),
+pt AS (SELECT ru.doc_id, run, arg_min(title, struct_pack(v := h1t.level, n := ru.line)) AS own_title FROM ru JOIN dt h1t ON h1t.doc_id = ru.doc_id AND h1t.line = ru.line AND h1t.level <= 2 GROUP BY ALL),
+pn AS (SELECT doc_id, run, any_value(page) AS page_index, trim(string_agg(text, chr(10) ORDER BY line), chr(10)) AS text FROM ru GROUP BY ALL),
+pages AS (SELECT d.doc_id, '0000' AS node_id, NULL AS parent_id, 0 AS ord, coalesce(f.title, 'Document') AS title, coalesce(f.page, (SELECT min_by(page, line) FROM l WHERE l.doc_id = d.doc_id)) AS page_index, coalesce(b.text, '') AS text, false AS untitled
+  FROM d LEFT JOIN (SELECT * FROM dt WHERE line = top) f USING (doc_id) LEFT JOIN body b ON b.doc_id = f.doc_id AND b.line = f.line
+  UNION ALL SELECT pn.doc_id, printf('%04d', pn.run), '0000', pn.run, coalesce(own_title, '第 ' || page_index || ' 页'), page_index, text, own_title IS NULL FROM pn LEFT JOIN pt USING (doc_id, run))"""
+
+
+def _page_nodes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    lines = M.page_of_lines(M.to_lines(_markdown(spark, sf_dir)))
+    return lines, M.page_forest(lines, M.clamp_levels(M.headers(lines)))
+
+
+@query(f"WITH {_PAGES_SQL} SELECT doc_id, node_id, parent_id, title, page_index, sha256(text) AS text_hash, untitled FROM pages")
+def page_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The layout of a node a page."""
+    return _page_nodes(spark, sf_dir)[1].select("doc_id", "node_id", "parent_id", "title", "page_index", T.text_hash(F.col("text")).alias("text_hash"), "untitled")
+
+
+@query(f"""WITH {_PAGES_SQL}, t AS (SELECT *, regexp_replace(replace(text, chr(10), ' '), '^\\s+|\\s+$', '', 'g') AS one FROM pages)
+SELECT doc_id, node_id, CASE WHEN NOT untitled THEN title WHEN one = '' THEN '第 ' || page_index || ' 页' WHEN length(one) <= 30 THEN one ELSE regexp_replace(substr(one, 1, 29) || '…', '^\\s+|\\s+$', '', 'g') END AS title,
+  CASE WHEN length(text) < 600 THEN coalesce(nullif(text, ''), CASE WHEN NOT untitled THEN title WHEN one = '' THEN '第 ' || page_index || ' 页' WHEN length(one) <= 30 THEN one ELSE substr(one, 1, 29) || '…' END) WHEN length(one) <= 320 THEN one ELSE regexp_replace(substr(one, 1, 319) || '…', '^\\s+|\\s+$', '', 'g') END AS summary FROM t""")
+def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Untitled pages called after their text, and a summary for every node."""
+    return M.summarised(M.title_pages(_page_nodes(spark, sf_dir)[1])).select("doc_id", "node_id", "title", "summary")
+
+
+@query(f"""WITH {_PAGES_SQL}, k AS (SELECT doc_id, title, ord FROM pages WHERE ord <= 25), n AS (SELECT doc_id, count(*) AS n FROM l GROUP BY 1), t AS (SELECT doc_id, list(title ORDER BY ord) AS titles FROM k GROUP BY 1)
+SELECT doc_id, len(titles) AS n_titles, '本文档共 ' || n || ' 行，包含以下主要部分：' || array_to_string(titles[1:12], '、') || CASE WHEN len(titles) > 12 THEN '等。' ELSE '。' END AS summary FROM t JOIN n USING (doc_id)""")
+def document_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines, nodes = _page_nodes(spark, sf_dir)
+    return M.document_summaries(nodes, lines).select("doc_id", F.size("titles").cast("long").alias("n_titles"), "summary")
 
 
 @query("""WITH e AS (SELECT user_id AS doc_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS INT) AS line, CAST(day(ts) AS INT) AS page FROM events),
@@ -279,12 +332,22 @@ def tree_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return TR.tree_metrics(t).select("doc_id", "node_count", "root_count", "max_depth", "duplicate_titles")
 
 
-@query("""WITH a AS (SELECT p_type AS title, min_by(p_size, p_partkey) AS a FROM part WHERE p_partkey % 3 <> 0 GROUP BY 1), e AS (SELECT p_type AS title, max_by(p_size, p_partkey) AS e FROM part WHERE p_partkey % 2 = 0 GROUP BY 1), b AS (SELECT a.title AS x, e.title AS y, a, e FROM a FULL JOIN e ON a.title = e.title)
+@query("""WITH a AS (SELECT p_brand || p_type AS title, min_by(p_size, p_partkey) AS a, min_by(length(p_name), p_partkey) AS la, FROM part GROUP BY 1),
+e AS (SELECT replace(p_brand, '#1', '#2') || p_type AS title, max_by(p_partkey % 50 + 1, p_partkey) AS e, max_by(length(p_type), p_partkey) AS le FROM part GROUP BY 1), b AS (SELECT a.title AS x, e.title AS y, a, e, la, le FROM a FULL JOIN e ON a.title = e.title)
 SELECT count(*) FILTER (x IS NOT NULL AND y IS NOT NULL) AS matched, round(count(*) FILTER (x IS NOT NULL AND y IS NOT NULL) / count(x), 4) AS title_precision, round(count(*) FILTER (x IS NOT NULL AND y IS NOT NULL) / count(y), 4) AS title_recall,
-  round(count(*) FILTER (abs(a - e) <= 1) / count(*) FILTER (x IS NOT NULL AND y IS NOT NULL), 4) AS within_one, round(count(*) FILTER (a = e) / count(*) FILTER (x IS NOT NULL AND y IS NOT NULL), 4) AS exact_page FROM b""")
-def tree_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _t(spark, sf_dir, "part").select(F.col("p_type").alias("title"), F.col("p_size").alias("page_index"), F.col("p_partkey").alias("preorder"))
-    return TR.compare_trees(p.filter("preorder % 3 <> 0"), p.filter("preorder % 2 = 0"))
+  round(count(*) FILTER (abs(a - e) <= 1) / count(*) FILTER (x IS NOT NULL AND y IS NOT NULL), 4) AS within_one, round(count(*) FILTER (a = e) / count(*) FILTER (x IS NOT NULL AND y IS NOT NULL), 4) AS exact_page,
+  array_to_string(list_sort(list(y) FILTER (x IS NULL))[1:30], ',') AS missing, array_to_string(list_sort(list(x) FILTER (y IS NULL))[1:30], ',') AS unexpected,
+  array_to_string(list_transform(list_sort(list({t: x, a: a, e: e}) FILTER (x IS NOT NULL AND y IS NOT NULL AND abs(a - e) > 1))[1:20], lambda m: m.t || '/' || m.a || '/' || m.e), ',') AS mismatches,
+  array_to_string(list_transform(list_sort(list({t: x, a: la, e: le}) FILTER (x IS NOT NULL AND y IS NOT NULL))[1:15], lambda m: m.t || '/' || m.a || '/' || m.e), ',') AS lengths FROM b""")
+def tree_comparison_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two views of all parts as trees: titles by brand and type, brands renamed in the second; pages and texts differ."""
+    p = _t(spark, sf_dir, "part")
+    actual = p.select(F.concat("p_brand", "p_type").alias("title"), F.col("p_size").alias("page_index"), F.col("p_partkey").alias("preorder"), F.col("p_name").alias("text"))
+    renamed = F.concat(F.replace(F.col("p_brand"), F.lit("#1"), F.lit("#2")), F.col("p_type"))
+    expected = p.select(renamed.alias("title"), (F.col("p_partkey") % 50 + 1).alias("page_index"), F.col("p_partkey").alias("preorder"), F.col("p_type").alias("text"))
+    out = TR.comparison_report(actual, expected)
+    rows = lambda c, *f: F.array_join(F.transform(c, lambda m: F.concat_ws("/", *[m[x] for x in f])), ",").alias(c)
+    return out.select("matched", "title_precision", "title_recall", "within_one", "exact_page", F.array_join("missing", ",").alias("missing"), F.array_join("unexpected", ",").alias("unexpected"), rows("mismatches", "title", "actual", "expected"), rows("lengths", "title", "actual", "expected"))
 
 
 @query()
@@ -346,6 +409,109 @@ def heading_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.heading_candidates(spans).select("doc_id", "page", F.col("rank").cast("long").alias("rank"), "title", "size", "bold")
 
 
+def _paged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pages, lines and headings: a document per customer, a page per order priority, a line per order, its clerk in words."""
+    o = _t(spark, sf_dir, "orders").withColumn("page", F.substring("o_orderpriority", 1, 1).cast("long"))
+    word = F.element_at(F.array(*map(F.lit, _PAGE_WORDS)), (F.col("o_orderkey") % len(_PAGE_WORDS) + 1).cast("int"))
+    lines = o.select(F.col("o_custkey").alias("doc_id"), "page", F.col("o_orderkey").alias("line"), word.alias("text"), (F.col("o_orderkey") % 7 * 40.0).alias("y"), (F.col("o_orderkey") % 3 * 10.0).alias("x"), (F.col("o_orderkey") % 5 * 4.0 + 12).alias("size"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), " ")
+    pages = lines.groupBy("doc_id", "page").agg(text.alias("plain_text"), F.count("*").alias("block_count")).withColumn("page_height", F.lit(500.0))
+    nth = F.row_number().over(Window.partitionBy("doc_id", "page").orderBy("y", "x", "line"))
+    headings = lines.filter("line % 4 <> 3").withColumn("rank", nth).select("doc_id", "page", "rank", F.col("text").alias("title"), "size")
+    return pages, lines, headings
+
+
+_PAGE_WORDS = ("Q3", "目录", "1.2 Growth of sales", "ab", "Outlook", "第二章 市场", "a long line of words, that goes on; and on", "Costs", "12", "图 3 x", "前言：概述", "no", "Growth of sales")
+_WORDS_SQL = "[" + ", ".join(f"'{w}'" for w in _PAGE_WORDS) + "]"
+_KEY = "lower(translate(regexp_replace({0}, '\\s+', '', 'g'), '：·.()（）', ':'))"
+_NUMBER = """(regexp_matches({0}, '^\\d+(\\.\\d+)+') OR regexp_matches({0}, '^\\d{{1,2}}([\\s、.．:：\\-]|$)') OR regexp_matches({0}, '^第[一二三四五六七八九十\\d]+章') OR regexp_matches({0}, '^[（(][一二三四五六七八九十\\d]+[）)]') OR regexp_matches({0}, '^[一二三四五六七八九十]+[、.]'))"""
+_CJK = "一-鿿0-9年月日！：:（）()·"
+_OUT = "regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace({0}, '\\s+', ' ', 'g')), '([" + _CJK + "]) ([" + _CJK + "])', '\\1\\2', 'g'), '([" + _CJK + "]) ([" + _CJK + "])', '\\1\\2', 'g'), '^前言[：:]\\s*', '')"
+_SENTENCE = "(length({0}) >= 36 OR regexp_matches({0}, '[，。；;？！、]') OR (length({0}) - length(replace({0}, ' ', '')) >= 5 AND length({0}) >= 24))"
+
+
+def _viable(t: str) -> str:
+    return f"(coalesce({t}, '') <> '' AND {_KEY.format(t)} <> '目录' AND NOT (length({t}) < 4 AND NOT {_NUMBER.format(t)} AND NOT regexp_matches({t}, '(?i)^Q\\d+$')) AND NOT ({_SENTENCE.format(t)} AND NOT {_NUMBER.format(t)}))"
+
+
+_PAGED_SQL = f"""ln AS (SELECT o_custkey AS doc_id, CAST(substr(o_orderpriority, 1, 1) AS BIGINT) AS page, o_orderkey AS line, {_WORDS_SQL}[o_orderkey % {len(_PAGE_WORDS)} + 1] AS text, o_orderkey % 7 * 40.0::DOUBLE AS y, o_orderkey % 3 * 10.0::DOUBLE AS x, o_orderkey % 5 * 4.0::DOUBLE + 12 AS size FROM orders),
+pg AS (SELECT doc_id, page, string_agg(text, ' ' ORDER BY line) AS plain, count(*) AS blocks FROM ln GROUP BY ALL),
+hd AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY y, x, line) AS rank FROM ln WHERE line % 4 <> 3),
+ht AS (SELECT doc_id, page, arg_min(text, rank) AS t FROM hd WHERE rank <= 5 AND {_KEY.format("text")} NOT IN ('', '目录') AND (length(text) >= 4 OR {_NUMBER.format("text")}) GROUP BY ALL),
+t3 AS (SELECT doc_id, page, list(text ORDER BY y, x, line)[1:3] AS p FROM ln WHERE y <= 175 GROUP BY ALL),
+tj AS (SELECT doc_id, page, {_OUT.format("array_to_string(p[1:1], ' ')")} AS a, {_OUT.format("array_to_string(p[1:2], ' ')")} AS b, {_OUT.format("array_to_string(p, ' ')")} AS c FROM t3),
+tl AS (SELECT doc_id, page, nullif(trim(substr(CASE WHEN length(a) >= 6 OR {_NUMBER.format("a")} THEN a WHEN length(b) >= 6 OR {_NUMBER.format("b")} THEN b ELSE c END, 1, 80)), '') AS t FROM tj),
+pl0 AS (SELECT doc_id, page, {_OUT.format("trim(regexp_split_to_array(trim(regexp_replace(plain, '\\s+', ' ', 'g')), '[。！？!?；;]')[1])")} AS t FROM pg),
+pl AS (SELECT doc_id, page, nullif(CASE WHEN length(t) > 80 THEN regexp_replace(substr(t, 1, 80), '[，。；;:： ]+$', '') ELSE t END, '') AS t FROM pl0),
+tt AS (SELECT pg.doc_id, pg.page, plain, blocks, CASE WHEN {_viable("ht.t")} THEN ht.t WHEN {_viable("tl.t")} THEN tl.t WHEN {_viable("pl.t")} THEN pl.t END AS title FROM pg LEFT JOIN ht USING (doc_id, page) LEFT JOIN tl USING (doc_id, page) LEFT JOIN pl USING (doc_id, page))"""
+
+
+@query(f"""WITH {_PAGED_SQL} SELECT doc_id, page, title, length(trim(plain)) >= 8 OR blocks >= 2 AS has_text FROM tt""")
+def page_fallback_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = FB.page_titles(*_paged(spark, sf_dir))
+    return rows.select("doc_id", "page", "title", FB.page_has_text(F.col("plain_text"), F.col("block_count")).alias("has_text"))
+
+
+_BARE = "coalesce(nullif(regexp_replace({0}, '^(\\d+(\\.\\d+)+\\s*|\\d{{1,2}}[\\s、.．:：\\-]+|第[一二三四五六七八九十\\d]+章\\s*|[（(][一二三四五六七八九十\\d]+[）)]\\s*|[一二三四五六七八九十]+[、.]\\s*)', ''), ''), {0})"
+
+
+@query(f"""WITH {_PAGED_SQL}, k AS (SELECT doc_id, page, title, plain, {_KEY.format(_BARE.format(_OUT.format("title")))} AS key FROM tt WHERE title IS NOT NULL AND (length(trim(plain)) >= 8 OR blocks >= 2) AND trim(plain) <> ''),
+g AS (SELECT *, lag(key) OVER (PARTITION BY doc_id ORDER BY page) AS last FROM k), e AS (SELECT * FROM g WHERE key = '' OR key IS DISTINCT FROM last),
+d AS (SELECT doc_id, count(*) FILTER (length(trim(plain)) >= 8 OR blocks >= 2) >= 2 AND sum(length(trim(plain))) >= 80 AS enough FROM pg GROUP BY 1)
+SELECT e.doc_id, CAST(row_number() OVER (PARTITION BY e.doc_id ORDER BY page) - 1 AS INT) AS ord, title, CAST(page AS INT) AS page_index, plain AS text, CASE WHEN length(plain) <= 160 THEN plain ELSE regexp_replace(substr(plain, 1, 160), '[，。；;:： ]+$', '') || '…' END AS summary FROM e JOIN d ON d.doc_id = e.doc_id AND enough""")
+def page_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A section a page, of the documents with enough text."""
+    pages, lines, headings = _paged(spark, sf_dir)
+    enough = FB.documents_with_text(pages).filter("enough").select("doc_id")
+    return FB.page_tree(pages.join(enough, "doc_id", "left_semi"), lines, headings).select("doc_id", "ord", "title", "page_index", "text", "summary")
+
+
+@query(f"""WITH {_PAGED_SQL}, k AS (SELECT *, {_KEY.format("t")} AS key FROM ht), g AS (SELECT *, lag(key) OVER (PARTITION BY doc_id ORDER BY page) AS last FROM k)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page) AS VARCHAR) AS structure, t AS title, page FROM g WHERE key IS DISTINCT FROM last""")
+def heading_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return FB.heading_outline(_paged(spark, sf_dir)[2])
+
+
+_SEED_SQL = f"""{_PAGED_SQL},
+en AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY page, line) - 1 AS entry, text AS title, CASE WHEN line % 6 <> 0 THEN page END AS physical, line % 4 + 1 AS level, line % 2 + 1 AS toc FROM ln),
+mx AS (SELECT *, max(size) OVER (PARTITION BY doc_id, page) AS top FROM hd WHERE rank <= 5),
+dm AS (SELECT doc_id, page, string_agg(CASE WHEN size >= top * 0.95 THEN trim(text) END, '' ORDER BY rank) AS dom, max(size) AS size FROM mx GROUP BY ALL),
+nr AS (SELECT doc_id, list(text ORDER BY line) FILTER (y < 260 AND length(text) <= 20) AS p, arg_min(text, line) FILTER (length(text) >= 4) AS one FROM ln WHERE page = 1 GROUP BY 1),
+h1p AS (SELECT doc_id, trim(arg_min(text, rank)) AS head FROM hd WHERE page = 1 GROUP BY 1),
+cv0 AS (SELECT doc_id, coalesce(CASE WHEN len(p) >= 2 AND length(trim(p[1] || p[2])) >= 8 THEN trim(p[1] || p[2]) END, head, one) AS cover FROM nr FULL JOIN h1p USING (doc_id)),
+cv AS (SELECT cv0.doc_id, cover, toc FROM cv0 JOIN (SELECT doc_id, min(toc) AS toc FROM en GROUP BY 1) USING (doc_id) WHERE cover IS NOT NULL AND cover <> '' AND toc > 1),
+r0 AS (SELECT en.*, dom, dm.size, cover FROM en LEFT JOIN dm ON dm.doc_id = en.doc_id AND dm.page = en.physical LEFT JOIN cv ON cv.doc_id = en.doc_id WHERE physical IS NOT NULL),
+r1 AS (SELECT *, CASE WHEN coalesce(dom, '') <> '' AND size >= 32 AND (contains({_KEY.format("dom")}, {_KEY.format("title")}) OR contains({_KEY.format("title")}, {_KEY.format("dom")})) THEN 1 ELSE level END AS lv,
+  CASE WHEN size >= 22 AND length({_KEY.format("title")}) >= 4 AND length({_KEY.format("coalesce(dom, '')")}) >= 4 AND substr({_KEY.format("title")}, 1, 4) = substr({_KEY.format("dom")}, 1, 4) THEN dom ELSE title END AS name, row_number() OVER (PARTITION BY doc_id ORDER BY entry) AS i FROM r0),
+num AS (WITH RECURSIVE w AS (SELECT doc_id, i, list_concat(list_transform(range(lv - 1), lambda z: 0), [1 + CASE WHEN lv = 1 AND cover IS NOT NULL THEN 1 ELSE 0 END]) AS c FROM r1 WHERE i = 1
+  UNION ALL SELECT r1.doc_id, r1.i, list_concat(list_concat(w.c, list_transform(range(8), lambda z: 0))[1:r1.lv - 1], [list_concat(w.c, list_transform(range(8), lambda z: 0))[r1.lv] + 1 + CASE WHEN r1.lv = 1 AND w.c[1] = 0 AND cover IS NOT NULL THEN 1 ELSE 0 END]) FROM w JOIN r1 ON r1.doc_id = w.doc_id AND r1.i = w.i + 1) SELECT * FROM w),
+al AS (SELECT r1.doc_id, entry + 2 AS pos, CASE WHEN cover IS NOT NULL THEN '0.' ELSE '' END || array_to_string(c, '.') AS structure, name AS title, physical AS page FROM r1 JOIN num USING (doc_id, i)
+  UNION ALL SELECT doc_id, 0, '0', cover, 1 FROM cv UNION ALL SELECT doc_id, 1, '0.1', '目录', toc FROM cv)"""
+
+
+@query(f"WITH {_SEED_SQL} SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS INT) AS seq, structure, title, CAST(page AS BIGINT) AS page FROM al")
+def seeded_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as contents entries of four levels, some without a page; covers where the contents come after page 1."""
+    _, lines, headings = _paged(spark, sf_dir)
+    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("page", "line")) - 1
+    entries = lines.select("doc_id", nth.alias("entry"), F.col("text").alias("title"), F.when(F.col("line") % 6 != 0, F.col("page")).alias("physical_page"), (F.col("line") % 4 + 1).alias("level"), (F.col("line") % 2 + 1).alias("toc_page"))
+    return FB.seeded_outline(entries, lines, headings).select("doc_id", "seq", "structure", "title", "page")
+
+
+@query("""WITH t AS (SELECT c_nationkey AS doc_id, c_custkey AS node, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE c_custkey - c_custkey % 5 END AS parent, c_custkey AS ord, CASE WHEN c_custkey % 5 = 1 AND c_custkey % 3 > 0 THEN '目录' ELSE c_name END AS title, CASE WHEN c_custkey % 2 = 0 THEN 1 ELSE 2 END AS page FROM (SELECT * REPLACE ((c_custkey // 10) % 25 AS c_nationkey) FROM customer)),
+n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, parent ORDER BY ord) AS nth FROM t), k AS (SELECT doc_id, parent AS node, count(*) AS n, max(title) FILTER (nth = 1) AS f FROM n WHERE parent IS NOT NULL GROUP BY ALL),
+c AS (SELECT n.doc_id, n.node, n.parent AS up, n.nth AS pos FROM n JOIN k USING (doc_id, node) WHERE nth = 1 AND page = 1 AND k.n >= 3 AND f = '目录'),
+m AS (SELECT n.doc_id, n.node, n.title, CASE WHEN c.node IS NOT NULL AND nth > 2 THEN c.up ELSE n.parent END AS parent, CASE WHEN c.node IS NOT NULL AND nth > 2 THEN c.pos ELSE nth END AS a, CASE WHEN c.node IS NOT NULL AND nth > 2 THEN nth ELSE 0 END AS b FROM n LEFT JOIN c ON c.doc_id = n.doc_id AND c.node = n.parent)
+SELECT doc_id, node, parent, CAST(row_number() OVER (PARTITION BY doc_id, parent ORDER BY a, b) - 1 AS INT) AS ord, title FROM m""")
+def cover_reshaping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers in fives as trees, some with contents first."""
+    k = F.col("c_custkey")
+    rows = _t(spark, sf_dir, "customer").select(
+        (F.floor(k / 10) % 25).alias("doc_id"), k.alias("node"), F.when(k % 5 != 0, k - k % 5).alias("parent"), k.alias("ord"), F.when((k % 5 == 1) & (k % 3 > 0), "目录").otherwise(F.col("c_name")).alias("title"), F.when(k % 2 == 0, 1).otherwise(2).alias("page_index"),
+    )
+    return FB.out_of_cover(rows).select("doc_id", "node", "parent", "ord", "title")
+
+
 @query("""WITH e AS (SELECT p_brand AS doc_id, p_partkey AS entry, CASE WHEN p_size <= 20 THEN p_size END AS physical_page FROM part), w AS (SELECT DISTINCT p_brand AS doc_id, p_partkey % 40 AS page FROM part), m AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY entry) AS nth FROM e WHERE physical_page IS NOT NULL),
 n AS (SELECT w.doc_id, w.page, entry FROM w JOIN m ON m.doc_id = w.doc_id AND abs(physical_page - w.page) <= 2)
 SELECT * FROM n UNION ALL SELECT w.doc_id, w.page, entry FROM w JOIN m ON m.doc_id = w.doc_id AND nth <= 6 WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.doc_id = w.doc_id AND n.page = w.page)""")
