@@ -159,8 +159,12 @@ def localization_score(prior: Column, section_score: Column, title_hits: Column,
     return F.round(prior + 100 * section_score + 3 * title_hits + 2 * path_hits + summary_hits + 1.5 * time_hits, 8)
 
 
+def sibling_overlap(title_hits: Column, path_hits: Column, summary_hits: Column, time_hits: Column) -> Column:
+    return 3.0 * title_hits + 2.0 * path_hits + summary_hits + 1.5 * time_hits
+
+
 def evidence_score(localization: Column, supporting: Column, title_hits: Column, path_hits: Column, summary_hits: Column) -> Column:
     return F.round(localization + 0.5 * supporting + 2 * title_hits + 1.5 * path_hits + summary_hits, 8)
 
 
-__all__ = ["cosine", "trigrams", "similarity", "word_similarity", "lexical_score", "rrf", "localization_score", "evidence_score", "term_hits"]
+__all__ = ["cosine", "trigrams", "similarity", "word_similarity", "lexical_score", "rrf", "localization_score", "sibling_overlap", "evidence_score", "term_hits"]

@@ -141,7 +141,7 @@ def contextual_text(path: Column, title: Column, body: Column) -> Column:
 
 
 def sentences(t: Column) -> Column:
-    return F.filter(F.transform(F.regexp_extract_all(t, F.lit(r"(?s).+?(?:[。！？!?；;](?=\s|$)|$)"), F.lit(0)), lambda x: F.trim(x)), lambda x: x != "")
+    return F.filter(F.transform(F.regexp_extract_all(t, F.lit(r"(?s).+?(?:[。！？!?；;](?=\s|$)|$)"), F.lit(0)), squeeze_ends), lambda x: x != "")
 
 
 def uuid5(name: Column) -> Column:
@@ -159,6 +159,11 @@ def chunk_id(doc: Column, section: Column, index: Column) -> Column:
     return uuid5(F.concat_ws(":", doc, section, index.cast("string")))
 
 
+def document_id(seed: Column) -> Column:
+    """An id from a seed: the SHA-256 of a file's bytes, its path, or the beginning of its text."""
+    return uuid5(seed)
+
+
 def text_hash(t: Column) -> Column:
     return F.sha2(F.encode(t, "UTF-8"), 256)
 

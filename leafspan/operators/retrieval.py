@@ -148,6 +148,29 @@ def localize(pool: DataFrame, tree: DataFrame, terms: Column, times: Column, eac
     return rows.withColumn("local_rank", F.row_number().over(w)).filter(F.col("local_rank") <= each)
 
 
+def ranked_siblings(focus: DataFrame, sections: DataFrame, terms: Column, times: Column, most: int = 2) -> DataFrame:
+    """The siblings of each focus section (doc_id, section_id, parent_id) that the query overlaps most: adds nth.
+
+    sections: doc_id, section_id, parent_id, title, title_path, summary. Ties go to the last path.
+    """
+    other = sections.select("doc_id", "parent_id", F.col("section_id").alias("r_id"), F.col("title").alias("r_title"), F.col("title_path").alias("r_path"), F.coalesce("summary", F.lit("")).alias("r_summary"))
+    rows = focus.filter("parent_id is not null").select("doc_id", "section_id", "parent_id").join(other, ["doc_id", "parent_id"]).filter("r_id <> section_id")
+    rows = rows.withColumn("overlap", S.sibling_overlap(*[T.term_hits(F.col(c), terms) for c in ("r_title", "r_path", "r_summary")], T.term_hits(F.concat_ws("\n", "r_title", "r_path", "r_summary"), times)))
+    w = Window.partitionBy("doc_id", "section_id").orderBy(F.desc("overlap"), F.desc("r_path"), "r_id")
+    return rows.withColumn("nth", F.row_number().over(w)).filter(F.col("nth") <= most).drop("parent_id")
+
+
+def relatives(focus: DataFrame, sections: DataFrame, hops: int = 2, depth: int = 1) -> DataFrame:
+    """Ancestors within hops, from the root, and descendants within depth, in path order: doc_id, section_id, role, r_id,
+    r_depth, r_path, r_summary. focus: doc_id, section_id, ancestor_ids, depth; sections also title_path and summary."""
+    other = sections.select("doc_id", F.col("section_id").alias("r_id"), F.col("ancestor_ids").alias("r_up"), F.col("depth").alias("r_depth"), F.col("title_path").alias("r_path"), F.coalesce("summary", F.lit("")).alias("r_summary"))
+    me = focus.select("doc_id", "section_id", "depth")
+    up = focus.select("doc_id", "section_id", "depth", F.explode("ancestor_ids").alias("r_id")).join(other.drop("r_up"), ["doc_id", "r_id"]).filter(F.col("depth") - F.col("r_depth") <= hops)
+    down = me.join(other.withColumn("section_id", F.explode("r_up")), ["doc_id", "section_id"]).filter(F.col("r_depth") - F.col("depth") <= depth)
+    columns = ["doc_id", "section_id", "r_id", "r_depth", "r_path", "r_summary"]
+    return up.select(*columns, F.lit("ancestor").alias("role")).unionByName(down.select(*columns, F.lit("descendant").alias("role")))
+
+
 def neighbours(chunks: DataFrame, supporting: DataFrame, window: int = 1, most: int = 6) -> DataFrame:
     """Supporting chunks and those within window places in the same section. Both: doc_id, section_id, chunk_index."""
     around = supporting.select("doc_id", "section_id", F.col("chunk_index").alias("at"), F.explode(F.sequence(F.lit(-window), F.lit(window))).alias("off"))

@@ -14,8 +14,10 @@ from leafspan.operators import fallback as FB
 from leafspan.operators import markdown as M
 from leafspan.operators import normalize as N
 from leafspan.operators import outline as O
+from leafspan.operators import report as RP
 from leafspan.operators import retrieval as R
 from leafspan.operators import trees as TR
+from leafspan.sources import tables as TB
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -595,6 +597,138 @@ def reranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.rerank(short, ranking).select("doc_id", "section_id", F.round("localization_score", 6).alias("localization_score"), F.col("local_rank").cast("long").alias("local_rank"))
 
 
+_TITLES = ("前言：2025 年 概述", "1.2.3 Growth of “sales”", "第三章 市场", "（二）成本", "一、 总 论", "12", "07 Costs", "2024 report", "图 3 x", "资料来源 y", "a long line of words, which goes on", "one two three four five six seven", "二十", "Growth. of (sales)…", "中 国 game 2 年", "")
+_TITLES_SQL = "[" + ", ".join(f"'{w}'" for w in _TITLES) + "]"
+_NUMBER_KEY = """CASE WHEN regexp_matches({0}, '^\\d+(\\.\\d+)+') THEN regexp_extract({0}, '^\\d+(\\.\\d+)+') WHEN regexp_matches({0}, '^\\d{{1,2}}([\\s、.．:：\\-]|$)') THEN regexp_extract({0}, '^\\d{{1,2}}')
+  WHEN regexp_matches({0}, '^第[一二三四五六七八九十\\d]+章') THEN regexp_extract({0}, '^第([一二三四五六七八九十\\d]+)章', 1) WHEN regexp_matches({0}, '^[（(][一二三四五六七八九十\\d]+[）)]') THEN regexp_extract({0}, '^[（(]([一二三四五六七八九十\\d]+)[）)]', 1) WHEN regexp_matches({0}, '^[一二三四五六七八九十]+[、.]') THEN regexp_extract({0}, '^([一二三四五六七八九十]+)[、.]', 1) END"""
+_HALF = "lower(replace(translate(regexp_replace({0}, '\\s+', '', 'g'), '：；，。（）【】—–“”‘’', ':;,.()[]--\"\"' || chr(39) || chr(39)), '…', '...'))"
+
+
+@query(f"""WITH t AS (SELECT p_partkey, p_name, {_TITLES_SQL}[p_partkey % {len(_TITLES)} + 1] AS t, {_TITLES_SQL}[(p_partkey // {len(_TITLES)}) % {len(_TITLES)} + 1] AS u FROM part), k AS (SELECT *, {_KEY.format("t")} AS tk, {_KEY.format("u")} AS uk, {_NUMBER_KEY.format("t")} AS num, {_OUT.format("t")} AS o FROM t)
+SELECT p_partkey, regexp_replace(regexp_replace(trim(t), '^前言[：:]\\s*', ''), '(\\d)\\s+年', '\\1年') AS below, regexp_replace(trim(t), '(\\d)\\s+年', '\\1年') AS top, {_HALF.format("t")} AS half, tk AS page_key, o AS output, {_KEY.format(_BARE.format(_OUT.format("t")))} AS bare, num AS number, CAST(len(string_split(num, '.')) AS INT) AS level,
+  CASE WHEN contains(num, '.') THEN regexp_replace(num, '\\.[^.]*$', '') END AS parent, regexp_matches(trim(t), '^(\\d{{2}}|第[一二三四五六七八九十\\d]+章|[一二三四五六七八九十]+)$') AS marker, {_SENTENCE.format("t")} AS sentence, regexp_matches(t, '^[图表]\\s*\\d+') OR starts_with(t, '资料来源') OR starts_with(t, '来源：') AS caption,
+  length(tk) >= 4 AND length(uk) >= 4 AND substr(tk, 1, 4) = substr(uk, 1, 4) AS prefix, tk = uk OR contains(tk, uk) OR contains(uk, tk) OR (length(tk) >= 4 AND length(uk) >= 4 AND substr(tk, 1, 4) = substr(uk, 1, 4)) AS overlap,
+  TRY_CAST(CASE WHEN regexp_matches(p_name, '^[+-]?\\d+$') THEN p_name END AS INT) AS page FROM k""")
+def title_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cleaning, keys, numbers and predicates of titles, a list of forms over all parts."""
+    pick = lambda n: F.element_at(F.array(*map(F.lit, _TITLES)), (F.pmod(n, F.lit(len(_TITLES))) + 1).cast("int"))
+    k = F.col("p_partkey")
+    rows = _t(spark, sf_dir, "part").select("p_partkey", "p_name", pick(k).alias("t"), pick(F.floor(k / len(_TITLES))).alias("u"))
+    t, u = F.col("t"), F.col("u")
+    rows = rows.withColumns({"num": T.section_number(t), "tk": T.page_key(t), "uk": T.page_key(u)})
+    return rows.select(
+        "p_partkey", T.display_title(t, F.lit(2)).alias("below"), T.display_title(t, F.lit(1)).alias("top"), T.markdown_key(t).alias("half"), F.col("tk").alias("page_key"), T.output_title(t).alias("output"), N.bare_key(t).alias("bare"),
+        F.col("num.key").alias("number"), F.col("num.level").alias("level"), T.parent_number(F.col("num.key")).alias("parent"), T.chapter_marker(t).alias("marker"), T.sentence_like(t).alias("sentence"), T.caption_like(t).alias("caption"),
+        T.share_prefix(t, u).alias("prefix"), T.titles_overlap(F.col("tk"), F.col("uk")).alias("overlap"), T.nullable_int(F.col("p_name")).alias("page"),
+    )
+
+
+@query("""WITH b AS (SELECT l_orderkey, l_linenumber, greatest(0.0, l_partkey % 97 * 6.0 - 8)::DOUBLE AS x0, greatest(0.0, l_suppkey % 89 * 9.0 - 8)::DOUBLE AS y0, least(612.0, l_partkey % 97 * 6.0 + l_quantity + 8)::DOUBLE AS x1, least(860.0, l_suppkey % 89 * 9.0 + l_quantity + 8)::DOUBLE AS y1 FROM lineitem)
+SELECT a.l_orderkey, a.l_linenumber, round(greatest(0, a.x1 - a.x0) * greatest(0, a.y1 - a.y0), 4) AS area, a.x0 - b.x1 <= 24 AND b.x0 - a.x1 <= 24 AND a.y0 - b.y1 <= 24 AND b.y0 - a.y1 <= 24 AS touch,
+  round(greatest(0, greatest(a.x1, b.x1) - least(a.x0, b.x0)) * greatest(0, greatest(a.y1, b.y1) - least(a.y0, b.y0)), 4) AS joined_area FROM b a JOIN b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1""")
+def box_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes of items, grown, beside those of the next item of the order."""
+    li = _t(spark, sf_dir, "lineitem")
+    x, y, q = F.col("l_partkey") % 97 * 6.0, F.col("l_suppkey") % 89 * 9.0, F.col("l_quantity").cast("double")
+    rows = li.select("l_orderkey", "l_linenumber", O.grown(O.box(x, y, x + q, y + q), F.lit(612.0), F.lit(860.0)).alias("a"))
+    after = rows.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("a").alias("b"))
+    a, b = F.col("a"), F.col("b")
+    return rows.join(after, ["l_orderkey", "l_linenumber"]).select("l_orderkey", "l_linenumber", F.round(O.area(a), 4).alias("area"), O.touching(a, b).alias("touch"), F.round(O.area(O.joined(a, b)), 4).alias("joined_area"))
+
+
+_SCOPES = (" 2024 Q3 and q1", " 2025 第一季度", " Q2", " 3 季度", "", " why 2023")
+_NAMES = {"China": ["China", "中国", "PRC"], "Games": ["games", "game"], "Sales": ["sales"]}
+_QUARTER = "coalesce(map_extract(MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in (T.QUARTERS | {f"q{i}": f"Q{i}" for i in range(1, 5)}).items()) + "}, lower(replace({0}, ' ', '')))[1], upper({0}))"
+_TIME = "(?i)(?:\\b(20\\d{2})\\s*)?(Q[1-4]|[1-4]\\s*季度|第[一二三四1-4]季度)"
+
+
+@query(f"""WITH q AS (SELECT item_id, trim(regexp_replace(substr(text, 1, 40) || ['{"', '".join(_SCOPES)}'][item_id % 6 + 1], '\\s+', ' ', 'g')) AS q FROM benchmark),
+f AS (SELECT *, regexp_extract_all(q, '{_TIME}', 1) AS y, regexp_extract_all(q, '{_TIME}', 2) AS k, list_sort(list_distinct(regexp_extract_all(q, '\\b(20\\d{{2}})\\b', 1))) AS years FROM q),
+p AS (SELECT *, list_filter(list_transform(range(1, len(k) + 1), lambda i: coalesce(y[i], '') || {_QUARTER.replace("{0}", "k[i]")}), lambda x: x <> '') AS ql, list_filter(regexp_extract_all(q, '[A-Za-z0-9+.-]{{2,}}'), lambda t: lower(t) NOT IN ('the','and','for','with','from','into','that','this','what','which','when','where','why','how')) AS terms FROM f),
+d AS (SELECT * REPLACE (list_concat(terms, CASE WHEN contains(q, '季度') THEN CASE WHEN contains(q, '第一季度') THEN ['第一季度', '第一', '季度'] ELSE ['季度'] END ELSE [] END) AS terms), ql AS qs, CASE WHEN regexp_matches(q, '[一-鿿]') THEN CASE WHEN regexp_matches(q, '[A-Za-z]') THEN 'mixed' ELSE 'zh' END WHEN regexp_matches(q, '[A-Za-z]') THEN 'en' ELSE 'unknown' END AS language FROM p)
+SELECT item_id, language, array_to_string(years, ',') AS years, array_to_string(list_sort(list_distinct(qs)), ',') AS quarters, len(list_distinct(terms)) AS n_terms,
+  len(list_distinct(list_concat(list_concat(list_transform(terms, lambda t: lower(t)), years), list_transform(list_filter(qs, lambda x: regexp_matches(x, '^[A-Za-z0-9]+$')), lambda x: lower(x))))) AS n_search,
+  array_to_string(list_filter(['China', 'Games', 'Sales'], lambda n: CASE n WHEN 'China' THEN regexp_matches(lower(q), '(^|[^a-z0-9])(china|prc)([^a-z0-9]|$)') OR contains(q, '中国') WHEN 'Games' THEN regexp_matches(lower(q), '(^|[^a-z0-9])games?([^a-z0-9]|$)') ELSE regexp_matches(lower(q), '(^|[^a-z0-9])sales([^a-z0-9]|$)') END), ',') AS names,
+  CASE WHEN language = 'unknown' THEN 'unknown_language' WHEN length(q) <= 4 THEN 'very_short_query' WHEN len(list_distinct(terms)) < 2 AND len(years) = 0 AND len(qs) = 0 THEN 'insufficient_terms_and_time_scope' END AS reason FROM d""")
+def query_understanding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Beginnings of test items with time scopes added, as queries."""
+    text = F.concat(F.substring("text", 1, 40), F.element_at(F.array(*map(F.lit, _SCOPES)), (F.col("item_id") % 6 + 1).cast("int")))
+    rows = _t(spark, sf_dir, "benchmark").select("item_id", T.squeeze(text).alias("q"))
+    q = F.col("q")
+    rows = rows.withColumn("s", T.time_scope(q)).withColumn("reason", T.enrichment_reason(q))
+    plain = F.array_join(F.transform("s.years", lambda y: y.cast("string")), ",")
+    return rows.select(
+        "item_id", T.language(q).alias("language"), plain.alias("years"), F.array_join(F.array_sort("s.quarters"), ",").alias("quarters"), F.size(T.query_terms(q)).cast("long").alias("n_terms"), F.size(T.derived_terms(q)).cast("long").alias("n_search"),
+        F.array_join(T.matched_names(q, _NAMES), ",").alias("names"), F.when(F.col("reason") != "generic_intent_with_sparse_terms", F.col("reason")).alias("reason"),
+    )
+
+
+@query(f"""SELECT doc_id, {_uuid_sql("CAST(doc_id AS VARCHAR) || ':' || source || ':' || CAST(doc_id % 7 AS VARCHAR)")} AS chunk_id, {_uuid_sql("sha256(text)")} AS by_content, {_uuid_sql("source || '/' || doc_id || '.md'")} AS by_path, {_uuid_sql("substr(text, 1, 8000)")} AS by_start,
+  sha256(text) AS text_hash, CAST(length(text) - length(replace(text, 'e', '')) AS BIGINT) AS nul_count FROM documents""")
+def identities_and_nuls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids by content, path and beginning; texts with a NUL after every e, cleaned, counted and hashed anew."""
+    d = _t(spark, sf_dir, "documents")
+    dirty = d.withColumn("chunk_text", F.replace(F.col("text"), F.lit("e"), F.concat(F.lit("e"), F.char(F.lit(0)))))
+    rows = TB.without_nuls(dirty, TB.CHUNK_TEXTS, "chunk_text")
+    name = F.col("doc_id").cast("string")
+    return rows.select(
+        "doc_id", T.chunk_id(name, F.col("source"), F.col("doc_id") % 7).alias("chunk_id"), T.document_id(F.sha2("text", 256)).alias("by_content"), T.document_id(F.concat("source", F.lit("/"), name, F.lit(".md"))).alias("by_path"),
+        T.document_id(F.substring("text", 1, 8000)).alias("by_start"), "text_hash", "nul_count",
+    )
+
+
+@query("""WITH s AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(text, '(?s).+?(?:[。！？!?；;]\\s|[。！？!?；;]?$)'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS s FROM documents)
+SELECT doc_id, len(s) AS n_sentences, sha256(array_to_string(s, '|')) AS digest FROM s""")
+def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _t(spark, sf_dir, "documents").select("doc_id", T.sentences(F.coalesce("text", F.lit(""))).alias("s"))
+    return rows.select("doc_id", F.size("s").cast("long").alias("n_sentences"), T.text_hash(F.array_join("s", "|")).alias("digest"))
+
+
+@query("""SELECT user_id AS run, event_type AS kind, count(*) AS calls, count(*) FILTER (event_id % 9 = 0) AS errors, CAST(sum(coalesce(CAST(floor(value) AS BIGINT), 0)) AS BIGINT) AS prompt_tokens, CAST(sum(event_id % 50) AS BIGINT) AS completion_tokens, CAST(sum(coalesce(CAST(floor(value) AS BIGINT), 0)) + sum(event_id % 50) AS BIGINT) AS total_tokens,
+  (SELECT CAST(sum(e.event_id % 1000) AS BIGINT) FROM events e WHERE e.user_id = events.user_id) AS total_ms FROM events GROUP BY ALL""")
+def run_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as calls of models and as stages of runs, a run for each user."""
+    e = _t(spark, sf_dir, "events").withColumn("run", F.col("user_id"))
+    calls = e.select("run", F.col("event_type").alias("kind"), (F.col("event_id") % 9 != 0).alias("ok"), F.floor("value").cast("long").alias("prompt_tokens"), (F.col("event_id") % 50).alias("completion_tokens"))
+    stages = e.select("run", F.col("event_type").alias("stage"), (F.col("event_id") % 1000).alias("duration_ms"))
+    return RP.usage_totals(calls).join(RP.run_metrics(stages).drop("n_stages"), "run")
+
+
+@query("""WITH c AS (SELECT o_custkey AS doc_id, o_orderpriority AS section_id, o_orderkey AS seq, round(o_totalprice, 2) AS s FROM orders), o AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY doc_id, section_id ORDER BY s DESC, seq) = 1),
+f AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, section_id DESC) <= 3), e AS (SELECT *, row_number() OVER (ORDER BY s DESC, section_id DESC) AS r FROM f QUALIFY r <= 40),
+g AS (SELECT doc_id, (SELECT max(s) FROM c WHERE c.doc_id = e.doc_id) AS doc_score, string_agg(section_id, ',' ORDER BY r) AS sections, count(*) AS n, min(r) AS first FROM e GROUP BY doc_id), pg AS (SELECT o_custkey AS doc_id, array_to_string(list_sort(list_distinct(list(day(o_orderdate)))), ',') AS pages FROM orders GROUP BY 1)
+SELECT g.doc_id, doc_score, sections, CAST(row_number() OVER (ORDER BY doc_score DESC, n DESC, first) AS INT) AS doc_order, pages FROM g JOIN pg USING (doc_id)""")
+def evidence_by_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = _t(spark, sf_dir, "orders")
+    ctx = o.select(F.col("o_custkey").alias("doc_id"), F.col("o_orderpriority").alias("section_id"), F.col("o_orderkey").alias("seq"), F.col("o_orderpriority").alias("title_path"), F.round("o_totalprice", 2).alias("evidence_score"))
+    out = R.evidence_documents(R.package(ctx, ctx.groupBy("doc_id").agg(F.max("evidence_score").alias("doc_score")), 3, 40))
+    pages = R.page_set(o.select(F.col("o_custkey").alias("doc_id"), F.dayofmonth("o_orderdate").alias("page_index")), ["doc_id"])
+    return out.join(pages, "doc_id").select("doc_id", "doc_score", F.array_join(F.transform("items", lambda i: i["section_id"]), ",").alias("sections"), "doc_order", F.array_join("page_indexes", ",").alias("pages"))
+
+
+@query(f"""WITH {_GEO_SQL}, few AS (SELECT r_regionkey AS doc_id FROM region WHERE (SELECT count(*) FROM pool WHERE pool.doc_id = r_regionkey) < 250)
+SELECT doc_id, section_id, anchor_id, relation, round(section_score, 6) AS section_score FROM pool UNION ALL SELECT t.doc_id, t.section_id, NULL, 'doc_fallback', 0.0 FROM t JOIN few USING (doc_id) WHERE NOT EXISTS (SELECT 1 FROM pool WHERE pool.section_id = t.section_id)""")
+def candidate_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tree, pool = _pool(spark, sf_dir)
+    docs = tree.filter("parent_id is null").select("doc_id")
+    return R.with_fallback(pool, tree, docs, 250).select("doc_id", "section_id", "anchor_id", "relation", F.round("section_score", 6).alias("section_score"))
+
+
+_GEO_TREE_SQL = _GEO_SQL.split("a AS (SELECT r_regionkey")[0].rstrip().rstrip(",")
+
+
+@query(f"""WITH {_GEO_TREE_SQL}, f AS (SELECT * FROM t WHERE depth = 1), h AS (SELECT f.doc_id, f.section_id, s.section_id AS r_id, s.title_path, 3.0::DOUBLE * (contains(lower(s.title), 'an')::INT + contains(lower(s.title), 'ia')::INT) + 2.0::DOUBLE * (contains(lower(s.title_path), 'an')::INT + contains(lower(s.title_path), 'ia')::INT) AS overlap FROM f JOIN t s ON s.parent_id = f.parent_id AND s.section_id <> f.section_id),
+k AS (SELECT *, row_number() OVER (PARTITION BY section_id ORDER BY overlap DESC, title_path DESC, r_id) AS nth FROM h QUALIFY nth <= 2)
+SELECT doc_id, section_id, r_id, 'sibling' AS role FROM k UNION ALL SELECT f.doc_id, f.section_id, f.parent_id, 'ancestor' FROM f UNION ALL SELECT f.doc_id, f.section_id, t.section_id, 'descendant' FROM f JOIN t ON t.parent_id = f.section_id""")
+def related_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relatives of the nations in the tree of regions, nations and customers."""
+    tree = _geo(spark, sf_dir)
+    focus = tree.filter("depth = 1")
+    words = lambda *w: F.array(*map(F.lit, w)).cast("array<string>")
+    side = R.ranked_siblings(focus, tree, words("an", "ia"), words()).select("doc_id", "section_id", "r_id", F.lit("sibling").alias("role"))
+    return side.unionByName(R.relatives(focus, tree).select("doc_id", "section_id", "r_id", "role"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranked evidence for QUERY: dense and lexical recall, fusion, sections of the best documents, packaging."""
     fused = _fused(spark, sf_dir)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import os
+import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,6 +42,45 @@ def outline_entries(entries: list[dict], level: int = 1) -> list[tuple[str, int]
     return out
 
 
+def read_outline(spark: SparkSession, path: str) -> DataFrame:
+    """entry, title and level of an outline file: a nested or flat JSON list."""
+    raw = spark.read.text(path, wholetext=True).first()
+    found = outline_entries(json.loads(raw["value"]) if raw else [])
+    return spark.createDataFrame([(i, t, k) for i, (t, k) in enumerate(found)], "entry int, title string, level int")
+
+
+def write_json(spark: SparkSession, value: object, path: str) -> None:
+    """value as indented JSON in one file, non-ASCII kept, on any file system that Spark knows."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, True)
+    out.write(json.dumps(value, ensure_ascii=False, indent=2).encode())
+    out.close()
+
+
+def read_json(spark: SparkSession, path: str) -> object | None:
+    """What write_json wrote; None where there is no such file."""
+    if not _exists(spark, path):
+        return None
+    return json.loads(spark.read.text(path, wholetext=True).first()["value"])
+
+
+def public_columns(sections: DataFrame, internal: tuple[str, ...] = ("line", "level", "raw_title", "next_line", "parent_line", "preorder", "subtree_end", "untitled")) -> DataFrame:
+    """Sections without the columns that only building them needs."""
+    return sections.drop(*internal)
+
+
+def without_nuls(rows: DataFrame, columns: tuple[str, ...], hash_of: str | None = None) -> DataFrame:
+    """Rows without NUL characters in columns; adds nul_count, and hashes column hash_of anew as text_hash."""
+    have = [c for c in columns if c in rows.columns]
+    count = sum((F.coalesce(T.nul_count(F.col(c).cast("string")), F.lit(0)) for c in have), F.lit(0))
+    out = rows.withColumn("nul_count", count.cast("long")).withColumns({c: T.strip_nul(F.col(c)) for c in have if dict(rows.dtypes)[c] == "string"})
+    return out.withColumn("text_hash", T.text_hash(F.col(hash_of))) if hash_of else out
+
+
+SECTION_TEXTS = ("doc_id", "node_id", "title", "summary")
+CHUNK_TEXTS = ("doc_id", "node_id", "title", "title_path", "chunk_text", "search_text")
+
+
 def read_profile(text: str) -> dict[str, dict[str, list[str]]]:
     """field -> canonical name -> aliases, the name itself first; blanks dropped, other fields ignored."""
     raw, out = json.loads(text), {}
@@ -87,9 +128,12 @@ def checked_vectors(chunks: DataFrame, dim: int) -> DataFrame:
 def settled(df: DataFrame) -> DataFrame:
     """df checkpointed in the shared folder, for small tables that several later steps read.
 
-    The folder is the session's spark.checkpoint.dir; one is set only where the session has none.
+    The folder is the session's spark.checkpoint.dir; only a session of one process, as in tests, may have none set.
     """
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+        shared = sc.getConf().get("spark.checkpoint.dir", None)
+        if not shared and not sc._jsc.sc().isLocal():
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "checkpoints"))
     return df.checkpoint()
