@@ -187,6 +187,22 @@ def section_number(title: Column) -> Column:
     return F.struct(key.alias("key"), level.alias("level"), rest.alias("rest"))
 
 
+_NUMERAL = r"(?:\d{1,2}|[一二三四五六七八九十\d]*[一二三四五六七八九十][一二三四五六七八九十\d]*)"
+_PREFIXES = (r"\d+(?:\.\d+)+", rf"第{_NUMERAL}章", rf"[（(]{_NUMERAL}[）)]", "[一二三四五六七八九十]+[、.]")
+
+
+def is_numbered(title: Column) -> Column:
+    """Whether section_number finds a number, as one expression."""
+    return F.trim(title).rlike("^(?:" + "|".join((*_PREFIXES, r"\d{1,2}(?:[\s、.．:：\-]|$)")) + ")")
+
+
+def without_number(title: Column) -> Column:
+    """A title without its number; as it is where nothing would be left."""
+    t = F.trim(title)
+    rest = F.trim(F.regexp_replace(t, "^(?:(?:" + "|".join(_PREFIXES) + r")\s*|\d{1,2}[\s、.．:：\-]+)", ""))
+    return F.coalesce(F.nullif(rest, F.lit("")), t)
+
+
 def parent_number(key: Column) -> Column:
     return F.when(F.contains(key, F.lit(".")), F.regexp_replace(key, r"\.[^.]*$", ""))
 

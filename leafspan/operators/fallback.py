@@ -30,16 +30,12 @@ def documents_with_text(pages: DataFrame) -> DataFrame:
     return rows.withColumn("enough", (F.col("meaningful") >= 2) & (F.col("characters") >= 80))
 
 
-def _numbered(t: Column) -> Column:
-    return T.section_number(t)["key"].isNotNull()
-
-
 def heading_titles(headings: DataFrame) -> DataFrame:
     """doc_id, page, title: each page's first heading that is long enough or numbered, and not the contents'."""
     t = T.squeeze(F.col("title"))
     rows = headings.filter("rank <= 5").select("doc_id", "page", "rank", t.alias("title"))
     key = T.page_key(F.col("title"))
-    rows = rows.filter((key != "") & (key != CONTENTS) & ((F.length("title") >= 4) | _numbered(F.col("title"))))
+    rows = rows.filter((key != "") & (key != CONTENTS) & ((F.length("title") >= 4) | T.is_numbered(F.col("title"))))
     return rows.groupBy("doc_id", "page").agg(F.min_by("title", "rank").alias("title"))
 
 
@@ -118,7 +114,7 @@ def top_line_titles(lines: DataFrame, pages: DataFrame) -> DataFrame:
     rows = rows.groupBy("doc_id", "page").agg(F.transform(F.array_sort(F.collect_list(F.struct("rn", "t"))), lambda x: x["t"]).alias("parts"))
     for k in (1, 2, 3):  # columns of their own, so that each is computed once
         rows = rows.withColumn(f"_t{k}", T.output_title(F.array_join(F.filter(F.slice("parts", 1, k), lambda x: x != ""), " ")))
-    good = [F.when((F.length(f"_t{k}") >= 6) | _numbered(F.col(f"_t{k}")), F.col(f"_t{k}")) for k in (1, 2, 3)]
+    good = [F.when((F.length(f"_t{k}") >= 6) | T.is_numbered(F.col(f"_t{k}")), F.col(f"_t{k}")) for k in (1, 2, 3)]
     title = F.trim(F.substring(F.coalesce(*good, F.col("_t3")), 1, TITLE_CHARS))
     return rows.select("doc_id", "page", F.nullif(title, F.lit("")).alias("title")).filter("title is not null")
 
@@ -131,7 +127,7 @@ def plain_title(plain: Column) -> Column:
 
 def viable_title(title: Column) -> Column:
     """Whether a trimmed title is short and telling enough for a section; not if it is null."""
-    t, numbered = title, _numbered(title)
+    t, numbered = title, T.is_numbered(title)
     short = (F.length(t) < 4) & ~numbered & ~t.rlike(r"(?i)^Q\d+$")
     return t.isNotNull() & (t != "") & (T.page_key(t) != CONTENTS) & ~short & ~(T.sentence_like(t) & ~numbered)
 

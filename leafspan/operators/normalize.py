@@ -21,8 +21,7 @@ OUT = "node string, parent string, ord int, preorder int, depth int, title strin
 
 def bare_key(title: Column) -> Column:
     """A title's comparison key without its number."""
-    t = T.output_title(title)
-    return T.page_key(F.coalesce(F.nullif(T.section_number(t)["rest"], F.lit("")), t))
+    return T.page_key(T.without_number(T.output_title(title)))
 
 
 @dataclass(eq=False)
@@ -128,10 +127,11 @@ def normalise_trees(sections: DataFrame, aligned: DataFrame | None = None) -> Da
     if aligned is not None:
         rows = rows.join(aligned.select("doc_id", "node").distinct().withColumn("_good", F.lit(True)), ["doc_id", "node"], "left")
     rows = rows.withColumn("_good", F.coalesce("_good", F.lit(False)) if aligned is not None else F.lit(False))
-    t = T.output_title(F.coalesce("title", F.lit("")))
+    rows = rows.withColumn("title", T.output_title(F.coalesce("title", F.lit(""))))  # a column of its own, computed once
+    t = F.col("title")
     rows = rows.select(
-        "doc_id", F.col("node").cast("string"), F.col("parent").cast("string"), F.col("ord").cast("long"), t.alias("title"), F.col("page_index").cast("double").alias("page"),
-        F.coalesce("text", F.lit("")).alias("text"), F.trim(F.coalesce("summary", F.lit(""))).alias("summary"), F.trim(F.coalesce("node_id", F.lit(""))).alias("node_id"), bare_key(t).alias("key"),
+        "doc_id", F.col("node").cast("string"), F.col("parent").cast("string"), F.col("ord").cast("long"), "title", F.col("page_index").cast("double").alias("page"),
+        F.coalesce("text", F.lit("")).alias("text"), F.trim(F.coalesce("summary", F.lit(""))).alias("summary"), F.trim(F.coalesce("node_id", F.lit(""))).alias("node_id"), T.page_key(T.without_number(t)).alias("key"),
         T.section_number(t)["key"].alias("number"), T.chapter_marker(t).alias("marker"), ((T.sentence_like(t) | T.caption_like(t)) & ~F.col("_good")).alias("weak"),
     )
     kind = dict(rows.dtypes)["doc_id"]

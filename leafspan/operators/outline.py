@@ -122,7 +122,7 @@ def heading_candidates(spans: DataFrame, most: int = 10) -> DataFrame:
 
 def heading_matches(nodes: DataFrame, headings: DataFrame, key: str = "node") -> DataFrame:
     """doc_id and key of nodes whose title agrees with one of the first five headings of their page."""
-    bare = lambda t: T.page_key(F.coalesce(F.nullif(T.section_number(t)["rest"], F.lit("")), t))
+    bare = lambda t: T.page_key(T.without_number(t))
     h = headings.filter("rank <= 5").select("doc_id", F.col("page").alias("page_index"), bare(F.col("title")).alias("h_key")).filter("h_key <> ''")
     n = nodes.select("doc_id", key, "page_index", bare(F.col("title")).alias("n_key")).filter("n_key <> ''")
     return n.join(h, ["doc_id", "page_index"]).filter(T.titles_overlap(F.col("n_key"), F.col("h_key"))).select("doc_id", key).distinct()

@@ -59,7 +59,7 @@ def write_json(spark: SparkSession, value: object, path: str) -> None:
 
 def read_json(spark: SparkSession, path: str) -> object | None:
     """What write_json wrote; None where there is no such file."""
-    if not _exists(spark, path):
+    if not exists(spark, path):
         return None
     return json.loads(spark.read.text(path, wholetext=True).first()["value"])
 
@@ -90,12 +90,13 @@ def read_profile(text: str) -> dict[str, dict[str, list[str]]]:
     return out
 
 
-def write_by_document(df: DataFrame, path: str, buckets: int = 64) -> None:
+def write_by_document(df: DataFrame, path: str, buckets: int = 64, order: str | None = None) -> None:
     """Replaces the rows of the documents in df and leaves those of other documents.
 
     Rows lie in folders by a hash of doc_id (column doc_bucket), so their number does not grow with the documents; a
     write replaces the folders it touches, with the rows of their other documents carried over. One writer at a time.
-    df is checkpointed, as it is read for its ids and for its rows. An empty df changes nothing.
+    df is checkpointed, as it is read for its ids and for its rows. Files are sorted by column order, if given, so that
+    a filter on it skips most of them. An empty df changes nothing.
     """
     spark = df.sparkSession
     new = settled(df.withColumn("doc_bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int")))
@@ -103,13 +104,22 @@ def write_by_document(df: DataFrame, path: str, buckets: int = 64) -> None:
     if not touched:
         return
     rows = new
-    if _exists(spark, path):
+    if exists(spark, path):
         old = spark.read.parquet(path).filter(F.col("doc_bucket").isin(touched)).join(new.select("doc_id").distinct(), "doc_id", "left_anti")
         rows = new.unionByName(old, allowMissingColumns=True)
-    rows.repartition("doc_bucket", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(4))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("doc_bucket").parquet(path)
+    rows = rows.repartition("doc_bucket", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(4)))
+    rows = rows.sortWithinPartitions("doc_bucket", order) if order else rows
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("doc_bucket").parquet(path)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def existing(spark: SparkSession, path: str | None) -> str:
+    """path, if something is there."""
+    if not path or not exists(spark, path):
+        raise ValueError(f"no such input: {path}")
+    return path
+
+
+def exists(spark: SparkSession, path: str) -> bool:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
 
