@@ -7,7 +7,11 @@ step gathers more than one document's front matter.
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -155,25 +159,55 @@ def match_entries(entries: DataFrame, headers: DataFrame) -> DataFrame:
     """doc_id, line, entry, level: each header in turn takes the best entry still free.
 
     Equal titles come before entries contained in the header, those before entries that contain it; the earliest of
-    equals wins. Candidate pairs are found per document by the engine; only they, not the texts, reach the Python loop.
+    equals wins. Keys are made by the engine; the order-dependent choice runs through each document's titles in one task,
+    document after document, and compares distinct keys, each pair once.
     entries: doc_id, entry, title, level; headers: doc_id, line, title.
     """
-    e = entries.select("doc_id", "entry", "level", T.markdown_key(F.col("title")).alias("e_key"))
-    h = headers.select("doc_id", "line", T.markdown_key(F.col("title")).alias("h_key"))
-    some = (F.col("e_key") != "") & (F.col("h_key") != "")
-    fit = F.when(F.col("e_key") == F.col("h_key"), 3).when(some & F.contains("h_key", F.col("e_key")), 2).when(some & F.contains("e_key", F.col("h_key")), 1)
-    pairs = h.join(e, "doc_id").withColumn("fit", fit).filter("fit is not null").select("doc_id", F.col("line").cast("long"), F.col("entry").cast("long"), F.col("level").cast("int"), "fit")
-
-    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
-        used, done, out = set(), set(), []
-        for r in pdf.sort_values(["line", "fit", "entry"], ascending=[True, False, True]).itertuples():
-            if r.line not in done and r.entry not in used:
-                done.add(r.line)
-                used.add(r.entry)
-                out.append((r.doc_id, r.line, r.entry, r.level))
-        return pd.DataFrame(out, columns=["doc_id", "line", "entry", "level"])
-
-    return pairs.groupBy("doc_id").applyInPandas(settle, pairs.select("doc_id", "line", "entry", "level").schema)
+    e = entries.select("doc_id", F.lit(0).alias("kind"), F.col("entry").cast("long").alias("pos"), F.col("level").cast("int"), T.markdown_key(F.col("title")).alias("key"))
+    h = headers.select("doc_id", F.lit(1).alias("kind"), F.col("line").cast("long").alias("pos"), F.lit(0).alias("level"), T.markdown_key(F.col("title")).alias("key"))
+    rows = e.unionByName(h).filter("key is not null")
+
+    def settled(doc, given: list[tuple]) -> list[tuple]:
+        """given: (kind, pos, level, key) of a document, entries first, in order."""
+        free: dict[str, deque] = {}
+        fits: dict[str, list[list[str]]] = {}
+        out = []
+        for kind, pos, level, key in given:
+            if not kind:
+                free.setdefault(key, deque()).append((pos, level))
+                continue
+            if key not in fits:
+                fits[key] = [[key] if key in free else [], [k for k in free if k and k != key and k in key], [k for k in free if key and k != key and key in k]]
+            for keys in fits[key]:
+                heads = [(free[k][0], k) for k in keys if free[k]]
+                if heads:
+                    (entry, own), first = min(heads)
+                    free[first].popleft()
+                    out.append((doc, pos, entry, own))
+                    break
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc, given, kind_of = None, [], None
+        for b in batches:
+            kind_of = b.column(0).type
+            out = []
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if row[0] != doc:
+                    out += settled(doc, given)
+                    doc, given = row[0], []
+                given.append(row[1:])
+            yield matched(out, kind_of)
+        if given:
+            yield matched(settled(doc, given), kind_of)
+
+    def matched(out: list[tuple], kind_of: pa.DataType) -> pa.RecordBatch:
+        kinds = (kind_of, pa.int64(), pa.int64(), pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=["doc_id", "line", "entry", "level"])
+
+    kind = dict(rows.dtypes)["doc_id"]
+    rows = rows.select("doc_id", "kind", "pos", "level", "key").repartition("doc_id").sortWithinPartitions("doc_id", "kind", "pos")
+    return rows.mapInArrow(run, f"doc_id {kind}, line long, entry long, level int")
 
 
 def box(left: Column, top: Column, right: Column, bottom: Column) -> Column:
