@@ -2,7 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept. Stages 1 to 4 return the columns
 of documents (extra columns pass through); the last returns the mixture: a row for each document that is in it.
-Nulls and empty texts: stage 1 rejects texts without a letter. Empty tables pass through as empty tables.
+Nulls and empty texts: stage 1 rejects texts without a letter; the other stages let null and empty texts pass as they
+are. Empty tables pass through as empty tables. Very long texts are worked on whole, in batches of bounded bytes, in every
+stage. Repeated rows get the same language, spans and replacements; of near duplicates see the second stage, of copies
+the last. Ties: of equal language scores the first language in code-point order counts; of equal texts under several ids
+the smallest id stays; documents that meet the end of a budget with one id and size are interchangeable.
 """
 
 from __future__ import annotations
