@@ -12,7 +12,8 @@ FOLD_CELLS cells (hundreds of languages), kernel values and regressions stay two
 
 Training reads about TRAIN_PER_LANG texts of each language (TRAIN_ROWS in all, but 8 for every language at least), chosen
 by a hash of the id; every text is scored.
-Texts that are null or have no letter are "und" with score 0. Repeated rows give repeated results; without any labelled
+Very long texts are scored whole, in batches of bounded bytes. Of equal scores the first language in code-point order
+counts. Texts that are null or have no letter are "und" with score 0. Repeated rows give repeated results; without any labelled
 row every text is "und"; columns other than those named are ignored.
 """
 

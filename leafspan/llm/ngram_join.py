@@ -14,7 +14,8 @@ emits pairs: both yield forests. Verified links are joined to components.
 Sets are compared by 64-bit shingle hashes and classes named by a 64-bit hash of the set: a false match of two
 different sets needs a collision (about rows squared / 2**65).
 
-Nulls, empty texts and texts without words have an empty set and link with nothing. A text with fewer words than a
+Very long texts are hashed whole, in batches of bounded bytes; a class's rows, and blocks, families and roots that very
+many rows share, are never dealt to one task. Nulls, empty texts and texts without words have an empty set and link with nothing. A text with fewer words than a
 shingle is one shingle. Repeated rows are one class; a null id is never a component's name unless all its ids are null.
 Columns other than the id and the text are ignored.
 """

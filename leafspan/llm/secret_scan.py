@@ -5,7 +5,7 @@ anchored at the hit. Every expression is linear in the text: hits inside a match
 one hit has failed for what follows the run, are passed over. Kinds with an embedded checksum or a decodable structure are kept only if that holds. Runs of
 hexadecimal digits have no keyword; they are found as runs of one byte after a table lookup.
 
-Nulls and empty texts give no spans. Positions are code points of the whole text, ends exclusive. Repeated rows give
+Very long texts are scanned whole, in batches of bounded bytes. Nulls and empty texts give no spans. Positions are code points of the whole text, ends exclusive. Repeated rows give
 repeated results; columns other than the id and the text are ignored.
 """
 
