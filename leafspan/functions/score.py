@@ -114,7 +114,8 @@ def similarities(fields: dict[str, Column], query: str) -> Column:
             out[f"{f}_sim"], out[f"{f}_word"] = sims, extents
         return pd.DataFrame(out)
 
-    return score(*fields.values())
+    # nondeterministic in name only: a filter on the result is not moved below it, which would compute it twice
+    return score.asNondeterministic()(*fields.values())
 
 
 def best_extent(field: str, query: list[str]) -> float:
