@@ -572,7 +572,33 @@ def picture_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.picture_regions(boxes)
 
 
-@query()
+_COST = "coalesce(list_sum(list_transform({0}, lambda b: length(b) + 2)), 0)"
+_GAP = "chr(10) || chr(10)"
+
+
+def _fit_sql(name: str, others: str, end: bool = True) -> str:
+    """The most blocks of a list that fit beside others, from its start or, with end false, from its end."""
+    part = f"{name}[1:k]" if end else f"{name}[len({name}) - k + 1:]"
+    return f"coalesce(list_max(list_filter(range(0, len({name}) + 1), lambda k: {' + '.join(_COST.format(o) for o in others.split())} + CASE WHEN k = 0 THEN 0 ELSE {_COST.format(part)} END - 2 <= 600)), 0)"
+
+
+def _cut_sql(t: str, room: str) -> str:
+    return f"CASE WHEN length({t}) <= {room} THEN {t} WHEN {room} <= 3 THEN substr({t}, 1, greatest(0, {room})) ELSE rtrim(substr({t}, 1, {room} - 3), ' ') || '...' END"
+
+
+_CLIP = "CASE WHEN length(x.t) <= 700 THEN x.t ELSE rtrim(substr(x.t, 1, 697), ' ') || '...' END"
+_BUDGET_SQL = f"""WITH c AS (SELECT conv_id, 'c' || conv_id AS tp, min(text) AS fs, coalesce(list({{n: turn, t: coalesce(text, '')}} ORDER BY turn) FILTER (role = 'user'), []) AS us, coalesce(list({{n: turn, t: coalesce(text, '')}} ORDER BY turn) FILTER (role <> 'user'), []) AS ns, list_sort(list_distinct(list(role))) AS r FROM conversations GROUP BY ALL),
+b0 AS (SELECT conv_id, 'Title Path: ' || tp AS head, trim('[Focus] ' || tp || chr(10) || coalesce(fs, ''), ' ') AS focus, list_transform(r[1:1], lambda x: '[Ancestor] ' || x || chr(10) || x) AS a, list_transform(r[2:2], lambda x: '[Descendant] ' || x || chr(10) || x) AS d, list_transform(r, lambda x: '[Sibling] ' || x || chr(10) || x) AS s,
+  list_transform(us, lambda x: trim('[Supporting Chunk p' || x.n || '] ' || {_CLIP}, ' ')) AS u, list_transform(ns, lambda x: trim('[Neighbor Chunk p' || x.n || '] ' || {_CLIP}, ' ')) AS n FROM c),
+b AS (SELECT *, [head, focus] AS co FROM b0),
+b1 AS (SELECT * REPLACE (n[1:{_fit_sql("n", "co a d s u")}] AS n) FROM b), b2 AS (SELECT * REPLACE (s[1:{_fit_sql("s", "co a d u n")}] AS s) FROM b1), b3 AS (SELECT * REPLACE (d[1:{_fit_sql("d", "co a s u n")}] AS d) FROM b2),
+b4 AS (SELECT *, {_fit_sql("a", "co d s u n", False)} AS ka FROM b3), b5 AS (SELECT * REPLACE (CASE WHEN ka = 0 THEN [] ELSE a[len(a) - ka + 1:] END AS a) FROM b4),
+w AS (SELECT *, head || {_GAP} || array_to_string(list_concat(list_concat(list_concat(a, [focus]), list_concat(d, s)), list_concat(u, n)), {_GAP}) AS whole, head || {_GAP} || focus AS core, coalesce(array_to_string(list_concat(u, n), {_GAP}), '') AS rest FROM b5),
+v AS (SELECT *, {_cut_sql("focus", "(600 - length(head) - 2)")} AS cf, {_cut_sql("rest", "(600 - length(core) - 2)")} AS cr FROM w)
+SELECT conv_id, CASE WHEN length(whole) <= 600 THEN whole WHEN length(core) >= 600 THEN head || CASE WHEN trim(cf) = '' THEN '' ELSE {_GAP} || cf END ELSE core || CASE WHEN trim(cr) = '' THEN '' ELSE {_GAP} || cr END END AS context_text FROM v"""
+
+
+@query(_BUDGET_SQL)
 def context_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A context per conversation: turns of the user are supporting chunks, the others neighbours, roles are siblings."""
     c = _t(spark, sf_dir, "conversations")
