@@ -474,6 +474,25 @@ def heading_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return FB.heading_outline(_paged(spark, sf_dir)[2])
 
 
+_CAPTION = "(regexp_matches({0}, '^[图表]\\s*\\d+') OR starts_with({0}, '资料来源') OR starts_with({0}, '来源：'))"
+
+
+@query(f"""WITH {_PAGED_SQL}, nd AS (SELECT doc_id, page, text AS title, max((page = 1)::INT) OVER (PARTITION BY doc_id) = 1 AS has1, {_KEY.format(_BARE.format("trim(text)"))} AS raw, {_KEY.format(_BARE.format(_OUT.format("text")))} AS key FROM hd WHERE rank = 2),
+hk AS (SELECT doc_id, page, {_KEY.format(_BARE.format("trim(text)"))} AS h FROM hd WHERE rank <= 5),
+ok AS (SELECT DISTINCT nd.doc_id, nd.page, 1 AS hit FROM nd JOIN hk USING (doc_id, page) WHERE h <> '' AND raw <> '' AND (h = raw OR contains(raw, h) OR contains(h, raw) OR (length(raw) >= 4 AND length(h) >= 4 AND substr(raw, 1, 4) = substr(h, 1, 4)))),
+q AS (SELECT nd.*, hit, page = 1 OR NOT has1 AS root, page = 1 AND count(*) OVER (PARTITION BY doc_id) > 1 AS inner_node, CASE WHEN page = 1 OR NOT has1 THEN 1 ELSE 2 END AS depth, CASE WHEN {_NUMBER.format("title")} THEN CASE WHEN regexp_matches(title, '^\\d+\\.') THEN len(string_split(regexp_extract(title, '^\\d+(\\.\\d+)+'), '.')) ELSE 1 END END AS level FROM nd LEFT JOIN ok USING (doc_id, page))
+SELECT doc_id, round(count(hit) / count(*), 4) AS heading_alignment, coalesce(round(count(*) FILTER (abs(level - depth) <= 1) / nullif(count(level), 0), 4), 0.0) AS numbering, count(*) - count(DISTINCT key) AS duplicate_title_count, round(1.0 - (count(*) - count(DISTINCT key)) / count(*), 4) AS title_uniqueness,
+  count(*) FILTER (root AND NOT inner_node AND hit IS NULL AND ({_SENTENCE.format("title")} OR {_CAPTION.format("title")})) AS bad_root_count FROM q GROUP BY 1""")
+def title_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures of trees whose sections are the pages' second headings, below that of the first page."""
+    _, _, headings = _paged(spark, sf_dir)
+    two = headings.filter("rank = 2").withColumn("has1", F.max(F.col("page") == 1).over(Window.partitionBy("doc_id")))
+    below = (F.col("page") > 1) & F.col("has1")
+    rows = two.select("doc_id", F.col("page").cast("string").alias("node"), F.when(below, "1").alias("parent"), F.when(below, 1).otherwise(0).alias("depth"), F.col("page").alias("preorder"), "title", F.col("page").alias("page_index"))
+    out = TR.tree_quality(rows, rows.groupBy("doc_id").agg(F.max("page_index").alias("total")), headings)
+    return out.select("doc_id", "heading_alignment", "numbering", "duplicate_title_count", "title_uniqueness", "bad_root_count")
+
+
 _SEED_SQL = f"""{_PAGED_SQL},
 en AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY page, line) - 1 AS entry, text AS title, CASE WHEN line % 6 <> 0 THEN page END AS physical, line % 4 + 1 AS level, line % 2 + 1 AS toc FROM ln),
 mx AS (SELECT *, max(size) OVER (PARTITION BY doc_id, page) AS top FROM hd WHERE rank <= 5),
