@@ -567,6 +567,33 @@ def test_importance_weights_by_brute_force(spark, docs):
     assert importance.bucket_count(10**9) == 2 * importance.bucket_count(10**9 // 4) and importance.bucket_count(0) == importance.LEAST_BUCKETS
 
 
+def test_very_long_texts_are_worked_on_whole(spark):
+    """Texts of some 400 KB: what stands at their end is found by every operator and pipeline stage."""
+    rng = random.Random(12)
+    long = prose(rng, 60_000)
+    item = " ".join(f"unique{i}" for i in range(14))
+    rows = [(1, long), (2, long + " tail"), (3, prose(rng, 50)), (4, prose(rng, 60_000) + f" token=abcdef1234 {item} a@b.org"), (5, "short the and"), (6, "x" * 300_000)]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t), 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, size int")
+    joined = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_join(df, 5, 80).collect()}
+    assert joined[2][1] == 1 and joined[4][1] == 4 and joined[6] == (1, 6) and joined[1][0] > 59_000
+    repeated = repeats.remove_repeats(df.filter("doc_id <> 6")).select("doc_id", "n_bytes", F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"]), F.size("spans"), F.sha2("kept", 256)).collect()
+    assert sorted((tuple(r) for r in repeated), key=str) == brute_repeats([r for r in rows if r[0] != 6], 100)
+    items = spark.createDataFrame([("q", item)], "item_id string, text string")
+    for words in (5, 100_000):
+        hits = {r.doc_id: r for r in decontaminate.decontaminate(df, items, cut=True, block_words=words).collect()}
+        assert sum(h.end - h.start for h in hits[4].hits) == 14 and item not in hits[4].kept_text and not hits[1].hits and hits[6].n_words == 1
+    assert {r.doc_id: [f.kind for f in r.found] for r in secret_scan.find_secrets(df).collect()}[4] == ["assign"]
+    assert "email" in {f.kind for r in pii.find_pii(df).collect() if r.doc_id == 4 for f in r.found}
+    assert {r.doc_id: r.size for r in mixing.mix(df.drop("size")).collect()} == {1: 60_000, 2: 60_001, 3: 50, 4: 60_016, 5: 3, 6: 1}
+    out = df
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = spark.createDataFrame(stage(spark, out, SF).collect(), df.schema)
+        assert {1, 4} <= {r.doc_id for r in out.select("doc_id").collect()}, name
+    kept = {r.doc_id: r.text for r in out.collect()}
+    assert 2 not in kept and "abcdef1234" not in kept[4] and kept[1] == long
+    assert corpus_pipeline.mixing(spark, out, SF).count() > 0
+
+
 def test_pipeline(spark, docs, none):
     out = docs
     for name, stage in corpus_pipeline.STAGES[:-1]:
