@@ -2,14 +2,15 @@
 
 Sections: doc_id, node, parent (null at the root), ord (place among siblings), title, page_index, text, summary,
 node_id. What follows from a title alone is computed by the engine; a tree's shape depends on the order in which its
-siblings are visited, so each document's rows go through one Python function. A group is one document's sections.
+siblings are visited, so documents go through Python one after the other, each held whole.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -113,10 +114,6 @@ def fill_ids(group: list[Section], taken: set[str], path: tuple[int, ...] = ())
         taken.add(s.node_id)
 
 
-def _or_none(v):
-    return None if pd.isna(v) else v
-
-
 def normalise_trees(sections: DataFrame, aligned: DataFrame | None = None) -> DataFrame:
     """doc_id, node, parent, ord, preorder, depth (from 0), title, page_index, text, summary of the ordered trees.
 
@@ -136,24 +133,43 @@ def normalise_trees(sections: DataFrame, aligned: DataFrame | None = None) -> Da
     )
     kind = dict(rows.dtypes)["doc_id"]
 
-    def tree(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ord", "node"], kind="stable")
-        made = {r.node: Section(r.title, None if pd.isna(r.page) else int(r.page), r.text, r.summary, r.node_id, r.key or "", _or_none(r.number), bool(r.marker), bool(r.weak)) for r in pdf.itertuples()}
+    def tree(doc, given: list[tuple]) -> list[tuple]:
+        """given: the columns of rows after doc_id, of one document, in sibling order."""
+        made = {r[0]: Section(r[3], None if r[4] is None else int(r[4]), r[5], r[6], r[7], r[8] or "", r[9], bool(r[10]), bool(r[11])) for r in given}
         roots = []
-        for r in pdf.itertuples():
-            (made[r.parent].below if r.parent in made and r.parent != r.node else roots).append(made[r.node])
+        for node, parent, *_ in given:
+            (made[parent].below if parent in made and parent != node else roots).append(made[node])
         roots = without_weak_roots(in_order(roots))
         fill_ids(roots, set())
-        doc, out = pdf["doc_id"].iloc[0], []
+        out = []
         todo = [(s, None, i, 0) for i, s in reversed(list(enumerate(roots)))]
         while todo:
             s, parent, i, depth = todo.pop()
             out.append((doc, s.node_id, parent, i, len(out), depth, s.title, s.page, s.text, s.summary))
             todo += [(c, s.node_id, j, depth + 1) for j, c in reversed(list(enumerate(s.below)))]
-        out = pd.DataFrame(out, columns=["doc_id", "node", "parent", "ord", "preorder", "depth", "title", "page_index", "text", "summary"])
-        return out.astype({"page_index": "Int32"})
-
-    return fill_summaries(rows.groupBy("doc_id").applyInPandas(tree, f"doc_id {kind}, {OUT}"))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given, doc, doc_kind = [], None, None
+        for b in batches:
+            doc_kind, done = b.column(0).type, []
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if given and row[0] != doc:
+                    done += tree(doc, given)
+                    given = []
+                doc = row[0]
+                given.append(row[1:])
+            yield batch_of(done, doc_kind)
+        if given:
+            yield batch_of(tree(doc, given), doc_kind)
+
+    def batch_of(rows: list[tuple], doc_kind: pa.DataType) -> pa.RecordBatch:
+        word, number = pa.string(), pa.int32()
+        kinds = {"doc_id": doc_kind, "node": word, "parent": word, "ord": number, "preorder": number, "depth": number, "title": word, "page_index": number, "text": word, "summary": word}
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds.values())], names=list(kinds))
+
+    rows = rows.repartition("doc_id").sortWithinPartitions("doc_id", F.col("ord").asc_nulls_last(), "node")
+    return fill_summaries(rows.mapInArrow(run, f"doc_id {kind}, {OUT}"))
 
 
 def fill_summaries(trees: DataFrame) -> DataFrame:
