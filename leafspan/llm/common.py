@@ -35,25 +35,29 @@ def scratch(spark: SparkSession) -> str:
 
 
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-def materialise(df: DataFrame, batch_rows: int | None = None, instead_of: DataFrame | None = None) -> DataFrame:
+def materialise(df: DataFrame, batch_rows: int | None = None, instead_of: DataFrame | None = None, batch_bytes: int | None = None) -> DataFrame:
     """Write df below the checkpoint folder and read it back: cuts lineage and survives lost executors.
 
     instead_of is an earlier such table that only df is made of: it is deleted once df is written.
 
-    With batch_rows, Python receives at most so many rows at once meanwhile (for rows that hold large arrays).
+    With batch_rows, Python receives at most so many rows at once meanwhile (for rows that hold large arrays); with
+    batch_bytes, about so many bytes, or one row.
     """
     gc.collect()
     df.sparkSession._jvm.System.gc()  # the cleaner then drops shuffle files of tables written before
     path, conf = scratch(df.sparkSession), df.sparkSession.conf
-    before = conf.get(ARROW_ROWS)
-    if batch_rows:
-        conf.set(ARROW_ROWS, batch_rows)
+    held = {k: v for k, v in ((ARROW_ROWS, batch_rows), (ARROW_BYTES, batch_bytes)) if v}
+    before = {k: conf.get(k) for k in held}
     try:
+        for k, v in held.items():
+            conf.set(k, v)
         df.write.parquet(path)
     finally:
-        conf.set(ARROW_ROWS, before)
+        for k, v in before.items():
+            conf.set(k, v)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.written_at = path
     if instead_of is not None:

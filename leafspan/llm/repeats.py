@@ -482,15 +482,18 @@ def _covered(starts: np.ndarray, windows: np.ndarray, length: int) -> tuple[np.n
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: the id, n_bytes, spans array<struct<start,end>> removed (bytes), and kept (binary, what is left)."""
+    """Per row: the id, n_bytes, spans array<struct<start,end>> removed (bytes), and kept (binary, what is left).
+
+    Python receives texts in batches of about PACK_BYTES until the result, which is lazy; its batches are the session's.
+    """
     spark = docs.sparkSession
     src = _ordered(docs, id_col, text_col)
     size = src.agg(F.sum(F.length("text"))).first()[0] or 0
     n_parts = partitions(spark, size, 8e6)
-    dealt = materialise(_deal(src, length, n_parts))
+    dealt = materialise(_deal(src, length, n_parts), batch_bytes=PACK_BYTES)
     asked = dealt.filter("grp is not null")
     bits = spark.sparkContext.broadcast(id_filter(asked, "key"))
-    found = materialise(_compare(src, asked, bits, length, n_parts))
+    found = materialise(_compare(src, asked, bits, length, n_parts), batch_bytes=PACK_BYTES)
     runs = dealt.filter("grp is null").select("key", "start", "windows").unionByName(found)
     late = spark.sparkContext.broadcast(id_filter(runs, "key"))
     per_doc = runs.groupBy("key").agg(F.collect_list(F.struct("start", "windows")).alias("runs"))
@@ -526,4 +529,5 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
 def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(table(spark, sf_dir, "documents"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
-    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    digest = out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return materialise(digest, batch_bytes=PACK_BYTES)

@@ -136,6 +136,30 @@ def test_repeats_of_a_line_that_all_share(spark, monkeypatch, big):
     assert sorted((tuple(r) for r in got), key=str) == brute_repeats(rows, 100)
 
 
+def test_repeats_reach_python_in_batches_of_bounded_bytes(spark, monkeypatch, tmp_path):
+    seen, text = str(tmp_path), 1 << 19
+    slices = repeats.byte_slices
+
+    def noted(batches, column, most):
+        def passing():
+            for b in batches:
+                with open(f"{seen}/batches", "a") as f:
+                    f.write(f"{b.column(column).nbytes}\n")
+                yield b
+
+        yield from slices(passing(), column, most)
+
+    monkeypatch.setattr(repeats, "byte_slices", noted)
+    rng = random.Random(5)
+    rows = [(i, rng.randbytes(text // 2).hex()) for i in range(24)] + [(24, "x" * 300)]
+    rows += [(25, rows[0][1])]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{seen}/in/documents.parquet")
+    got = {r[0]: tuple(r)[1:4] for r in repeats.op6_repeats(spark, f"{seen}/in").collect()}
+    assert got == {i: (text, text * (i == 25), int(i == 25)) for i in [*range(24), 25]} | {24: (300, 299, 1)}
+    sizes = [int(x) for x in open(f"{seen}/batches")]
+    assert sizes and max(sizes) <= repeats.PACK_BYTES + 2 * text
+
+
 def test_run_index_streams_foreign_texts():
     texts = [b"abracadabra", b"banana"]
     index = repeats.RunIndex(texts, np.arange(19), 50)
