@@ -344,6 +344,13 @@ def term_hits(text: Column, terms: Column) -> Column:
     return F.size(F.filter(F.array_distinct(F.transform(terms, F.lower)), lambda t: (F.length(t) >= 2) & F.contains(low, t)))
 
 
+def time_hits(text: Column, times: Column) -> Column:
+    """Like term_hits for years and quarters: one that begins or ends within a longer number (2024 in 000002024) is none."""
+    low = F.lower(text)
+    whole = lambda t: F.concat(F.lit(r"(?:(?<![0-9])|(?![0-9]))\Q"), F.replace(t, F.lit(r"\E"), F.lit("")), F.lit(r"\E(?:(?![0-9])|(?<![0-9]))"))
+    return F.size(F.filter(F.array_distinct(F.transform(times, F.lower)), lambda t: (F.length(t) >= 2) & F.rlike(low, whole(t))))
+
+
 def alias_match(q: Column, alias: str) -> Column:
     """A name with letters must stand alone among ASCII letters and digits; others match anywhere."""
     if any(c.isascii() and c.isalpha() for c in alias):

@@ -139,12 +139,13 @@ def with_fallback(pool: DataFrame, tree: DataFrame, docs: DataFrame, least: int)
 
 
 def localize(pool: DataFrame, tree: DataFrame, terms: Column, times: Column, each: int = 5) -> DataFrame:
+    """The best sections of each document, with localization_score and local_rank; the smallest id wins a tie of all else."""
     rows = pool.join(tree.select("doc_id", "section_id", "title", "title_path", "depth", "summary"), ["doc_id", "section_id"])
     prior = F.create_map(*[F.lit(x) for kv in PRIORS.items() for x in kv])[F.col("relation")]
     hits = lambda c: T.term_hits(F.col(c), terms)
-    when = T.term_hits(F.concat_ws("\n", "title", "title_path", "summary"), times)
+    when = T.time_hits(F.concat_ws("\n", "title", "title_path", "summary"), times)
     rows = rows.withColumn("localization_score", S.localization_score(prior, F.col("section_score"), hits("title"), hits("title_path"), hits("summary"), when))
-    w = Window.partitionBy("doc_id").orderBy(F.desc("localization_score"), F.desc("strength"), "depth", F.desc("title_path"))
+    w = Window.partitionBy("doc_id").orderBy(F.desc("localization_score"), F.desc("strength"), "depth", F.desc("title_path"), "section_id")
     return rows.withColumn("local_rank", F.row_number().over(w)).filter(F.col("local_rank") <= each)
 
 
@@ -155,7 +156,7 @@ def ranked_siblings(focus: DataFrame, sections: DataFrame, terms: Column, times:
     """
     other = sections.select("doc_id", "parent_id", F.col("section_id").alias("r_id"), F.col("title").alias("r_title"), F.col("title_path").alias("r_path"), F.coalesce("summary", F.lit("")).alias("r_summary"))
     rows = focus.filter("parent_id is not null").select("doc_id", "section_id", "parent_id").join(other, ["doc_id", "parent_id"]).filter("r_id <> section_id")
-    rows = rows.withColumn("overlap", S.sibling_overlap(*[T.term_hits(F.col(c), terms) for c in ("r_title", "r_path", "r_summary")], T.term_hits(F.concat_ws("\n", "r_title", "r_path", "r_summary"), times)))
+    rows = rows.withColumn("overlap", S.sibling_overlap(*[T.term_hits(F.col(c), terms) for c in ("r_title", "r_path", "r_summary")], T.time_hits(F.concat_ws("\n", "r_title", "r_path", "r_summary"), times)))
     w = Window.partitionBy("doc_id", "section_id").orderBy(F.desc("overlap"), F.desc("r_path"), "r_id")
     return rows.withColumn("nth", F.row_number().over(w)).filter(F.col("nth") <= most).drop("parent_id")
 

@@ -150,6 +150,36 @@ def test_fusion_prefers_both_lists(spark):
     assert [r.chunk_id for r in R.fuse(d, x).orderBy("fused_rank").collect()] == ["c1", "c3", "c2"]
 
 
+def test_year_within_a_longer_number_is_no_hit(spark):
+    texts = ["Customer#000002024", "20240", "FY2024Q3", "2024年", "in 2024.", "32024 and 2024", "Q12 of 2023", None]
+    times = F.array(F.lit("2024"), F.lit("Q1"), F.lit("Q3"))
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    assert [r.n for r in df.select("i", T.time_hits(F.col("t"), times).alias("n")).orderBy("i").collect()] == [0, 0, 2, 1, 1, 1, 0, 0]
+
+
+def test_localization_matches_sql_with_customer_numbers_like_years(spark, tmp_path):
+    """Customers 2024 and 20240, whose names hold 2024 within a number, beside the smallest tables."""
+    for t in ("region", "nation"):
+        spark.read.parquet(f"{SF}/{t}.parquet").coalesce(1).write.parquet(str(tmp_path / f"{t}.parquet"))
+    c = spark.read.parquet(f"{SF}/customer.parquet")
+    more = c.filter("c_custkey < 2").withColumn("c_custkey", F.when(F.col("c_custkey") == 0, 2024).otherwise(20240).cast("long")).withColumn("c_name", F.format_string("Customer#%09d", "c_custkey"))
+    c.unionByName(more).coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    con = duckdb.connect()
+    for t in ("region", "nation", "customer"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    for name in ("localization",):
+        got, want = registry.QUERIES[name](spark, str(tmp_path)), con.execute(registry.SQL[name])
+        assert rows(got.columns, got.collect()) == rows([d[0] for d in want.description], want.fetchall()), name
+
+
+def test_localization_ties_go_to_the_smallest_id(spark):
+    tree = spark.createDataFrame([("d", f"s{i}", "t", "p", 1, "") for i in (3, 1, 2)], "doc_id string, section_id string, title string, title_path string, depth int, summary string").repartition(3)
+    pool = tree.select("doc_id", "section_id", F.lit(0.1).alias("section_score"), F.lit("sibling").alias("relation"), F.lit(2).alias("strength"), F.array().cast("array<string>").alias("reason_codes"))
+    none = F.array().cast("array<string>")
+    local = R.localize(pool, tree, none, none)
+    assert [r.section_id for r in local.orderBy("local_rank").collect()] == ["s1", "s2", "s3"]
+
+
 def test_fallback_fills_small_documents(spark):
     tree = spark.createDataFrame([("d", "r", None, [], 0), ("d", "s1", "r", ["r"], 1), ("d", "s2", "s1", ["r", "s1"], 2), ("d", "s3", "r", ["r"], 1), ("d", "z", None, [], 0)], "doc_id string, section_id string, parent_id string, ancestor_ids array<string>, depth int")
     anchors = spark.createDataFrame([("d", "s1", 0.03, 1)], "doc_id string, section_id string, section_score double, section_rank int")
