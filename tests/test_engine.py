@@ -157,7 +157,7 @@ def test_year_within_a_longer_number_is_no_hit(spark):
     assert [r.n for r in df.select("i", T.time_hits(F.col("t"), times).alias("n")).orderBy("i").collect()] == [0, 0, 2, 1, 1, 1, 0, 0]
 
 
-def test_localization_matches_sql_with_customer_numbers_like_years(spark, tmp_path):
+def test_localization_and_reranking_match_sql_with_customer_numbers_like_years(spark, tmp_path):
     """Customers 2024 and 20240, whose names hold 2024 within a number, beside the smallest tables."""
     for t in ("region", "nation"):
         spark.read.parquet(f"{SF}/{t}.parquet").coalesce(1).write.parquet(str(tmp_path / f"{t}.parquet"))
@@ -167,7 +167,7 @@ def test_localization_matches_sql_with_customer_numbers_like_years(spark, tmp_pa
     con = duckdb.connect()
     for t in ("region", "nation", "customer"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
-    for name in ("localization",):
+    for name in ("localization", "reranking"):
         got, want = registry.QUERIES[name](spark, str(tmp_path)), con.execute(registry.SQL[name])
         assert rows(got.columns, got.collect()) == rows([d[0] for d in want.description], want.fetchall()), name
 
@@ -178,6 +178,8 @@ def test_localization_ties_go_to_the_smallest_id(spark):
     none = F.array().cast("array<string>")
     local = R.localize(pool, tree, none, none)
     assert [r.section_id for r in local.orderBy("local_rank").collect()] == ["s1", "s2", "s3"]
+    again = R.rerank(local, spark.createDataFrame([], "doc_id string, section_id string, rank int"))
+    assert [r.section_id for r in again.orderBy("local_rank").collect()] == ["s1", "s2", "s3"]
 
 
 def test_fallback_fills_small_documents(spark):
