@@ -88,9 +88,14 @@ def heuristic_summary(t: Column, title: Column, limit: int = 320) -> Column:
     return F.coalesce(F.nullif(s, F.lit("")), title)
 
 
+def trimmed_lines(text: Column) -> Column:
+    """The lines of a text, trimmed, blank ones dropped."""
+    return F.filter(F.transform(F.split(F.replace(text, F.lit("\r\n"), F.lit("\n")), "\n"), lambda x: F.trim(x)), lambda x: x != "")
+
+
 def section_body(text: Column, title: Column) -> Column:
     """Lines trimmed, blank ones dropped, a first line that repeats the title dropped."""
-    lines = F.filter(F.transform(F.split(F.replace(text, F.lit("\r\n"), F.lit("\n")), "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    lines = trimmed_lines(text)
     same = compare_key(F.try_element_at(lines, F.lit(1))) == compare_key(title)
     return F.array_join(F.when(same, F.slice(lines, F.lit(2), F.size(lines))).otherwise(lines), "\n")
 

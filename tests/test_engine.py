@@ -182,6 +182,24 @@ def test_localization_ties_go_to_the_smallest_id(spark):
     assert [r.section_id for r in again.orderBy("local_rank").collect()] == ["s1", "s2", "s3"]
 
 
+def test_section_bodies_match_sql_on_odd_texts(spark, tmp_path):
+    texts = ["src0\nbody", " SRC 0 \r\nbody", "src0", "", " \n  \n", None, "a\rb\n\tc ", "\u00a0\n x", "a\0b\n\n c"]
+    data = [(i, t, s) for i, t in enumerate(texts) for s in ("src0", "A > src0", "", None)]
+    spark.createDataFrame(data, "doc_id long, text string, source string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got, want = registry.QUERIES["section_bodies"](spark, str(tmp_path)), con.execute(registry.SQL["section_bodies"])
+    assert rows(got.columns, got.collect()) == rows([d[0] for d in want.description], want.fetchall())
+
+
+def test_section_body_and_context(spark):
+    """What chunks are made of: a first line like the title goes, and neither a repeated title nor an empty part is put in."""
+    data = [("src 0\r\n\n body ", "A > Src0", "Src0"), ("body", "A", "B"), (" \n", "A", "A"), ("x", "", "T")]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(data)], "i int, t string, path string, title string").withColumn("body", T.section_body(F.col("t"), F.col("title")))
+    out = df.select("i", "body", T.contextual_text(F.col("path"), F.col("title"), F.col("body")).alias("c")).orderBy("i").collect()
+    assert [(r.body, r.c) for r in out] == [("body", "A > Src0\nbody"), ("body", "A\nB\nbody"), ("", "A"), ("x", "T\nx")]
+
+
 def test_fallback_fills_small_documents(spark):
     tree = spark.createDataFrame([("d", "r", None, [], 0), ("d", "s1", "r", ["r"], 1), ("d", "s2", "s1", ["r", "s1"], 2), ("d", "s3", "r", ["r"], 1), ("d", "z", None, [], 0)], "doc_id string, section_id string, parent_id string, ancestor_ids array<string>, depth int")
     anchors = spark.createDataFrame([("d", "s1", 0.03, 1)], "doc_id string, section_id string, section_score double, section_rank int")
