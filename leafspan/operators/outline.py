@@ -8,9 +8,9 @@ step gathers more than one document's front matter.
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain, groupby
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -232,36 +232,56 @@ def area(b: Column) -> Column:
     return F.greatest(F.lit(0.0), b["x1"] - b["x0"]) * F.greatest(F.lit(0.0), b["y1"] - b["y0"])
 
 
-def absorb(boxes: list[list[float]], gap: float = 24.0) -> list[list[float]]:
+def absorb(boxes: Iterable[list[float]], gap: float = 24.0) -> list[list[float]]:
     """One pass: every box joins the first earlier region it comes within gap of, or is a region of its own."""
     regions: list[list[float]] = []
     for b in boxes:
-        near = next((r for r in regions if max(r[0] - b[2], b[0] - r[2], r[1] - b[3], b[1] - r[3]) <= gap), None)
-        if near is None:
-            regions.append(list(b))
+        x0, y0, x1, y1 = b
+        for r in regions:
+            if r[0] - x1 <= gap and x0 - r[2] <= gap and r[1] - y1 <= gap and y0 - r[3] <= gap:
+                r[:] = min(r[0], x0), min(r[1], y0), max(r[2], x1), max(r[3], y1)
+                break
         else:
-            near[:] = [*map(min, near[:2], b[:2]), *map(max, near[2:], b[2:])]
+            regions.append([x0, y0, x1, y1])
     return regions
 
 
 def picture_regions(boxes: DataFrame, most: int = 4, gap: float = 24.0, least_share: float = 0.015) -> DataFrame:
     """doc_id, page, region, x0, y0, x1, y1: boxes of a page merged while any two come within gap, small ones dropped.
 
-    boxes: doc_id, page, width, height, x0, y0, x1, y1. Merging depends on order, so each page goes through absorb().
+    boxes: doc_id, page, width, height, x0, y0, x1, y1. Merging depends on order (from the top, then from the left), so each
+    page goes through absorb(); a task takes its pages one after the other, as their sorted boxes stream in.
     """
     rows = boxes.withColumn("b", grown(box(*map(F.col, ("x0", "y0", "x1", "y1"))), F.col("width"), F.col("height")))
     raw = rows.select("doc_id", "page", F.col("width").cast("double"), F.col("height").cast("double"), F.col("y0").cast("double").alias("top"), F.col("x0").cast("double").alias("left"), "b.*")
-    schema = raw.select("doc_id", "page", "width", "height", "x0", "y0", "x1", "y1").schema
+    raw = raw.repartition("doc_id", "page").sortWithinPartitions("doc_id", "page", F.asc_nulls_last("top"), F.asc_nulls_last("left"), "y1", "x1", "width", "height")
+    names = ["doc_id", "page", "width", "height", "x0", "y0", "x1", "y1"]
 
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["top", "left"], kind="stable")
-        now = absorb(pdf[["x0", "y0", "x1", "y1"]].values.tolist(), gap)
-        while len(again := absorb(now, gap)) < len(now):
-            now = again
-        head = pdf.iloc[0]
-        return pd.DataFrame([(head.doc_id, head.page, head.width, head.height, *b) for b in now], columns=schema.names)
-
-    merged = raw.groupBy("doc_id", "page").applyInPandas(merge, schema)
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for b in batches:
+            yield from zip(*(b.column(n).to_pylist() for n in names), strict=True)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types, out = [], []
+
+        def typed(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in given:
+                types[:] = [b.column(n).type for n in names]
+                yield b
+
+        for page, group in groupby(pieces(typed(batches)), lambda r: r[:2]):
+            first = next(group)
+            now = absorb(chain([first[4:]], (r[4:] for r in group)), gap)
+            while len(again := absorb(now, gap)) < len(now):
+                now = again
+            out += [(*page, first[2], first[3], *b) for b in now]
+            if len(out) >= 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
+
+    merged = raw.mapInArrow(merge, raw.select(*names).schema)
     b = F.struct("x0", "y0", "x1", "y1")
     kept = merged.filter((area(b) >= F.col("width") * F.col("height") * least_share) & (F.col("y0") < F.col("height") * 0.95))
     kept = kept.withColumn("region", F.row_number().over(Window.partitionBy("doc_id", "page").orderBy("y0", "x0", "y1", "x1")))

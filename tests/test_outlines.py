@@ -60,6 +60,37 @@ def test_picture_regions(spark):
     assert [(r.region, r.x0, r.y0, r.x1, r.y1) for r in O.picture_regions(rows).orderBy("region").collect()] == [(1, 0, 0, 208, 108), (2, 292, 292, 508, 408)]
 
 
+def test_picture_regions_stream_pages_through_one_task(spark):
+    """As many regions as a plain loop finds on random pages, null corners and keys too, without a Python group a page."""
+    rng = random.Random(3)
+    data = []
+    for doc in ("a", "b", None):
+        for page in (1, 2, None):
+            for _ in range(rng.randrange(1, 25)):
+                x, y = rng.choice([None, *range(0, 900, 90)]), rng.choice([None, *range(0, 1200, 90)])
+                data.append((doc, page, 1000.0, 1200.0, x, y, (x or 0) + rng.randrange(10, 99), (y or 0) + rng.randrange(10, 99)))
+    schema = "doc_id string, page int, width double, height double, x0 int, y0 int, x1 int, y1 int"
+    out = O.picture_regions(spark.createDataFrame(data, schema), most=99, least_share=0.0)
+    want = []
+    for key in {d[:2] for d in data}:
+        last = lambda v: (v is None, v or 0)
+        page = sorted((d for d in data if d[:2] == key), key=lambda d: (last(d[5]), last(d[4]), d[7], d[6]))
+        now = [[max(0.0, (d[4] or 0) - 8), max(0.0, (d[5] or 0) - 8), min(1000.0, d[6] + 8), min(1200.0, d[7] + 8)] for d in page]
+        before = len(now) + 1
+        while len(now) < before:
+            before, again = len(now), []
+            for b in now:
+                near = [r for r in again if b[0] - r[2] <= 24 and r[0] - b[2] <= 24 and b[1] - r[3] <= 24 and r[1] - b[3] <= 24]
+                if near:
+                    near[0][:] = min(near[0][0], b[0]), min(near[0][1], b[1]), max(near[0][2], b[2]), max(near[0][3], b[3])
+                else:
+                    again.append(list(b))
+            now = again
+        want += [(*key, *map(float, b)) for b in now if b[1] < 1200 * 0.95]
+    assert sorted(map(str, want)) == sorted(str((r.doc_id, r.page, r.x0, r.y0, r.x1, r.y1)) for r in out.collect())
+    assert "FlatMapGroups" not in out._jdf.queryExecution().toString()
+
+
 def test_markers_and_numbers(spark):
     flat = lambda *t: spark.createDataFrame([("d", str(i), None, i, x, i + 1, "", "", "") for i, x in enumerate(t)], SECTION)
     assert shape(N.normalise_trees(flat("第一章", "A", "第二章", "B"))) == [(0, "第一章"), (1, "A"), (0, "第二章"), (1, "B")]
