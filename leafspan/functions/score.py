@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -92,12 +93,13 @@ def similarities(fields: dict[str, Column], query: str) -> Column:
                         best = max(best, both / (size + len(seen) - both))
         return best
 
-    @F.pandas_udf(", ".join(f"{f}_sim double, {f}_word double" for f in fields))
-    def score(*texts: pd.Series) -> pd.DataFrame:
+    @F.arrow_udf(", ".join(f"{f}_sim double, {f}_word double" for f in fields))
+    def score(*texts: pa.Array) -> pa.Array:
         out, known, words = {}, {}, {}
         for f, column in zip(names, texts, strict=True):
             sims, extents = [], []
-            for t in column:
+            for held in column:  # a batch stays in Arrow: one text at a time becomes a string
+                t = held.as_py()
                 found = known.get(t) if t and len(t) < 200 else None
                 if found is None:
                     own = gram_codes(t) if t else np.empty(0, np.uint64)
@@ -111,8 +113,8 @@ def similarities(fields: dict[str, Column], query: str) -> Column:
                         known[t] = found
                 sims.append(found[0])
                 extents.append(found[1])
-            out[f"{f}_sim"], out[f"{f}_word"] = sims, extents
-        return pd.DataFrame(out)
+            out[f"{f}_sim"], out[f"{f}_word"] = pa.array(sims, pa.float64()), pa.array(extents, pa.float64())
+        return pa.StructArray.from_arrays(list(out.values()), names=list(out))
 
     # nondeterministic in name only: a filter on the result is not moved below it, which would compute it twice
     return score.asNondeterministic()(*fields.values())

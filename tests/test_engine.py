@@ -106,6 +106,15 @@ def _brute_fusion(docs, vectors):
     return [(c, *names[c], -r, k) for k, (r, _, _, c) in enumerate(sorted(both)[:80], 1)]
 
 
+def test_similarities_hold_one_text_at_a_time(spark, monkeypatch):
+    """Batches reach Python as Arrow arrays, not as pandas columns that hold every text of a batch once more."""
+    made = []
+    monkeypatch.setattr(S.F, "pandas_udf", lambda *a, **k: made.append(a) or F.udf(*a, **k))
+    df = spark.createDataFrame([(0, "ab cd"), (1, ""), (2, None), (3, "x" * 300)], "i int, t string").select("i", S.similarities({"a": F.col("t")}, "ab ce").alias("s"))
+    assert not made
+    assert [(r.s.a_sim, r.s.a_word) for r in df.orderBy("i").collect()] == [(0.5, 4 / 6), (0.0, 0.0), (0.0, 0.0), (0.0, 0.0)]
+
+
 def test_fusion_and_evidence_use_word_similarity(spark):
     con = duckdb.connect()
     docs = con.execute(f"SELECT doc_id, text, lang, source FROM '{SF}/documents.parquet'").fetchall()
